@@ -390,10 +390,10 @@ def bench_summary(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT o_custkey AS method, CAST(round(o_totalprice * 100) AS BIGINT) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
-SELECT method, round(avg(t), 9) AS mean FROM r WHERE k > 2 GROUP BY 1""")
+SELECT method, round(avg(t), 6) AS mean FROM r WHERE k > 2 GROUP BY 1""")
 def warm_mean(spark, sf_dir):
     runs = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("method"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    return reports.mean_without_first(runs, "method", "o_orderkey", "cents").select("method", F.round("mean", 9).alias("mean"))
+    return reports.mean_without_first(runs, "method", "o_orderkey", "cents").select("method", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT l_suppkey AS part, count(*) AS n, round(abs(count(*) - avg(count(*)) OVER ()) / (avg(count(*)) OVER ()) * 100, 6) AS off FROM lineitem GROUP BY 1")
