@@ -187,5 +187,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
-    return numbered.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    numbered = out.withColumn("sequence_id", F.monotonically_increasing_id())  # one for each bin, before its pieces part
+    return numbered.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
