@@ -47,8 +47,11 @@ opensource.org/project/docs softwareguide.com/docs/help codeforum.net/community/
 travelguide.com/city/travel foodblog.net/kitchen/food gardenhelp.org/garden/guide bookreview.com/books/review sportsnews.net/sport/news
 healthscience.org/health/research familyphoto.net/photo techblog.com/tech/data clouddocs.org/docs/data learncode.com/learn/code
 worldnews.com/world/news library.net/books/history artjournal.org/art/journal carreview.com/car/auto jobsforum.net/jobs/community
-bank.com/home/help shoponline.com/shop/store gamesworld.net/games videoguide.org/video/learn example.com/index/page example.org/blog/post
-example.net/wiki/page""".split()
+bank.com/home/help shoponline.com/shop/store gamesworld.net/games videoguide.org/video/learn infohelp.com/index/page myblog.org/blog/post
+wikihelp.net/wiki/page""".split()
+
+# Parts of urls that say nothing of their content.
+SILENT = frozenset("http https www com net org info example index html htm php m".split())
 
 
 def host(url: Column) -> Column:
@@ -97,13 +100,14 @@ class Segmenter:
         return tuple(reversed(out))
 
     def tokens(self, host: str, path: str) -> list[str]:
-        return [w for name in re.findall(r"[a-z]+", f"{host} {path.lower()}") for w in self.split(name)]
+        names = re.findall(r"[a-z]+", f"{host} {path.lower()}")
+        return [w for name in names if name not in SILENT for w in self.split(name)]
 
 
 class NaiveBayes:
     """Multinomial, with one added to each count; words that training never saw say nothing."""
 
-    def __init__(self, segmenter: Segmenter, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, prior: float = 0.1):
+    def __init__(self, segmenter: Segmenter, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, prior: float = 0.2):
         count = [Counter(w for u in urls for w in segmenter.tokens(*u.partition("/")[::2])) for urls in (blocked, allowed)]
         seen = sorted(count[0] | count[1])
         total = [sum(c.values()) + len(seen) for c in count]
