@@ -32,6 +32,8 @@ from tessera.llm.hashing import run_hashes, word_hashes
 LENGTH = 13
 ANCHOR = 5
 SALTS = 64
+#: Documents for which rows are made at a time, which bounds what a worker holds.
+ROWS = 256
 #: Anchors are hot from this many documents of the sample on. Bounds the broadcast: sampled words / HOT_COUNT.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST, HOT_COUNT = 0.01, 2000, 200_000, 20
 
@@ -58,7 +60,7 @@ def _deal(hot: np.ndarray, want_hot: bool | None):
     which may have very many contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hs, docs, own, starts, wins = [], [], [], [], []
             for doc, row, text in zip(ids, rows, batch.column(2), strict=True):
@@ -113,7 +115,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
         out = []
         for doc, text, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             words = (text.as_py() or "").encode().split()
