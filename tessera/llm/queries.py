@@ -1,4 +1,4 @@
-"""The registered queries of the text operators, and SQL for those that SQL can express."""
+"""The registered queries of the text operators. Their SQL, for those that SQL can express, is in oracles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints, html, mixing, near, packing, quality, secrets, substrings, tokens, urls
 from tessera.llm.common import table
+from tessera.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,4 +80,3 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_main_text, op3_substring_dedup, op4_secret_scan, op5_best_fit_packing, op6_url_filter, op7_token_counts, op8_order_minhash, op9_ngram_jaccard_join, op10_mix_sources)}
-ORACLES: dict[str, str] = {}
