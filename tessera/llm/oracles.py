@@ -36,6 +36,8 @@ def quality_sql(limits: quality.Limits = quality.Limits(), references: dict[str,
     for lang, x in references.items():
         words = "[" + ", ".join(f"'{w}'" for w in x.common) + "]"
         rows.append(f"('{lang}', {_numbers(x.classes)}, {words}, {_numbers([*x.common.values(), max(0.0, 1 - sum(x.common.values()))])})")
+    vocabulary = sorted({v for x in references.values() for v in x.common})
+    forms = ", ".join(f"'{form}'" for v in vocabulary for form in (v, v.capitalize(), v.upper()))
     removed = lambda text, pattern: f"length(regexp_replace({text}, '{pattern}', '', 'g'))"
     return rf"""WITH {ROWS}, {PLACED},
 ref(name, classes, common, shares) AS (VALUES {", ".join(rows)}),
@@ -47,9 +49,9 @@ a AS (SELECT r.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_char
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, length(t) AS n, regexp_replace(t, '\p{{L}}+', '', 'g') AS rest
   FROM r JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 b AS (SELECT *, {removed("t", r"[^\p{Lu}]+")} AS upper_n, n - length(rest) AS letter_n, {removed("rest", r"\P{Nd}+")} AS digit_n, n - word_chars AS space_n,
-  {removed("rest", r"[^.,;:!?''" + '"' + r"()\-]+")} AS mark_n, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS own, len(regexp_extract_all(lower(t), '[^\p{{L}}\p{{N}}]+')) + 1 AS own_n FROM a),
+  {removed("rest", r"[^.,;:!?''" + '"' + r"()\-]+")} AS mark_n, [lower(x) for x in w if x IN ({forms})] AS own FROM a),
 c AS (SELECT *, [x / CAST(n AS DOUBLE) for x in [upper_n, letter_n - upper_n, digit_n, space_n, mark_n, length(rest) - digit_n - space_n - mark_n]] AS p FROM b),
-f AS (SELECT c.rid, ref.*, c.p, c.n, c.n_words, [len(list_filter(own, lambda x: x = v)) / CAST(own_n AS DOUBLE) for v in common] AS found
+f AS (SELECT c.rid, ref.*, c.p, c.n, c.n_words, [len(list_filter(own, lambda x: x = v)) / CAST(n_words AS DOUBLE) for v in common] AS found
   FROM c JOIN ref ON c.lang = ref.name OR c.lang IS NULL OR c.lang NOT IN (SELECT name FROM ref)),
 g AS (SELECT *, list_append(found, greatest(0, 1 - list_sum(found))) AS q FROM f),
 h AS (SELECT rid, min(CASE WHEN n >= {limits.guard_chars} THEN {_distance("p", "classes")} END) AS cd, min(CASE WHEN n_words >= {limits.guard_words} THEN {_distance("q", "shares")} END) AS wd FROM g GROUP BY rid),
