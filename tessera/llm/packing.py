@@ -16,8 +16,11 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,13 @@ END_ID = 1
 NEARLY_FULL = 8
 FAN_IN = 8
 ITEMS = 100_000
-CACHE_WORDS = 250_000
+#: Words whose ids a worker keeps at most, and texts that it splits into words at a time.
+CACHE_WORDS = 800_000
+TEXTS = 256
+
+#: Words of printable ASCII without apostrophes, and the pieces that the vocabulary's rules cut them into.
+PLAIN = re.compile(rb"[!-&(-~]+")
+PIECE = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _BINS = pa.schema([("used", pa.int32()), ("members", pa.list_(_PIECE))])
@@ -40,7 +49,10 @@ BINS_SCHEMA = "used int, members array<struct<doc_id:long,piece:int,start:long,l
 
 
 class WordIds:
-    """The ids of words as little-endian 32-bit numbers, through a cache of at most CACHE_WORDS words."""
+    """The ids of words as little-endian 32-bit numbers, through a cache of at most CACHE_WORDS words.
+
+    The cache has two halves. When the newer is full, the older goes and the newer takes its place;
+    words that come again move to the newer. So rare words go and common ones stay."""
 
     _open: dict[str, WordIds] = {}
 
@@ -50,6 +62,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         mark = self._ids("~")
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -61,10 +74,15 @@ class WordIds:
         return cls._open[path]
 
     def _ids(self, s: str) -> list[int]:
-        return self.tokenizer.encode(s, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([s], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words together, with a mark between them that has one id of its own."""
+        """Encodes new words: plain ones piece by piece, others together, with a mark between them that has one id of its own."""
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        for w in plain:
+            ids = [token.id for piece in PIECE.findall(w.decode().lower()) for token in self.tokenizer.model.tokenize(piece)]
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        words = list(set(words).difference(plain))
         alone = [w for w in words if b"~" in w] if self.mark is not None else words
         joined = [w for w in words if b"~" not in w] if self.mark is not None else []
         for a in range(0, len(joined), 5000):
@@ -79,21 +97,21 @@ class WordIds:
         for w in alone:
             self.known[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
 
+    def _look_up(self, words: set[bytes]) -> None:
+        """Sees to it that ``words`` are in the newer half."""
+        if len(self.known) + len(words) > CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        unknown = words.difference(self.known)
+        old = unknown.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in old)
+        self._learn(list(unknown - old))
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        at = 0
-        while at < len(split):  # as many texts at a time as the cache has room for
-            new: set[bytes] = set()
-            end = at
-            while end < len(split) and (end == at or len(new) < CACHE_WORDS // 4):
-                new.update(split[end])
-                end += 1
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-            self._learn([w for w in new if w not in self.known])
-            for ws in split[at:end]:
+        for a in range(0, len(texts), TEXTS):
+            split = [(t or "").encode().split() for t in texts[a : a + TEXTS]]
+            self._look_up(set(chain.from_iterable(split)))
+            for ws in split:
                 yield b"".join(map(self.known.__getitem__, ws))
-            at = end
 
 
 def best_fit(items: Iterable[tuple[int, tuple]], capacity: int = CAPACITY) -> list[tuple[int, list[tuple]]]:
