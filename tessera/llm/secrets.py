@@ -15,6 +15,9 @@ Four kinds that count only if their bytes have the structure that they claim:
   as the standard key encodings do;
 * ``pem``: a private key armour whose body decodes to ``der`` or ``openssh``.
 
+Base64 may be wrapped, by line breaks or by their escapes in strings (a backslash and n or r). Where a
+key ends is taken from its own lengths, so what follows it on the next line does no harm.
+
 Spans are in code points, the end exclusive. Rows are scanned one by one; nothing is shuffled.
 
 Defined cases: a null or empty text has no spans; very long texts are scanned whole; repeated rows
@@ -43,9 +46,16 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:MI|MC|MF|MH|MG|b3Bl)[A-Za-z0-9+/]{36,}={0,2}")
+#: Where base64 of a SEQUENCE (any length: its first byte is 0x30, its second at most 0x84) or of the container's magic can start.
+START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rnt]))(?:M[A-I]|b3Bl)(?=[A-Za-z0-9+/])")
+RUN = re.compile(r"[A-Za-z0-9+/]+")
+WRAP = re.compile(r"(?:[\x20\t]*(?:\\+[rn]|[\r\n]))+[\x20\t]*|\\+(?=/)")
+LEAST_BASE64 = 38
+MAGIC = b"openssh-key-v1\0"
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[rnt/])+)-----END \1-----")
+#: What isn't base64 in the body of an armour: white space and escapes.
+NOT_BODY = re.compile(r"\s|\\+[rnt]|\\+")
 
 
 def _base64(s: str, alt: bool = False) -> bytes | None:
@@ -99,10 +109,9 @@ def is_der_key(b: bytes | None) -> bool:
 
 def is_openssh_key(b: bytes | None) -> bool:
     """The container's magic, then cipher, kdf and options as length-prefixed strings, then a key count."""
-    magic = b"openssh-key-v1\0"
-    if not b or not b.startswith(magic):
+    if not b or not b.startswith(MAGIC):
         return False
-    at = len(magic)
+    at = len(MAGIC)
     for _ in range(3):
         n = int.from_bytes(b[at : at + 4], "big")
         at += 4 + n
@@ -111,6 +120,83 @@ def is_openssh_key(b: bytes | None) -> bool:
     return at + 4 <= len(b) and 1 <= int.from_bytes(b[at : at + 4], "big") <= 16
 
 
+def _openssh_length(b: bytes) -> int:
+    """Where the container ends: after its header strings, its public keys and the private part. 0 if it isn't all there."""
+    at = len(MAGIC)
+    for _ in range(3):
+        at += 4 + int.from_bytes(b[at : at + 4], "big")
+    keys = int.from_bytes(b[at : at + 4], "big")
+    at += 4
+    for _ in range(keys + 1):
+        if at + 4 > len(b):
+            return 0
+        at += 4 + int.from_bytes(b[at : at + 4], "big")
+    return at if at <= len(b) else 0
+
+
+def _taken(t: str, at: int, n: int) -> tuple[str, int]:
+    """The first ``n`` base64 characters from a place on, without what wraps them, and where they end. Fewer, if there are fewer."""
+    out: list[str] = []
+    end = at
+    while n and (m := RUN.match(t, at)):
+        part = m[0][:n]
+        out.append(part)
+        n -= len(part)
+        end = at + len(part)
+        wrap = WRAP.match(t, end)
+        if not wrap:
+            break
+        at = wrap.end()
+    return "".join(out), end
+
+
+def _with_pads(t: str, end: int) -> int:
+    """The end after pads, or 0 if more base64 follows at once."""
+    if RUN.match(t, end):
+        return 0
+    return end + next(k for k in (2, 1, 0) if t.startswith("=" * k, end))
+
+
+def _der_end(t: str, at: int) -> int:
+    """Where the base64 key that starts at a place ends, by the length that it states; 0 if there is none."""
+    head = _base64(_taken(t, at, 12)[0])
+    if not head or len(head) < 9 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[1] == 0x80 or head[2 + k] not in (0x02, 0x30):
+        return 0
+    total = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+    n = -(-total * 4 // 3)
+    if not LEAST_BASE64 <= n <= len(t) - at:
+        return 0
+    s, end = _taken(t, at, n)
+    return _with_pads(t, end) if len(s) == n and is_der_key(_base64(s)) else 0
+
+
+def _openssh_end(t: str, at: int) -> int:
+    """The same of the private key container; one that isn't all there ends with its line."""
+    if _base64(_taken(t, at, 20)[0]) != MAGIC:
+        return 0
+    s, _ = _taken(t, at, len(t))
+    b = _base64(s[: len(s) - len(s) % 4] if len(s) % 4 == 1 else s)
+    if not is_openssh_key(b):
+        return 0
+    n = -(-_openssh_length(b) * 4 // 3)
+    if n and (end := _with_pads(t, _taken(t, at, n)[1])):
+        return end
+    line = RUN.match(t, at)
+    return _with_pads(t, line.end()) if len(line[0]) >= LEAST_BASE64 + 2 and is_openssh_key(_base64(line[0])) else 0
+
+
+def _base64_keys(t: str) -> Iterator[tuple[str, int, int]]:
+    at = 0
+    while m := START.search(t, at):
+        kind, end = ("openssh", _openssh_end(t, m.start())) if m[0] == "b3Bl" else ("der", _der_end(t, m.start()))
+        if end:
+            yield kind, m.start(), end
+        at = end or m.end()
+
+
 def is_signed_token(s: str) -> bool:
     head, body, _ = s.split(".")
     try:
@@ -132,16 +218,11 @@ def findings(t: str | None) -> list[tuple[str, int, int]]:
     out += [("hex", *m.span()) for m in HEX.finditer(t)]
     if "eyJ" in t:
         out += [("jwt", *m.span()) for m in JWT.finditer(t) if is_signed_token(m[0])]
-    for m in BASE64.finditer(t):
-        b = _base64(m[0])
-        if is_openssh_key(b):
-            out.append(("openssh", *m.span()))
-        elif is_der_key(b):
-            out.append(("der", *m.span()))
+    out += _base64_keys(t)
     out += [("der", *m.span()) for m in HEX_DER.finditer(t) if is_der_key(bytes.fromhex(m[0]))]
     if "-----BEGIN" in t:
         for m in PEM.finditer(t):
-            b = _base64("".join(m[2].split()))
+            b = _base64(NOT_BODY.sub("", m[2]))
             if is_der_key(b) or is_openssh_key(b):
                 out.append(("pem", *m.span()))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

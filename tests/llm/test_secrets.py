@@ -75,3 +75,40 @@ def test_redaction(crowded, nothing):
     assert got.where("doc_id = 4").first().text is None
     assert secrets.redact_secrets(nothing).count() == 0
     assert secrets.redacted("abcdefgh", [("x", 1, 4), ("y", 2, 6)]) == "a<SECRET>gh"
+
+
+EC_OIDS = tlv(0x06, bytes(7)), tlv(0x06, bytes(8))
+SHORT = {
+    "pkcs8 p-256": tlv(0x30, tlv(0x02, b"\0") + tlv(0x30, b"".join(EC_OIDS)) + tlv(0x04, tlv(0x30, tlv(0x02, b"\1") + tlv(0x04, bytes(range(32)))))),
+    "pkcs8 secp256k1": tlv(0x30, tlv(0x02, b"\0") + tlv(0x30, EC_OIDS[0] + tlv(0x06, bytes(5))) + tlv(0x04, tlv(0x30, tlv(0x02, b"\1") + tlv(0x04, bytes(range(32)))))),
+    "sec1 p-256": tlv(0x30, tlv(0x02, b"\1") + tlv(0x04, bytes(range(32))) + tlv(0xA0, EC_OIDS[1])),
+}
+WHOLE_SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (bytes(51), bytes(range(136))))
+
+
+@pytest.mark.parametrize("name", SHORT)
+def test_short_ec_keys(name):
+    assert [len(SHORT[x]) for x in ("pkcs8 p-256", "pkcs8 secp256k1", "sec1 p-256")] == [67, 64, 51]
+    key = base64.b64encode(SHORT[name]).decode()
+    assert key[:2] in ("MD", "ME")
+    assert kinds(f"MAIN key {key}, end") == [("der", key)]
+    assert kinds(f"MAIN\n{key}\nMEMO") == [("der", key)]
+
+
+@pytest.mark.parametrize("kind,raw", [("der", PKCS8), ("der", RSA), ("openssh", WHOLE_SSH), *(("der", x) for x in SHORT.values())])
+@pytest.mark.parametrize("wrap", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("width", [20, 64, 76])
+def test_wrapped_and_escaped_keys(kind, raw, wrap, width):
+    b = base64.b64encode(raw).decode()
+    body = wrap.join(b[a : a + width] for a in range(0, len(b), width))
+    assert kinds(f"MAIN{wrap}{body}{wrap}Next words") == [(kind, body)]
+    armour = f"-----BEGIN PRIVATE KEY-----{wrap}{body}{wrap}-----END PRIVATE KEY-----"
+    assert kinds(f'{{"k": "{armour}{wrap}"}}') == [("pem", armour), (kind, body)]
+    assert "M" not in secrets.redacted(armour, secrets.findings(armour))
+
+
+def test_wrapped_text_that_is_no_key():
+    b = base64.b64encode(PKCS8).decode()
+    assert not kinds(f"{b[:64]}\n{b[64:-8]}\n\n..")
+    assert not kinds(f"{b[:64]} {b[64:]}")
+    assert not kinds("MII\nMEMO\\nMAIN " * 100 + "b3Bl\n" * 50)
