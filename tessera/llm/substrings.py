@@ -5,7 +5,9 @@ that share a window share its anchor, at the same place in it. Consecutive windo
 same anchor: a document is dealt out as a row for each anchor with the hashes of the windows that
 extend it to the left and right, about a fifth as many rows as words. Rows meet by anchor; anchors
 of one document go at once; where a window of an anchor also starts in an earlier document, its
-words are repeats. Overlapping windows join into maximal repeats in the last pass.
+words are repeats. Rows carry a part of each window's hash; what meets by the part goes to its text
+again for the whole hash, and only that decides. Overlapping windows join into maximal repeats in the
+last pass.
 
 Hot anchors (found on a bounded sample of documents, which decides only the route) take a pass of
 their own: groups are salted, each salt finds its first document, and these few meet again. So no
@@ -20,6 +22,7 @@ result; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ ANCHOR = 5
 SALTS = 64
 #: Documents for which rows are made at a time, which bounds what a worker holds.
 ROWS = 256
+#: Bytes of a window's hash, and of the part of it by which windows first meet.
+WIDE, PART = 8, 2
 #: Anchors are hot from this many documents of the sample on. Bounds the broadcast: sampled words / HOT_COUNT.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST, HOT_COUNT = 0.01, 2000, 200_000, 20
 
@@ -56,8 +61,9 @@ def anchors_of(words: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) ->
 
 
 def _deal(hot: np.ndarray, want_hot: bool | None):
-    """Rows of the anchors that are hot, or of those that aren't. Windows as 4 bytes each, as 8 for hot ones,
+    """Rows of the anchors that are hot, or of those that aren't. Windows as PART bytes each, as WIDE for hot ones,
     which may have very many contexts."""
+    size = WIDE if want_hot else PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
@@ -67,8 +73,7 @@ def _deal(hot: np.ndarray, want_hot: bool | None):
                 h, first, count, windows = anchors_of(word_hashes(text.as_py()))
                 if not len(h):
                     continue
-                raw = (windows if want_hot else windows.astype(np.uint32)).tobytes()
-                size = 8 if want_hot else 4
+                raw = windows.astype("<u8").view(np.uint8).reshape(-1, WIDE)[:, :size].tobytes()
                 if want_hot is not None and len(hot):
                     chosen = np.isin(h, hot) == want_hot
                     h, first, count = h[chosen], first[chosen], count[chosen]
@@ -97,19 +102,50 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("h", "doc_id", "row", "start", "windows", i).select("h", "doc_id", "row", (F.col("start") + F.col("i")).alias("start"), F.substring("windows", F.col("i") * size + 1, F.lit(size)).alias("window"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start) of every window of ``docs`` (doc_id, row, text) that also starts in a smaller doc_id."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors and whole hashes of the windows at ``starts``."""
+    for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
+        hs, docs, own, places, wins = [], [], [], [], []
+        for doc, row, text, starts in zip(*[batch.column(k) for k in range(4)], strict=True):
+            if not starts.is_valid:
+                continue
+            h, first, _, windows = anchors_of(word_hashes(text.as_py()))
+            at = np.unique(starts.values.to_numpy())
+            of = np.searchsorted(first, at, "right") - 1
+            # A row for each run of consecutive windows of one anchor.
+            runs = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(of) > 0)])
+            raw = windows[at].astype("<u8").tobytes()
+            hs.append(h[of[runs]].view(np.int64))
+            places.append(at[runs].astype(np.int32))
+            docs += [doc.as_py()] * len(runs)
+            own += [row.as_py()] * len(runs)
+            wins += [raw[x * WIDE : y * WIDE] for x, y in itertools.pairwise([*runs.tolist(), len(at)])]
+        if docs:
+            yield pa.record_batch([np.concatenate(hs), pa.array(docs, pa.int64()), pa.array(own, pa.int64()), np.concatenate(places), pa.array(wins, pa.binary())], schema=_ARROW)
+
+
+def _with_starts(docs: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` with the places of their windows. The same join each time, so that texts are dealt out once."""
+    return docs.join(windows.groupBy(*keys).agg(F.collect_list("start").alias("starts")), keys, "left")
+
+
+def repeated_windows(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc_id, row, start) of every window of ``docs`` (doc_id, row, text) that also starts in a smaller doc_id.
+
+    ``keys`` tell rows apart: doc_id, or doc_id and row."""
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "row", "text")
     hot = _hot_anchors(texts)
     group = Window.partitionBy("h")
-    rows = texts.mapInArrow(_deal(hot, False), _SCHEMA)
-    shared = rows.withColumn("a", F.min("doc_id").over(group)).withColumn("b", F.max("doc_id").over(group)).where("a < b")
-    first = F.min("doc_id").over(Window.partitionBy("h", "window"))
-    found = _windows(shared, 4).withColumn("first", first).where("doc_id > first").select("doc_id", "row", "start")
+    alike = Window.partitionBy("h", "window")
+    shared = lambda rows, by: rows.withColumn("a", F.min("doc_id").over(by)).withColumn("b", F.max("doc_id").over(by)).where("a < b")
+    maybe = shared(_windows(shared(texts.mapInArrow(_deal(hot, False), _SCHEMA), group), PART), alike)
+    own = F.col("row") if "row" in keys else F.lit(0).cast("long").alias("row")
+    whole = _with_starts(docs, maybe, keys).select("doc_id", own, "text", "starts").mapInArrow(_whole, _SCHEMA)
+    found = _windows(shared(whole, group), WIDE).withColumn("first", F.min("doc_id").over(alike)).where("doc_id > first").select("doc_id", "row", "start")
     if len(hot):
-        spread = _windows(texts.mapInArrow(_deal(hot, True), _SCHEMA), 8).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+        spread = _windows(texts.mapInArrow(_deal(hot, True), _SCHEMA), WIDE).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
         local = spread.withColumn("first", F.min("doc_id").over(Window.partitionBy("h", "window", "salt")))
-        met = local.where("doc_id = first").withColumn("least", first)
+        met = local.where("doc_id = first").withColumn("least", F.min("doc_id").over(alike))
         found = found.unionByName(local.where("doc_id > first").select("doc_id", "row", "start")).unionByName(met.where("doc_id > least").select("doc_id", "row", "start"))
     return found
 
@@ -146,8 +182,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     n, distinct = own.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     own = own.withColumn("row", F.xxhash64("text") if distinct < n else F.lit(0).cast("long"))
     keys = ["doc_id", "row"] if distinct < n else ["doc_id"]
-    starts = repeated_windows(own).groupBy(*keys).agg(F.collect_list("start").alias("starts"))
-    joined = own.join(starts, keys, "left").select("doc_id", "text", "starts")
+    joined = _with_starts(own, repeated_windows(own, keys), keys).select("doc_id", "text", "starts")
     if digest:
         return joined.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")

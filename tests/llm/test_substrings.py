@@ -60,3 +60,34 @@ def test_every_shared_window_shares_its_anchor():
             h, first, count, windows = substrings.anchors_of(w)
             found.append({(int(h[k]), int(windows[s])) for k in range(len(h)) for s in range(first[k], first[k] + count[k])})
         assert found[0] & found[1]
+
+
+def test_windows_that_only_meet_by_a_part_of_their_hashes_stay(spark, monkeypatch):
+    """Different contexts of one anchor whose hashes agree in their low 32 bits."""
+    whole = substrings.run_hashes
+
+    def close(words, n, seed=0):
+        h = whole(words, n, seed)
+        return h & np.uint64(0xFFFFFFFF00000000) if n == substrings.LENGTH else h
+
+    # A phrase that is the anchor of all windows that hold it: the one of least hash among many.
+    phrase = min((f"one phrase of {k} words" for k in range(2000)), key=lambda x: substrings.run_hashes(substrings.word_hashes(x), substrings.ANCHOR)[0])
+    rows = [(i, " ".join([f"l{i}x{k}" for k in range(8)] + phrase.split() + [f"r{i}x{k}" for k in range(8)])) for i in range(9)]
+    rows += [(20, rows[3][1]), (21, "x " + rows[3][1][:-6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    deal, verify = substrings._deal, getattr(substrings, "_whole", None)
+
+    def patched(f):
+        def run(batches):
+            substrings.run_hashes = close
+            try:
+                yield from f(batches)
+            finally:
+                substrings.run_hashes = whole
+
+        return run
+
+    monkeypatch.setattr(substrings, "_deal", lambda *a: patched(deal(*a)))
+    if verify:
+        monkeypatch.setattr(substrings, "_whole", patched(verify))
+    assert result(docs) == brute(rows)
