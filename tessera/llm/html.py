@@ -40,6 +40,16 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({
 NOISE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline-share comment comments disqus replies cookie cookies consent gdpr notice notification alert popup modal overlay newsletter signup subscribe promo promoted promotion sponsor sponsored related recommended outbrain taboola share sharing social sidebar sidenav side-bar menu nav navbar navigation toolbar footer header masthead pager pagination skip login search complementary contentinfo widget widgets".split()
 )
+#: Before a name of NOISE these say how a page is laid out, not what the element is.
+LAYOUT = frozenset("with has no without".split())
+#: A header that these begin is that of an article.
+OWN_HEADER = frozenset("post article entry story content".split())
+#: Compounds of these are what they say, however much text they have.
+NEVER_MAIN = frozenset("comment comments disqus replies cookie cookies consent gdpr modal popup newsletter".split())
+#: A winner of these kinds is a part of the main part or division around it.
+PARTS = frozenset("section ul ol dl li dd table thead tbody tfoot tr td blockquote".split())
+#: Siblings of the best container that are kept, if they aren't made of links.
+KEPT = frozenset("p h1 h2 h3 h4 h5 h6 pre table figure ul ol dl blockquote".split())
 BONUS = {"article": 25.0, "main": 10.0, "section": 3.0, "div": 2.0, "td": 1.0, "blockquote": 1.0}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -47,26 +57,69 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|
 
 
 class Node:
-    __slots__ = ("children", "noise", "parent", "score", "tag")
+    __slots__ = ("children", "doubt", "noise", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
         self.score = 0.0
+        self.doubt = False
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is noise, and whether that is in doubt: only a part of a compound name says so."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return True, False
+    noise = doubt = False
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
             for word in value.split():
-                if word in NOISE or not NOISE.isdisjoint(re.split(r"[-_]+", word)):
-                    return True
-    return False
+                if word in NOISE:
+                    return True, False
+                parts = re.split(r"[-_]+", word)
+                if NOISE.isdisjoint(parts) or parts[0] in LAYOUT or parts[0] in OWN_HEADER and parts[1:] == ["header"]:
+                    continue
+                if not NEVER_MAIN.isdisjoint(parts):
+                    return True, False
+                noise = doubt = True
+    return noise, doubt
+
+
+def _spare(root: Node) -> None:
+    """Elements whose noise is in doubt stay if most of the page's paragraph points are theirs, unless an article or main part has points elsewhere."""
+    todo, paragraphs, doubtful = [root], [], False
+    while todo:
+        x = todo.pop()
+        if x.noise and not x.doubt:
+            continue
+        doubtful |= x.noise
+        if x.tag in ("p", "pre", "blockquote"):
+            paragraphs.append(x)
+        todo += [c for c in x.children if isinstance(c, Node)]
+    if not doubtful:
+        return
+    total, shares, nodes, inside, named = 0.0, {}, {}, {}, 0
+    for p in paragraphs:
+        own = text_of(p)
+        points = 1 + own.count(",") + min(len(own) // 100, 3) if own else 0
+        above, up = [], p
+        while up is not None:
+            above.append(up)
+            up = up.parent
+        main = bool(points) and any(x.tag in ("article", "main") for x in above)
+        total += points
+        named += main
+        for x in above:
+            if x.doubt:
+                nodes[id(x)] = x
+                shares[id(x)] = shares.get(id(x), 0) + points
+                inside[id(x)] = inside.get(id(x), 0) + main
+    for k, x in nodes.items():
+        if 2 * shares[k] > total and inside[k] == named:
+            x.noise = False
 
 
 def parse(page: str) -> Node:
@@ -101,7 +154,9 @@ def parse(page: str) -> Node:
         if tag in VOID:
             stack[-1].children.append(" " if tag == "br" else Node(tag, stack[-1]) if tag == "hr" else "")
             continue
-        node = Node(tag, stack[-1], _is_noise(tag, m[3], any(x.tag in ("article", "main") for x in stack)))
+        noise, doubt = _is_noise(tag, m[3], any(x.tag in ("article", "main") for x in stack))
+        node = Node(tag, stack[-1], noise)
+        node.doubt = doubt
         stack[-1].children.append(node)
         stack.append(node)
     return root
@@ -161,6 +216,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _spare(root)
     nodes = list(_walk(root))
     found: dict[int, Node] = {}
     for x in nodes:
@@ -187,6 +243,12 @@ def main_text(page: str | None) -> str:
     while up is not None and up.tag != "article":
         up = up.parent
     best = up or best
+    # So may it be of a main part, or of a division that isn't made of links.
+    up = best
+    while up is not None and up.tag in PARTS:
+        up = up.parent
+    if up is not None and (up.tag == "main" or up.tag == "div" and _link_density(up) < 0.25):
+        best = up
     if best.parent is None or best.tag in ("article", "main", "body"):
         return text_of(best)
     least = max(10.0, 0.2 * scored.get(id(best), 0.0))
@@ -195,7 +257,8 @@ def main_text(page: str | None) -> str:
         if isinstance(x, str) or x.noise:
             continue
         own = text_of(x)
-        like_text = x.tag in ("p", "h1", "h2", "h3") and _link_density(x) < 0.25 and (len(own) > 80 or "." in own or x.tag != "p")
+        headed = x.tag == "div" and any(c.tag == "h1" for c in _walk(x))
+        like_text = (x.tag in KEPT or headed) and _link_density(x) < 0.25
         if x is best or own and (scored.get(id(x), 0.0) >= least or like_text):
             parts.append(own)
     return " ".join(p for p in parts if p)

@@ -46,3 +46,25 @@ def test_table_against_its_articles(spark):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         want = " ".join(references.unescape(re.sub(r"</?(b|i)>", "", re.sub(r"</?(p|h1|br)>", " ", article))).split())
         assert r.main == want, r.page_id
+
+
+@pytest.mark.parametrize("name", ["class='content with-sidebar'", "id=page class='no-comments'", "class='related-work'", "class='has-widgets'"])
+def test_containers_named_after_their_layout_stay(name):
+    assert html.main_text(page(f"<div {name}><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>")) == f"{LONG.strip()} {LONG.strip()}"
+
+
+def test_compounds_that_are_noise_go():
+    main = f"<div class=content><p>{LONG}</p></div>"
+    for name in ("comment-list", "sidebar-left", "cookie-notice"):
+        assert html.main_text(page(f"{main}<div class='{name}'><p>Other, text.</p></div>")) == LONG.strip()
+    assert html.main_text(page(f"{main}<div class='comment-list'><p>{LONG}</p><p>{LONG}</p></div>")) == LONG.strip()
+    assert html.main_text(page(f"<article><p>{LONG}</p></article><div class='related-work'><p>{LONG}</p><p>{LONG}</p></div>")) == LONG.strip()
+
+
+def test_headers_and_short_siblings_stay():
+    assert html.main_text(page(f"<div><div class='post-header'><h1>Head</h1></div><div class=text><p>{LONG}</p><p>{LONG}</p></div></div>")) == f"Head {LONG.strip()} {LONG.strip()}"
+    rest = "<p>Why?</p><pre>code</pre><h4>Four</h4><table><tr><td>cell</td></tr></table>"
+    for tag, item in (("ul", "li"), ("section", "p")):
+        body = f"{rest}<{tag}>" + f"<{item}>{LONG}</{item}>" * 4 + f"</{tag}><p>Yes!</p>"
+        for outer in ("div", "main"):
+            assert html.main_text(page(f"<{outer}>{body}</{outer}>")) == f"Why? code Four cell {' '.join([LONG.strip()] * 4)} Yes!"
