@@ -36,10 +36,23 @@ def to_ell(cells: DataFrame, rows: DataFrame) -> DataFrame:
     return own.select("row", n.alias("len"), F.concat(F.col("c.coef"), pad(F.lit(0.0).cast(cells.schema["coef"].dataType))).alias("coefs"), F.concat(F.col("c.col"), pad(last.cast("long"))).alias("cols"))
 
 
+def to_sliced_ell(cells: DataFrame, rows: DataFrame, width: int = 256) -> DataFrame:
+    """(row, slice, len, coefs, cols): as ``to_ell``, with long rows dealt by a hash of their columns into slices of about ``width`` cells.
+
+    No value or task holds a long row, and what is padded is a slice, to the longest slice."""
+    long = cells.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") > width)
+    slices = long.select("row", F.ceil(F.col("n") / width).cast("long").alias("slices"))
+    dealt = cells.join(slices, "row", "left").withColumn("slice", F.pmod(F.xxhash64("col"), F.coalesce("slices", F.lit(1).cast("long"))))
+    key = F.struct("row", "slice")
+    empty = rows.join(cells.select("row").distinct(), "row", "left_anti").select(F.struct("row", F.lit(0).cast("long").alias("slice")).alias("row"))
+    own = dealt.join(rows, "row", "left_semi").select(key.alias("row"), "col", "coef")
+    return to_ell(own, own.select("row").distinct().unionByName(empty)).select("row.row", "row.slice", "len", "coefs", "cols")
+
+
 def spmv_ell(ell: DataFrame, x: DataFrame) -> DataFrame:
-    """(row, v) from padded rows; pads are skipped by the row's length, empty rows give 0."""
+    """(row, v) from padded rows or slices; pads are skipped by their length, empty rows give 0."""
     cells = ell.select("row", F.explode(F.slice(F.arrays_zip("coefs", "cols"), 1, F.col("len"))).alias("c")).select("row", F.col("c.cols").alias("col"), F.col("c.coefs").alias("coef"))
-    return spmv(cells, x, ell.select("row"))
+    return spmv(cells, x, ell.select("row").distinct())
 
 
 def matrix_stats(cells: DataFrame, rows: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def spmv_coo(spark, sf_dir):
 @query(CELLS + ' SELECT "row", v FROM y')
 def spmv_ell(spark, sf_dir):
     cells, x, rows = _cells(spark, sf_dir)
-    return sparse.spmv_ell(sparse.to_ell(cells, rows), x).select("row", F.col("v").cast("long").alias("v"))
+    return sparse.spmv_ell(sparse.to_sliced_ell(cells, rows), x).select("row", F.col("v").cast("long").alias("v"))
 
 
 @query(CELLS + """, c AS (SELECT o."row", count(a.col) AS n FROM (SELECT o_orderkey AS "row" FROM orders) o LEFT JOIN a ON a."row" = o."row" GROUP BY 1)

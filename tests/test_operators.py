@@ -144,3 +144,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r[1] for r in rows(spark.table("tops"))] == [15, 15, 15]
+
+
+def test_long_rows_are_cut_into_slices(spark):
+    cells = spark.range(5000).selectExpr("0L as row", "id as col", "1.0D as coef").unionByName(spark.range(1, 20).selectExpr("id as row", "id as col", "2.0D as coef"))
+    domain = spark.range(21).selectExpr("id as row")
+    ell = sparse.to_sliced_ell(cells, domain, width=50)
+    got = ell.selectExpr("count(*) as n", "max(size(coefs)) as widest", "sum(len) as len", "count(distinct row) as n_rows").first()
+    assert got.n_rows == 21 and got.len == 5019 and got.widest < 150 and got.n == 120
+    v = {r.row: r.v for r in sparse.spmv_ell(ell, spark.range(5000).selectExpr("id as i", "1.0D as v")).collect()}
+    assert v == {0: 5000.0, **{k: 2.0 for k in range(1, 20)}, 20: 0.0}
