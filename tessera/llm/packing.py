@@ -6,8 +6,8 @@ fewer partitions, and so on until one partition is left or a round gains nothing
 later round never has more than ITEMS items, however many remain, so no task grows with the input.
 A bin carries its pieces (at most one for each of its tokens).
 
-Encoding goes word by word: the vocabulary's pieces never cross white space, so a bounded cache of
-words gives exactly the ids of the whole text.
+Encoding goes by distinct words: the vocabulary's pieces never cross white space, so the ids of words,
+put together, are exactly those of the whole text.
 
 Defined cases: a null or empty text is one piece with the end id alone; very long texts are cut;
 ties are broken by size, id and piece, so reruns agree; repeated rows are packed each; an empty
@@ -16,14 +16,15 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
-import re
-import struct
+import os
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections import ChainMap
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,83 +36,165 @@ END_ID = 1
 NEARLY_FULL = 8
 FAN_IN = 8
 ITEMS = 100_000
-#: Words whose ids a worker keeps at most, and texts that it splits into words at a time.
-CACHE_WORDS = 800_000
-TEXTS = 256
-
-#: Words of printable ASCII without apostrophes, and the pieces that the vocabulary's rules cut them into.
-PLAIN = re.compile(rb"[!-&(-~]+")
-PIECE = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: Bytes that a task's cache of pieces takes at most, roughly, what an entry takes beside its piece and ids,
+#: the longest piece that it keeps, and bytes of text that are cut into words at a time.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 176
+LONGEST_KEPT = 64
+TEXT_BYTES = 4 << 20
+
+#: Plain words are of printable ASCII and letters of Latin-1, without apostrophes; in UTF-8, the latter are LATIN and one
+#: byte of TAILS. What pieces the vocabulary's rules cut them into follows from three classes of characters: letters in
+#: a run, digits one by one, others in a run.
+LATIN = 0xC3
+TAILS = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+PLAIN = np.array([0x21 <= b <= 0x7E and b != 0x27 or b == LATIN for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+LETTER, DIGIT, OTHER = range(3)
+CLASS = np.array([LETTER if b >= 0x80 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else OTHER for b in range(256)], dtype=np.uint8)
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _BINS = pa.schema([("used", pa.int32()), ("members", pa.list_(_PIECE))])
 BINS_SCHEMA = "used int, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
+class Halves:
+    """A bounded cache of ids. When its newer half is full, the older goes and the newer takes its place.
+
+    Keys that come again move to the newer half, so rare ones go and common ones stay. Long keys are
+    learnt each time and not kept."""
+
+    def __init__(self, learn: Callable[[list], dict], most: int):
+        self.learn, self.most = learn, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict = {}
+        self.older: dict = {}
+        self.held = 0
+
+    def look_up(self, keys: set) -> Mapping:
+        """The ids of ``keys``, and of others."""
+        unknown = keys.difference(self.known)
+        if not unknown:
+            return self.known
+        new = {k: self.older[k] for k in unknown.intersection(self.older)}
+        new |= self.learn(list(unknown.difference(new)))
+        long = {k: v for k, v in new.items() if len(k) > LONGEST_KEPT}
+        for k in long:
+            del new[k]
+        size = self._size(new)
+        if self.held + size > self.most // 2:
+            new |= {k: self.known[k] for k in keys.intersection(self.known)}
+            self.older, self.known, self.held, size = self.known, {}, 0, self._size(new)
+        self.known.update(new)
+        self.held += size
+        return ChainMap(self.known, long) if long else self.known
+
+    @staticmethod
+    def _size(entries: dict) -> int:
+        return sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY_BYTES * len(entries)
+
+
 class WordIds:
-    """The ids of words as little-endian 32-bit numbers, through a cache of at most CACHE_WORDS words.
+    """The ids of texts as little-endian 32-bit numbers, by distinct words and a bounded cache of their pieces.
 
-    The cache has two halves. When the newer is full, the older goes and the newer takes its place;
-    words that come again move to the newer. So rare words go and common ones stay."""
+    A worker keeps the tokenizer between its tasks; ``forget`` empties the cache at each task's end."""
 
     _open: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        mark = self._ids("~")
-        self.mark = mark[0] if len(mark) == 1 else None
+        # The same model for text that is already cut into pieces by spaces.
+        self.cut = Tokenizer(self.tokenizer.model)
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pieces = Halves(self._pieces, CACHE_BYTES)
 
     @classmethod
     def at(cls, path: str) -> WordIds:
-        """One for each Python worker, kept between its tasks."""
+        """One for each Python worker."""
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _ids(self, s: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([s], add_special_tokens=False)[0].ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words: plain ones piece by piece, others together, with a mark between them that has one id of its own."""
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        for w in plain:
-            ids = [token.id for piece in PIECE.findall(w.decode().lower()) for token in self.tokenizer.model.tokenize(piece)]
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        words = list(set(words).difference(plain))
-        alone = [w for w in words if b"~" in w] if self.mark is not None else words
-        joined = [w for w in words if b"~" not in w] if self.mark is not None else []
-        for a in range(0, len(joined), 5000):
-            some = joined[a : a + 5000]
-            ids = np.array(self._ids(b" ~ ".join(some).decode()), dtype="<u4")
-            at = np.flatnonzero(ids == self.mark)
-            if len(at) != len(some) - 1:
-                alone += some
-                continue
-            raw, ends = ids.tobytes(), [*at.tolist(), len(ids)]
-            self.known.update(zip(some, (raw[4 * (b + 1) : 4 * e] for b, e in zip([-1, *ends], ends, strict=False)), strict=True))
-        for w in alone:
-            self.known[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
-
-    def _look_up(self, words: set[bytes]) -> None:
-        """Sees to it that ``words`` are in the newer half."""
-        if len(self.known) + len(words) > CACHE_WORDS // 2:
-            self.older, self.known = self.known, {}
-        unknown = words.difference(self.known)
-        old = unknown.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in old)
-        self._learn(list(unknown - old))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for a in range(0, len(texts), TEXTS):
-            split = [(t or "").encode().split() for t in texts[a : a + TEXTS]]
-            self._look_up(set(chain.from_iterable(split)))
-            for ws in split:
-                yield b"".join(map(self.known.__getitem__, ws))
+    def forget(self) -> None:
+        self.pieces.forget()
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """All in one call, parted by the ids that end a piece."""
+        ids = np.array(self.cut.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        flat = ids.tobytes()
+        return dict(zip(pieces, (flat[a:b] for a, b in pairwise([0, *ends.tolist()])), strict=True))
+
+    def _plain(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Pieces are made in place, as offsets into the bytes of the words."""
+        raw, at = _bytes_of(words)
+        raw = LOWER[raw]
+        raw[1:][(raw[:-1] == LATIN) & (raw[1:] <= 0x9E)] += 32
+        kind = CLASS[raw]
+        opens = np.ones(len(raw), dtype=bool)
+        opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        opens[at[:-1][at[:-1] < len(raw)]] = True
+        starts = np.r_[np.flatnonzero(opens), len(raw)].astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(raw)).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        known = self.pieces.look_up(set(distinct))
+        ids = pa.array([known[p] for p in distinct], pa.large_binary()).take(pieces.indices)
+        ends, data = _large(ids)
+        ends = ends[np.r_[0, np.cumsum(opens)][at]]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), data])
+
+    def _words(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        raw, at = _bytes_of(words)
+        fine = PLAIN[raw]
+        fine[1:] |= TAILS[raw[1:]] & (raw[:-1] == LATIN)
+        odd = np.r_[0, np.cumsum(~fine)]
+        odd = odd[at[1:]] > odd[at[:-1]]
+        if not odd.any():
+            return self._plain(words)
+        others = words.filter(pa.array(odd)).to_pylist()
+        ids = []
+        for a in range(0, len(others), 1000):
+            ids += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(others[a : a + 1000], add_special_tokens=False)]
+        both = pa.concat_arrays([self._plain(words.filter(pa.array(~odd))), pa.array(ids, pa.large_binary())])
+        place = np.where(odd, len(words) - len(others) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+        return both.take(pa.array(place))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of an Arrow array of strings."""
+        texts = pc.fill_null(texts, "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_BYTES
+        cuts = np.flatnonzero(np.diff(part)) + 1 if len(texts) else []
+        for a, b in pairwise([0, *cuts, len(texts)]):
+            split = pc.ascii_split_whitespace(texts.slice(a, b - a))  # at exactly the six white space characters of SPACE
+            coded = split.flatten().dictionary_encode()
+            ends, data = _large(self._words(coded.dictionary).take(coded.indices))
+            ends = ends[split.offsets.to_numpy()].tolist()
+            raw = data.to_pybytes() if data else b""
+            yield from (raw[x:y] for x, y in pairwise(ends))
+
+
+def _bytes_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings together, and where each begins, with the end of the last."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, dtype=np.int32)
+    raw = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def _large(values: pa.LargeBinaryArray) -> tuple[np.ndarray, pa.Buffer | None]:
+    """Offsets and bytes of large binary values."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, dtype=np.int64)
+    return at, data
 
 
 def best_fit(items: Iterable[tuple[int, tuple]], capacity: int = CAPACITY) -> list[tuple[int, list[tuple]]]:
@@ -159,7 +242,7 @@ def _encode_and_pack(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pieces, whole = WordIds.at(path), [], []
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, raw in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
                 raw += END_ID.to_bytes(4, "little")
                 for p, a in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[a : a + 4 * capacity]
@@ -167,6 +250,7 @@ def _encode_and_pack(path: str, capacity: int):
                     (whole if item[0] == capacity else pieces).append(item)
             yield from _batches([(n, list(ms)) for n, ms in whole])
             whole = []
+        words.forget()
         yield from _batches(best_fit(sorted(pieces, key=_order), capacity))
 
     return run

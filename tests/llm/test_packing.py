@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tessera.llm import packing
@@ -63,15 +64,23 @@ def test_rounds_end_when_nothing_fits(spark, monkeypatch):
     assert len({r.sequence_id for r in out}) == 40
 
 
-def test_words_give_whole_ids(monkeypatch):
+PARTS = ["it's", "~", "a~b", "<|endoftext|>", "é", "e\u0301", "ß\u0130", "12ab", "\u00a0x\u2003y", "日本", "\U0001f600!!", "Don't", "~~ ~", "\x1c", "\x85q", "ΑΣ", "…", "ÀÉÞ×÷ªº", "H\u0331", "naïve-ÖL7", "x" * 300, "\x7f", "Word.", "word,", "WORD"]
+
+
+@pytest.mark.parametrize("most", [4000, 48 << 20])
+def test_words_give_whole_ids(monkeypatch, most):
     rng = random.Random(1)
-    parts = ["it's", "~", "a~b", "<|endoftext|>", "é", "e\u0301", "ß\u0130", "12ab", "\u00a0x\u2003y", "日本", "\U0001f600!!", "Don't", "~~ ~", "\x1c", "\x85q", "ΑΣ", "…"]
-    texts = [rng.choice([" ", "\n", "\t \x0b"]).join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(200)]
-    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    texts = [None, "", " ", *(rng.choice([" ", "\n", "\t \x0b"]).join(rng.choice(PARTS) + rng.choice(["", chr(rng.randrange(33, 500))]) for _ in range(rng.randrange(60))) for _ in range(300))]
+    monkeypatch.setattr(packing, "CACHE_BYTES", most)
+    monkeypatch.setattr(packing, "TEXT_BYTES", 3000)
     own = packing.WordIds(PATH)
     want = whole_ids(texts)
-    assert [list(np.frombuffer(x, "<u4")) for x in own.encode(texts)] == [x[:-1] for x in want]
-    assert len(own.known) <= 60
+    column = pa.array(["x", *texts], pa.string()).slice(1)
+    assert [list(np.frombuffer(x, "<u4")) for x in own.encode(column)] == [x[:-1] for x in want]
+    assert own.pieces.held <= most
+    own.forget()
+    assert not own.pieces.known and not own.pieces.older
+    assert list(own.encode(pa.array([], pa.string()))) == []
 
 
 def test_best_fit():
