@@ -4,24 +4,28 @@ A document is encoded once, as a whole. Its tokens' byte spans come from the voc
 lengths, and are joined with the section spans by place. A token that crosses a boundary goes by an
 explicit rule: ``most`` (the default; the section that has most of its bytes, the earlier one in a
 tie) or ``first`` (the section of its first byte). So the counts of a document's sections add up to
-its tokens, which encoding the sections one by one doesn't give.
+its tokens, which encoding the sections one by one doesn't give. Sections are the lines of a text, or
+the fields that a document is put together from.
 
-Defined cases: a null or empty text has no sections; an empty section has no tokens; very long texts
-are encoded whole; repeated rows are counted each; other columns are passed on unread.
+Defined cases: a null or empty text has no sections (a null field is an empty one); an empty section
+has no tokens; very long texts are encoded whole; repeated rows are counted each; a null id is kept;
+an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SECTIONS = "array<struct<section:int,start:int,end:int,n_tokens:int>>"
+#: Documents that are counted at a time, which bounds what a worker holds.
+ROWS = 256
 
 
 @lru_cache(maxsize=4)
@@ -66,30 +70,54 @@ def attribute(token_lengths: np.ndarray, section_ends: np.ndarray, rule: str = "
     return np.bincount(owner, minlength=len(section_ends))
 
 
-def count_by_section(texts: Column, path: str, pattern: str, rule: str = "most") -> Column:
-    """An array of the lines of each text: section (from 0), start and end in code points, n_tokens."""
+Cutter = Callable[[tuple], tuple[str, list[int]]]
 
-    @F.pandas_udf(SECTIONS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding, lengths = _encoding(path, pattern)
-        for batch in batches:
-            out = []
-            for t in batch:
-                if not t:
-                    out.append([])
-                    continue
-                ends = line_ends(t)
-                starts = [0, *ends[:-1]]
-                sizes = [len(t[a:b].encode()) for a, b in zip(starts, ends, strict=True)]
-                counts = attribute(lengths[np.asarray(encoding.encode_ordinary(t), dtype=np.int64)], np.cumsum(sizes), rule)
-                out.append([{"section": i, "start": a, "end": b, "n_tokens": n} for i, (a, b, n) in enumerate(zip(starts, ends, counts.tolist(), strict=True))])
-            yield pd.Series(out, dtype=object)
 
-    return run(texts)
+def lines_of(values: tuple) -> tuple[str, list[int]]:
+    """A document of one text, and the ends of its lines."""
+    text = values[0] or ""
+    return text, line_ends(text) if text else []
+
 
+def fields_of(values: tuple) -> tuple[str, list[int]]:
+    """A document of several fields, one after another with a line break between them, which belongs to the field before."""
+    parts = [v or "" for v in values]
+    text = "\n".join(parts)
+    return text, [*(np.cumsum([len(x) + 1 for x in parts])[:-1].tolist()), len(text)]
 
-def section_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rule: str = "most") -> DataFrame:
-    """A row for each section: the columns ``keep``, section, start, end, n_tokens."""
-    own = [F.col(f"`{c}`").alias(c) for c in keep]
-    sections = docs.select(*own, count_by_section(F.col(text), path, pattern, rule).alias("_s"))
-    return sections.select(*keep, F.explode("_s").alias("_x")).select(*keep, "_x.section", "_x.start", "_x.end", "_x.n_tokens")
+
+def _sections(path: str, pattern: str, rule: str, n_keep: int, cut: Cutter, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, lengths = _encoding(path, pattern)
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
+            owners, sections, starts, ends, counts = [], [], [], [], []
+            for row, values in enumerate(zip(*[c.to_pylist() for c in batch.columns[n_keep:]], strict=True)):
+                text, own = cut(values)
+                if not own:
+                    continue
+                begins = [0, *own[:-1]]
+                sizes = [len(text[a:b].encode()) for a, b in zip(begins, own, strict=True)]
+                owners += [row] * len(own)
+                sections += range(len(own))
+                starts += begins
+                ends += own
+                counts.append(attribute(lengths[np.asarray(encoding.encode_ordinary(text), dtype=np.int64)], np.cumsum(sizes), rule))
+            kept = [c.take(pa.array(owners, pa.int32())) for c in batch.columns[:n_keep]]
+            made = [pa.array(x, pa.int32()) for x in (sections, starts, ends, np.concatenate(counts) if counts else [])]
+            yield pa.record_batch([*kept, *made], names=names)
+
+    return run
+
+
+def section_tokens(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rule: str = "most", fields: tuple[str, ...] | None = None
+) -> DataFrame:
+    """A row for each section: the columns ``keep``, section, start, end (in code points), n_tokens.
+
+    Sections are the lines of ``text``, or with ``fields`` those columns, of which the document then consists."""
+    columns = (text,) if fields is None else fields
+    own = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").cast("string").alias(f"t{i}") for i, c in enumerate(columns)])
+    made = T.StructType([T.StructField(n, T.IntegerType()) for n in ("section", "start", "end", "n_tokens")])
+    out = T.StructType([*own.schema.fields[: len(keep)], *made])
+    counted = own.mapInArrow(_sections(path, pattern, rule, len(keep), lines_of if fields is None else fields_of, out.names), out)
+    return counted.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *made.names)
