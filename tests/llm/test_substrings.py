@@ -39,7 +39,7 @@ def test_hot_anchors_give_the_same(spark, awkward, monkeypatch):
     docs = awkward.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars"))
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     monkeypatch.setattr(substrings, "HOT_COUNT", 2)
-    assert len(substrings._hot_anchors(docs.selectExpr("doc_id", "0L as row", "text").where("text is not null and doc_id is not null"))) > 10
+    assert len(substrings._hot_anchors(docs.select("text").where("text is not null and doc_id is not null"), docs.count())) > 10
     assert result(docs) == want
 
 
@@ -57,7 +57,8 @@ def test_every_shared_window_shares_its_anchor():
         a, b = (np.r_[rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64), shared, rng.integers(0, 2**63, 9).astype(np.uint64)] for _ in range(2))
         found = []
         for w in (a, b):
-            h, first, count, windows = substrings.anchors_of(w)
+            windows = substrings.run_hashes(w, 13, seed=7)
+            h, first, count = substrings.anchors_of(w)
             found.append({(int(h[k]), int(windows[s])) for k in range(len(h)) for s in range(first[k], first[k] + count[k])})
         assert found[0] & found[1]
 
@@ -75,19 +76,28 @@ def test_windows_that_only_meet_by_a_part_of_their_hashes_stay(spark, monkeypatc
     rows = [(i, " ".join([f"l{i}x{k}" for k in range(8)] + phrase.split() + [f"r{i}x{k}" for k in range(8)])) for i in range(9)]
     rows += [(20, rows[3][1]), (21, "x " + rows[3][1][:-6])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    deal, verify = substrings._deal, getattr(substrings, "_whole", None)
+    windows = substrings._windows
 
-    def patched(f):
+    def patched(*a):
         def run(batches):
             substrings.run_hashes = close
             try:
-                yield from f(batches)
+                yield from windows(*a)(batches)
             finally:
                 substrings.run_hashes = whole
 
         return run
 
-    monkeypatch.setattr(substrings, "_deal", lambda *a: patched(deal(*a)))
-    if verify:
-        monkeypatch.setattr(substrings, "_whole", patched(verify))
+    monkeypatch.setattr(substrings, "_windows", patched)
+    assert result(docs) == brute(rows)
+
+
+def test_hot_routes_are_bounded(spark, monkeypatch):
+    """Of two frequent passages only one is taken as hot; both are found."""
+    monkeypatch.setattr(substrings, "HOT_COUNT", 3)
+    monkeypatch.setattr(substrings, "HOT_MOST", 2)
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    rows = [(i, f"x{i} {a} y{i} {b} z{i}") for i in range(40)] + [(100, f"{b} {a}"), (100, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(substrings._hot_anchors(docs.select("text"), 43)) == 2
     assert result(docs) == brute(rows)
