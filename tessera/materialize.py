@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder of spark.checkpoint.dir; one is made only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    """``checkpoint()`` in the folder that spark.checkpoint.dir names. Without one it fails but on a single machine: a folder of one machine's own would lose data on a cluster."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(named)
     return df.checkpoint()
