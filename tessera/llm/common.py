@@ -12,11 +12,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is made only where the session names none (tests, a laptop)."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one on a single machine
+    (tests, a laptop); on a cluster that is an error, as a folder of one machine's own would lose data."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tessera-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+        sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
 
