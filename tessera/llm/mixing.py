@@ -3,11 +3,11 @@
 Sizes are summed for each source and targets derived from weights; the rate of a source is its
 target over its size. Every document is taken floor(rate) times, and once more if a coin seeded by
 a hash of its id and text falls under the fraction. So reruns agree and no task needs to see a
-whole source. Only (id, source, size) travels, never a text.
+whole source.
 
-The table of sources isn't assumed small: it is ranked by range partitions, its targets come from
-sums, and its join with the documents is Spark's to choose (sources with many rows are split by
-the adaptive skew join).
+The table of sources isn't assumed small: it is ranked by range partitions and its targets come from
+sums. It is counted, and goes to the documents where it is small; so no text travels. Only beyond that
+documents are dealt out, by source and salt.
 
 Defined cases: a null text has size 0; a null source is a source, ranked last; documents without an
 id are mixed like others; repeated rows fall alike; a source of size 0 has target 0; an empty table
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, word_count
 
 MAX_REPEATS = 3
+#: Most sources that are sent to every task (a row of three numbers and a name each), and the salts of a source beyond.
+BROADCAST_SOURCES = 100_000
+SALTS = 64
 SEED = 20
 
 
@@ -67,14 +70,25 @@ def copies(rate: Column, *identity: Column, seed: int = SEED) -> Column:
     return (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+def _with_targets(sized: DataFrame, goals: DataFrame) -> DataFrame:
+    """``sized`` with its sources' targets. Up to BROADCAST_SOURCES sources (counted first) go to every task, so that no
+    row moves; more are joined by source and salt, so that a source may have any share of the rows."""
+    goals = goals.withColumnRenamed("source", "_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if goals.count() <= BROADCAST_SOURCES:
+        return sized.join(F.broadcast(goals), same)
+    spread = goals.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_own"))
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread.hint("merge"), same & (F.col("_salt") == F.col("_own")))
+
+
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: bool = False, **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken (and ``copies``; with ``row``, a struct of its columns)."""
     own = [F.struct("*").alias("row")] if row else []
     sized = docs.select(*own, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_h"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sizes, **options).withColumnRenamed("source", "_source")
+    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    out = sized.join(goals, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", copies(rate, F.col("doc_id"), F.col("_h")))
+    out = _with_targets(sized, goals).withColumn("copies", copies(rate, F.col("doc_id"), F.col("_h")))
     return out.select(*(["row"] if row else []), "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

@@ -50,6 +50,19 @@ def test_awkward(awkward, crowded, nothing, awkward_rows):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_many_sources_are_salted(awkward, crowded, monkeypatch):
+    plan = sorted(map(tuple, mixing.mix_plan(awkward).collect()), key=str)
+    mixed = sorted(map(str, mixing.mix(crowded).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(tuple, mixing.mix_plan(awkward).collect()), key=str) == plan
+    assert sorted(map(str, mixing.mix(crowded).collect())) == mixed
+
+
+def test_documents_stay_where_they_are(awkward):
+    plan = mixing.mix(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BuildRight") >= 1 and "BuildLeft" not in plan
+
+
 def test_targets_are_met(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = mixing.mix_plan(docs).collect()
