@@ -75,9 +75,31 @@ def test_one_of_each_stays(crowded, nothing):
     assert kept.columns == crowded.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+    assert ids.count(None) == 1  # of those without an id one is a copy of document 1
     assert near.keep_one_of_each(nothing).count() == 0
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Links between rows without ids are found; of a repeated id only the copy goes."""
+    base = [f"w{i}" for i in range(60)]
+    near_base = [*base[:59], "x"]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(None, base), (None, near_base), (5, other), (5, base[::-1]), (3, base[::-1]), (None, other[:40]), (None, other[:40]), (None, None), (None, None), (8, None), (8, None)]
+    df = spark.createDataFrame([(d, None if w is None else " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert result(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+    kept = [(r.doc_id, r.text) for r in near.keep_one_of_each(df).collect()]
+    assert sorted(t for d, t in kept if d is not None and t) == sorted(map(" ".join, (other, base[::-1]))) and (3, " ".join(base[::-1])) in kept
+    assert [t for d, t in kept if d is None].count(" ".join(other[:40])) == 1
+    assert len([t for d, t in kept if d is None and t]) == 2 and kept.count((None, None)) == 2 and kept.count((8, None)) == 1
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(near, "HUB", 10)
+    edges = [(1000, k) for k in range(1, 60)] + [(60 + k, 2000) for k in range(40)] + [(2000, 3), (500, 501)] + [(200 + i, 201 + i) for i in range(20)]
+    got = {r.v: r.least for r in near.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[x] == 1 for x in (1000, 2000, 59, 60, 99)) and got[501] == 500 and got[220] == 200
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (5, 6), (8, 8)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.v: r.least for r in near.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
