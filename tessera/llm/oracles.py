@@ -35,7 +35,7 @@ def quality_sql(limits: quality.Limits = quality.Limits(), references: dict[str,
     rows = []
     for lang, x in references.items():
         words = "[" + ", ".join(f"'{w}'" for w in x.common) + "]"
-        rows.append(f"('{lang}', {_numbers(x.classes)}, {words}, {_numbers([*x.common.values(), max(0.0, 1 - sum(x.common.values()))])})")
+        rows.append(f"('{lang}', {_numbers(x.classes)}, {words}, {_numbers(quality.among_themselves(x))})")
     removed = lambda text, pattern: f"length(regexp_replace({text}, '{pattern}', '', 'g'))"
     return rf"""WITH {ROWS}, {PLACED},
 ref(name, classes, common, shares) AS (VALUES {", ".join(rows)}),
@@ -49,13 +49,14 @@ a AS (SELECT r.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_char
 b AS (SELECT *, {removed("t", r"[^\p{Lu}]+")} AS upper_n, n - length(rest) AS letter_n, {removed("rest", r"\P{Nd}+")} AS digit_n, n - word_chars AS space_n,
   {removed("rest", r"[^.,;:!?''" + '"' + r"()\-]+")} AS mark_n, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS own, len(regexp_extract_all(lower(t), '[^\p{{L}}\p{{N}}]+')) + 1 AS own_n FROM a),
 c AS (SELECT *, [x / CAST(n AS DOUBLE) for x in [upper_n, letter_n - upper_n, digit_n, space_n, mark_n, length(rest) - digit_n - space_n - mark_n]] AS p FROM b),
-f AS (SELECT c.rid, ref.*, c.p, c.n, c.n_words, [len(list_filter(own, lambda x: x = v)) / CAST(own_n AS DOUBLE) for v in common] AS found
+f AS (SELECT c.rid, c.lang, own_n, ref.*, c.p, c.n, c.n_words, [len(list_filter(own, lambda x: x = v)) for v in common] AS found
   FROM c JOIN ref ON c.lang = ref.name OR c.lang IS NULL OR c.lang NOT IN (SELECT name FROM ref)),
-g AS (SELECT *, list_append(found, greatest(0, 1 - list_sum(found))) AS q FROM f),
-h AS (SELECT rid, min(CASE WHEN n >= {limits.guard_chars} THEN {_distance("p", "classes")} END) AS cd, min(CASE WHEN n_words >= {limits.guard_words} THEN {_distance("q", "shares")} END) AS wd FROM g GROUP BY rid),
+g AS (SELECT *, list_sum(found) AS hits, [x / CAST(list_sum(found) AS DOUBLE) for x in found] AS q FROM f),
+h AS (SELECT rid, min(CASE WHEN n >= {limits.guard_chars} THEN {_distance("p", "classes")} END) AS cd,
+  bool_or(CASE WHEN n_words >= {limits.guard_words} AND (lang IS NULL OR lang = name) THEN hits / CAST(own_n AS DOUBLE) >= {limits.common_share} AND (hits < {limits.guard_common} OR {_distance("q", "shares")} <= {limits.word_distance}) END) AS fits FROM g GROUP BY rid),
 z AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed FROM a JOIN h USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-NOT base_failed AND coalesce(cd <= {limits.class_distance}, true) AND coalesce(wd <= {limits.word_distance}, true) AS kept FROM z"""
+NOT base_failed AND coalesce(cd <= {limits.class_distance}, true) AND coalesce(fits, true) AS kept FROM z"""
 
 
 def substrings_sql(length: int = substrings.LENGTH) -> str:

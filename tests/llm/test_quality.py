@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -30,18 +31,20 @@ def brute(text, lang):
         kind = unicodedata.category(c)
         chars["upper" if kind == "Lu" else "letter" if kind[0] == "L" else "digit" if kind == "Nd" else "space" if c in " \t\n\v\f\r" else "mark" if c in ".,;:!?'\"()-" else "other"] += 1
     a = min(js([chars[k] / len(t) for k in quality.CLASSES], r.classes) for r in refs) if len(t) >= LIMITS.guard_chars else None
-    b = None
-    if len(w) >= LIMITS.guard_words:
+    b = share = None
+    fits = True
+    if len(w) >= LIMITS.guard_words and (lang is None or lang in quality.REFERENCES):
         found = [x for x in re.split(r"[\W_]+", t.lower()) if x]
         total = max(1, len(found) + (not re.match(r"[^\W_]", t)) + (not re.search(r"[^\W_]\Z", t)))
-
-        def shares(r):
-            p = [found.count(x) / total for x in r.common]
-            return [*p, max(0.0, 1 - sum(p))], [*r.common.values(), max(0.0, 1 - sum(r.common.values()))]
-
-        b = min(js(*shares(r)) for r in refs)
-    kept = not failed and (a is None or a <= LIMITS.class_distance) and (b is None or b <= LIMITS.word_distance)
-    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed, kept), a, b
+        judged = []
+        for r in refs:
+            counts = [found.count(x) for x in r.common]
+            hits, all_of = sum(counts), sum(r.common.values())
+            judged.append((hits / total, js([c / hits for c in counts], [v / all_of for v in r.common.values()]) if hits >= LIMITS.guard_common else None))
+        share, b = max(x for x, _ in judged), min((y for _, y in judged if y is not None), default=None)
+        fits = any(x >= LIMITS.common_share and (y is None or y <= LIMITS.word_distance) for x, y in judged)
+    kept = not failed and (a is None or a <= LIMITS.class_distance) and fits
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed, kept), a, b, share
 
 
 def test_against_brute_force(spark, awkward, awkward_rows):
@@ -49,9 +52,9 @@ def test_against_brute_force(spark, awkward, awkward_rows):
     got = quality.quality_signals(docs, keep=("doc_id", "text", "lang")).collect()
     assert len(got) == docs.count()
     for r in got:
-        want, a, b = brute(r.text, r.lang)
+        want, a, b, share = brute(r.text, r.lang)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == want, r.doc_id
-        for x, y in ((r.class_distance, a), (r.word_distance, b)):
+        for x, y in ((r.class_distance, a), (r.word_distance, b), (r.common_share, share)):
             assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9), r.doc_id
 
 
@@ -73,6 +76,21 @@ def test_labelled_rows(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.15
 
 
+def test_words_decide(spark):
+    """Texts of another language, word lists and invented words go, though their characters are those of prose."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").where("n_chars > 600").collect()
+    other = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
+    rng = random.Random(3)
+    vocabulary = [x for r in docs for x in r.text.lower().split()]
+    common = {x for r in quality.REFERENCES.values() for x in r.common}
+    bare = [x.capitalize() if rng.random() < 0.1 else x for x in vocabulary if x.strip(".,") not in common]
+    lists = [" ".join(rng.sample(bare, 150)) for _ in range(20)]
+    rows = [("own", r.text, r.lang) for r in docs] + [("other", r.text, other[r.lang]) for r in docs] + [("list", t, "en") for t in lists]
+    got = quality.quality_signals(spark.createDataFrame(rows, "what string, text string, lang string"), keep=("what",)).toPandas().groupby("what").agg(kept=("kept", "mean"), base=("base_failed", "mean"))
+    assert got.kept["own"] > 0.98 and got.kept["other"] < 0.1 and got.kept["list"] == 0 and got.base["list"] < 0.1
+
+
 def test_references_from_a_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     refs = quality.fit_references(docs, {"en": ["the", "of"], "qq": ["z"]})
