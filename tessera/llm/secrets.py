@@ -9,14 +9,17 @@ and what it covered isn't searched again:
 
 Four kinds that count only if their bytes have the structure that they claim:
 
-* ``jwt``: three dotted base64url parts, the first of them a JSON object with ``alg``, the second JSON;
-* ``openssh``: base64 of the private key container, whose length-prefixed strings fit one another;
+* ``jwt``: three dotted base64url parts, the first of them a JSON object with ``alg``, the second JSON,
+  the third as long as that algorithm's signatures are;
+* ``openssh``: base64 or hex of the private key container, whose length-prefixed strings fit one another;
 * ``der``: base64 or hex of nested ASN.1 values whose lengths add up and that hold an INTEGER or OID
   as the standard key encodings do;
-* ``pem``: a private key armour whose body decodes to ``der`` or ``openssh``.
+* ``pem``: a private key armour whose body decodes to ``der`` or ``openssh``, or that names its cipher in
+  its header and has a body of whole blocks.
 
-Base64 may be wrapped, by line breaks or by their escapes in strings (a backslash and n or r). Where a
-key ends is taken from its own lengths, so what follows it on the next line does no harm.
+Base64 may be of either alphabet, and wrapped, by line breaks or by their escapes in strings (a
+backslash and n or r). Where a key ends is taken from its own lengths, so what follows it on the next
+line does no harm. Tokens without a signature (``alg`` none) hold no secret and aren't reported.
 
 Spans are in code points, the end exclusive. Rows are scanned one by one; nothing is shuffled.
 
@@ -45,15 +48,24 @@ FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.St
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: Base64 of a brace and what may follow it in JSON, a quotation mark or white space, begins with ey or ew.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]+)\.(e[wy][A-Za-z0-9_-]+|e30)\.([A-Za-z0-9_-]+)")
 #: Where base64 of a SEQUENCE (any length: its first byte is 0x30, its second at most 0x84) or of the container's magic can start.
 START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rnt]))(?:M[A-I]|b3Bl)(?=[A-Za-z0-9+/])")
-RUN = re.compile(r"[A-Za-z0-9+/]+")
+#: Runs of base64, of the two alphabets.
+RUNS = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"))
 WRAP = re.compile(r"(?:[\x20\t]*(?:\\+[rn]|[\r\n]))+[\x20\t]*|\\+(?=/)")
 LEAST_BASE64 = 38
 MAGIC = b"openssh-key-v1\0"
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[rnt/])+)-----END \1-----")
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:\s|\\+[rnt])*(?:[A-Za-z-]+:\x20?[\x20-\x5b\x5d-\x7e]*(?:\s|\\+[rnt])+)*)((?:[A-Za-z0-9+/=\s]|\\+[rnt/])+)-----END \1-----")
+#: The header of an armour that says how its body is encrypted: the cipher, and its first block in hex.
+CIPHER = re.compile(r"DEK-Info:\x20?([A-Z0-9]+)-[A-Z0-9-]+,([0-9A-Fa-f]+)")
+#: Bytes of a signature by algorithm, 0 for any from 128 on.
+SIGNATURES = {
+    "HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES256K": (64,), "ES384": (96,), "ES512": (132,), "EdDSA": (64, 114),
+    "RS256": (0,), "RS384": (0,), "RS512": (0,), "PS256": (0,), "PS384": (0,), "PS512": (0,),
+}
 #: What isn't base64 in the body of an armour: white space and escapes.
 NOT_BODY = re.compile(r"\s|\\+[rnt]|\\+")
 
@@ -134,11 +146,11 @@ def _openssh_length(b: bytes) -> int:
     return at if at <= len(b) else 0
 
 
-def _taken(t: str, at: int, n: int) -> tuple[str, int]:
+def _taken(t: str, at: int, n: int, alphabet: int = 0) -> tuple[str, int]:
     """The first ``n`` base64 characters from a place on, without what wraps them, and where they end. Fewer, if there are fewer."""
     out: list[str] = []
     end = at
-    while n and (m := RUN.match(t, at)):
+    while n and (m := RUNS[alphabet].match(t, at)):
         part = m[0][:n]
         out.append(part)
         n -= len(part)
@@ -152,14 +164,14 @@ def _taken(t: str, at: int, n: int) -> tuple[str, int]:
 
 def _with_pads(t: str, end: int) -> int:
     """The end after pads, or 0 if more base64 follows at once."""
-    if RUN.match(t, end):
+    if RUNS[0].match(t, end):
         return 0
     return end + next(k for k in (2, 1, 0) if t.startswith("=" * k, end))
 
 
-def _der_end(t: str, at: int) -> int:
+def _der_end(t: str, at: int, alphabet: int) -> int:
     """Where the base64 key that starts at a place ends, by the length that it states; 0 if there is none."""
-    head = _base64(_taken(t, at, 12)[0])
+    head = _base64(_taken(t, at, 12, alphabet)[0], bool(alphabet))
     if not head or len(head) < 9 or head[0] != 0x30:
         return 0
     k = head[1] & 0x7F if head[1] & 0x80 else 0
@@ -169,41 +181,68 @@ def _der_end(t: str, at: int) -> int:
     n = -(-total * 4 // 3)
     if not LEAST_BASE64 <= n <= len(t) - at:
         return 0
-    s, end = _taken(t, at, n)
-    return _with_pads(t, end) if len(s) == n and is_der_key(_base64(s)) else 0
+    s, end = _taken(t, at, n, alphabet)
+    return _with_pads(t, end) if len(s) == n and is_der_key(_base64(s, bool(alphabet))) else 0
 
 
-def _openssh_end(t: str, at: int) -> int:
+def _openssh_end(t: str, at: int, alphabet: int) -> int:
     """The same of the private key container; one that isn't all there ends with its line."""
-    if _base64(_taken(t, at, 20)[0]) != MAGIC:
+    if _base64(_taken(t, at, 20, alphabet)[0], bool(alphabet)) != MAGIC:
         return 0
-    s, _ = _taken(t, at, len(t))
-    b = _base64(s[: len(s) - len(s) % 4] if len(s) % 4 == 1 else s)
+    s, _ = _taken(t, at, len(t), alphabet)
+    b = _base64(s[: len(s) - len(s) % 4] if len(s) % 4 == 1 else s, bool(alphabet))
     if not is_openssh_key(b):
         return 0
     n = -(-_openssh_length(b) * 4 // 3)
-    if n and (end := _with_pads(t, _taken(t, at, n)[1])):
+    if n and (end := _with_pads(t, _taken(t, at, n, alphabet)[1])):
         return end
-    line = RUN.match(t, at)
-    return _with_pads(t, line.end()) if len(line[0]) >= LEAST_BASE64 + 2 and is_openssh_key(_base64(line[0])) else 0
+    line = RUNS[alphabet].match(t, at)
+    return _with_pads(t, line.end()) if len(line[0]) >= LEAST_BASE64 + 2 and is_openssh_key(_base64(line[0], bool(alphabet))) else 0
 
 
 def _base64_keys(t: str) -> Iterator[tuple[str, int, int]]:
     at = 0
     while m := START.search(t, at):
-        kind, end = ("openssh", _openssh_end(t, m.start())) if m[0] == "b3Bl" else ("der", _der_end(t, m.start()))
+        kind, find = ("openssh", _openssh_end) if m[0] == "b3Bl" else ("der", _der_end)
+        end = find(t, m.start(), 0) or find(t, m.start(), 1)
         if end:
             yield kind, m.start(), end
         at = end or m.end()
 
 
-def is_signed_token(s: str) -> bool:
-    head, body, _ = s.split(".")
+def _hex_keys(t: str) -> Iterator[tuple[str, int, int]]:
+    for m in HEX_KEY.finditer(t):
+        b = bytes.fromhex(m[0])
+        if is_der_key(b):
+            yield "der", *m.span()
+        elif is_openssh_key(b):
+            yield "openssh", *m.span()
+
+
+def _signed_token_end(m: re.Match) -> int:
+    """Where a signed token ends; 0 if the parts aren't those of one. Marks after a signature of known length aren't its own."""
     try:
-        h, c = (json.loads(_base64(x, alt=True) or b"") for x in (head, body))
+        h, c = (json.loads(_base64(m[k], alt=True) or b"") for k in (1, 2))
     except (ValueError, UnicodeDecodeError, RecursionError):
+        return 0
+    if not (isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(c, dict)) or h["alg"].lower() == "none":
+        return 0
+    for size in SIGNATURES.get(h["alg"], (0,)):
+        n = -(-size * 4 // 3) if size else 0
+        own = m[3] if len(m[3]) == n else m[3].rstrip("_-")
+        least = 171 if h["alg"] in SIGNATURES else 22
+        if len(own) == n if n else len(m[3]) >= least and _base64(m[3], alt=True):
+            return m.start(3) + (len(own) if n else len(m[3]))
+    return 0
+
+
+def _is_encrypted(header: str, body: bytes | None) -> bool:
+    """Whether an armour's header names a cipher and its first block, and the body is whole blocks of that size."""
+    m = CIPHER.search(header)
+    if not m or not body:
         return False
-    return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(c, dict)
+    block = len(m[2]) // 2
+    return block in (8, 16) and len(m[2]) % 2 == 0 and len(body) % block == 0 and len(body) >= 2 * block
 
 
 def findings(t: str | None) -> list[tuple[str, int, int]]:
@@ -216,14 +255,14 @@ def findings(t: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in t:
         out += [("access", *m.span()) for m in ACCESS.finditer(t) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in HEX.finditer(t)]
-    if "eyJ" in t:
-        out += [("jwt", *m.span()) for m in JWT.finditer(t) if is_signed_token(m[0])]
+    if ".e" in t:
+        out += [("jwt", m.start(), end) for m in JWT.finditer(t) if (end := _signed_token_end(m))]
     out += _base64_keys(t)
-    out += [("der", *m.span()) for m in HEX_DER.finditer(t) if is_der_key(bytes.fromhex(m[0]))]
+    out += _hex_keys(t)
     if "-----BEGIN" in t:
         for m in PEM.finditer(t):
-            b = _base64(NOT_BODY.sub("", m[2]))
-            if is_der_key(b) or is_openssh_key(b):
+            b = _base64(NOT_BODY.sub("", m[3]))
+            if is_der_key(b) or is_openssh_key(b) or _is_encrypted(m[2], b):
                 out.append(("pem", *m.span()))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -1,11 +1,14 @@
 import base64
+import hashlib
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import secrets
+from tessera.llm.queries import op4_secret_scan
 
 
 def tlv(tag, body):
@@ -112,3 +115,100 @@ def test_wrapped_text_that_is_no_key():
     assert not kinds(f"{b[:64]}\n{b[64:-8]}\n\n..")
     assert not kinds(f"{b[:64]} {b[64:]}")
     assert not kinds("MII\nMEMO\\nMAIN " * 100 + "b3Bl\n" * 50)
+
+
+def token(header, signature, body=b'{"sub": "1"}'):
+    return ".".join(map(b64url, (header, body, signature)))
+
+
+@pytest.mark.parametrize("alg,size", [("HS256", 32), ("HS384", 48), ("HS512", 64), ("ES256", 64), ("ES384", 96), ("ES512", 132), ("EdDSA", 64), ("EdDSA", 114), ("RS256", 256), ("PS512", 512)])
+@pytest.mark.parametrize("form", ['{"alg":"%s"}', '{ "typ": "JWT", "alg": "%s" }', '{\n  "alg": "%s"\n}'])
+def test_signatures_have_their_lengths(alg, size, form):
+    header = (form % alg).encode()
+    good = token(header, bytes(range(256)) * 2 if size > 256 else bytes(range(size)))
+    assert kinds(f"x {good}, y") == [("jwt", good)] and ("jwt", good) in kinds(f'token="{good}"') and kinds(f"{good}- then") == [("jwt", good)] or size >= 128
+    for n in (0, 1, 2, 20, 31, 33, 65, 100):
+        if n not in (size, 64, 114) and not (alg == "EdDSA" and n in (64, 114)):
+            assert not [k for k, _ in kinds(token(header, bytes(n))) if k == "jwt"], n
+    assert not kinds(token(header.replace(alg.encode(), b"none"), bytes(32))) and not kinds(token(header, bytes(size), b"[1]")) and not kinds(token(b"{}", bytes(32)))
+
+
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\\n"])
+def test_encrypted_armours(line):
+    body = base64.b64encode(bytes(range(160))).decode()
+    armour = line.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0F" * 16, "", body[:64], body[64:128], body[128:], "-----END RSA PRIVATE KEY-----"])
+    assert kinds(f"a {armour} b") == [("pem", armour)]
+    assert not kinds(armour.replace(body[:4], "", 1)) and not kinds(armour.replace("0F" * 16, "0F" * 3)) and not kinds(armour.replace("DEK-Info", "DEK-None"))
+    plain = base64.b64encode(PKCS8).decode()
+    noted = line.join(["-----BEGIN PRIVATE KEY-----", "Comment: mine", "", plain, "-----END PRIVATE KEY-----"])
+    assert ("pem", noted) in kinds(noted)
+
+
+def test_containers_in_hex_and_keys_in_the_other_alphabet():
+    assert [x for x in kinds(f"x {WHOLE_SSH.hex().upper()} y") if x[0] != "hex"] == [("openssh", WHOLE_SSH.hex().upper())]
+    assert set(kinds(f"x {WHOLE_SSH.hex()} y")) == {("openssh", WHOLE_SSH.hex()), ("hex", WHOLE_SSH.hex())}
+    assert {k for k, _ in kinds(f"x {WHOLE_SSH.hex().upper().replace('6F70656E7373', '6F70656E7374')} y")} <= {"hex"}
+    key = tlv(0x30, tlv(0x02, b"\1") + tlv(0x04, b"\xfb\xef\xff" * 12))
+    url, plain = b64url(key), base64.b64encode(key).decode()
+    assert url != plain.rstrip("=") and kinds(f"k={url} z") == [("der", url)] and kinds(f"k {plain}.") == [("der", plain)]
+    assert not kinds(f"k={url[:-6]}")
+
+
+def reparsed(t):
+    """The confirmed base64 and hex keys of a text by trying every run of one line, and every end of it: no prefixes, no stated lengths."""
+    out = set()
+    for alphabet, decode in ((r"[A-Za-z0-9+/]+", base64.b64decode), (r"[A-Za-z0-9_-]+", base64.urlsafe_b64decode)):
+        for m in re.finditer(alphabet, t):
+            try:
+                b = decode(m[0] + "=" * (-len(m[0]) % 4))
+            except ValueError:
+                continue
+            if secrets.is_der_key(b):
+                out.add(("der", m.start()))
+            if secrets.is_openssh_key(b):
+                out.add(("openssh", m.start()))
+    for m in re.finditer(r"[0-9A-Fa-f]+", t):
+        b = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
+        if len(b) >= 25 and (secrets.is_der_key(b) or secrets.is_openssh_key(b)):
+            out.add(("der" if secrets.is_der_key(b) else "openssh", m.start()))
+    return out
+
+
+def test_confirmed_kinds_against_brute_force():
+    rng = random.Random(8)
+    keys = [RSA, PKCS8, WHOLE_SSH, *SHORT.values()]
+    n = 0
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randrange(1, 12)):
+            raw = bytearray(rng.choice(keys))
+            if rng.random() < 0.4:
+                raw[rng.randrange(len(raw))] ^= 1 << rng.randrange(8)
+            if rng.random() < 0.2:
+                raw = raw[: rng.randrange(len(raw))]
+            form = rng.choice([lambda x: base64.b64encode(x).decode(), lambda x: x.hex(), lambda x: x.hex().upper(), b64url, lambda x: "word MAIN b3Bl 30 cafe"])
+            words.append(form(bytes(raw)))
+        t = rng.choice([" ", ", ", " | "]).join(words)
+        own = {(k, a) for k, a, _ in secrets.findings(t) if k in ("der", "openssh")}
+        assert reparsed(t) <= own
+        assert {x for x in own - reparsed(t) if x[0] != "openssh"} == set()
+        n += len(own)
+    assert n > 200
+
+
+def test_query_columns(spark, tmp_path, awkward):
+    """The query's digests, from the plain kinds by brute force and the others by the findings that the tests above hold."""
+    docs = awkward.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, c) for i, c in enumerate([*CASES, TOKEN, RSA.hex(), "password=" + "ab" * 20])], "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for r in docs.collect():
+        own = sorted(brute(r.text), key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        digest = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        counts = [sum(k == x for k, _, _ in own) for x in ("assign", "access", "hex")]
+        added = [x for x in secrets.findings(r.text) if x[0] not in ("assign", "access", "hex")]
+        every = sorted(own + added, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+        want.append((r.doc_id, *counts, hashlib.sha256(digest(own).encode()).hexdigest(), digest(every)))
+    got = op4_secret_scan(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert any("jwt" in x[-1] for x in want) and any("der" in x[-1] for x in want)
