@@ -28,16 +28,16 @@ def brute_print(text):
     kmers = [spark_hash(*words[i : i + 2]) for i in range(max(1, len(words) - 1))]
     seen, elements = Counter(), []
     for k in kmers:
-        elements.append(spark_hash(num(k, 8), num(seen[k], 4)))
+        elements.append((spark_hash(num(k, 8), num(seen[k], 4)), spark_hash(num(seen[k], 4), num(k, 8))))
         seen[k] += 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     out = []
     for base in range(fingerprints.BASES):
-        g = [spark_hash(num(h, 8), num(base, 4)) for h in elements]
+        g = [(e[base // 4] << 16 * (base % 4)) % (1 << 64) for e in elements]
         for t in range(fingerprints.TURNS):
             start = t << (64 - fingerprints.TURN_BITS)
-            least = sorted(range(len(g)), key=lambda p: (g[p] - start) % (1 << 64))[:2]
-            h = spark_hash(num(base * fingerprints.TURNS + t, 4), *[num(elements[p], 8) for p in sorted(least)])
-            out.append(h - (1 << 64) if h >> 63 else h)
+            least = sorted(range(len(g)), key=lambda p: ((g[p] - start) % (1 << 64), signed(elements[p][0])))[:2]
+            out.append(signed(spark_hash(num(base * fingerprints.TURNS + t, 4), *[num(elements[p][0], 8) for p in sorted(least)])))
     return out
 
 
