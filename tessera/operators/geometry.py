@@ -56,10 +56,29 @@ def grown(boxes: DataFrame, by: int, limits: tuple[int, int, int]) -> DataFrame:
 
 
 def ghost_points(boxes: DataFrame, limits: tuple[int, int, int], by: int = 1) -> DataFrame:
-    """(part, x, y, z) of the layer around each box."""
-    inside = [F.col(a).between(F.col(f"o_{a}0"), F.col(f"o_{a}1") - 1) for a in AXES]
+    """(part, x, y, z) of the layer around each box: two slabs for each axis, so that no box's inside is made."""
+    ends = lambda prefix: {f"{a}{e}": F.col(f"{prefix}{a}{e}") for a in AXES for e in "01"}
     own = boxes.select("part", *[F.col(f"{a}{e}").alias(f"o_{a}{e}") for a in AXES for e in "01"])
-    return box_points(grown(boxes, by, limits)).join(own, "part").where(~(inside[0] & inside[1] & inside[2])).select("part", *AXES)
+    both = grown(boxes, by, limits).join(own, "part")
+    slabs = []
+    for k, axis in enumerate(AXES):  # across the axes before this one as wide as the box, across those after as wide as the layer
+        sides = {**ends(""), **{f"{a}{e}": F.col(f"o_{a}{e}") for a in AXES[:k] for e in "01"}}
+        slabs.append({**sides, f"{axis}1": F.col(f"o_{axis}0")})
+        slabs.append({**sides, f"{axis}0": F.col(f"o_{axis}1")})
+    each = both.select("part", F.explode(F.array(*[F.struct(*[c.alias(n) for n, c in s.items()]) for s in slabs])).alias("s"))
+    return box_points(each.select("part", "s.*"))
+
+
+def contains(a: str, b: str) -> Column:
+    """Whether box alias ``a`` has all of ``b``."""
+    inside = [(F.col(f"{a}.{x}0") <= F.col(f"{b}.{x}0")) & (F.col(f"{b}.{x}1") <= F.col(f"{a}.{x}1")) for x in AXES]
+    return inside[0] & inside[1] & inside[2]
+
+
+def neighbouring(a: str, b: str) -> Column:
+    """Whether two box aliases have a plane in common along every axis."""
+    meet = [F.col(f"{a}.{x}0").isin(F.col(f"{b}.{x}0"), F.col(f"{b}.{x}1")) | F.col(f"{a}.{x}1").isin(F.col(f"{b}.{x}0"), F.col(f"{b}.{x}1")) for x in AXES]
+    return meet[0] & meet[1] & meet[2]
 
 
 def disjoint(a: str, b: str) -> Column:
@@ -84,34 +103,41 @@ def imbalance(boxes: list[Box]) -> float:
     return max(max(n) - mean, mean - min(n)) / mean * 100 if mean else -1.0
 
 
-def add_imbalance(boxes: list[Box], percent: float) -> list[Box]:
-    """Boxes that are out of balance by ``percent`` or more: the largest grows into a neighbour, cell layer by cell layer.
+def add_imbalance(boxes: list[Box], percent: float, least: int = 2) -> list[Box]:
+    """Boxes that are out of balance by ``percent`` or more.
 
-    The pair that shares a whole face along z, else y, else x moves it; boxes keep two layers at least.
-    One box stays as it is."""
+    Each round moves two planes by a layer: the first inner face of the largest box outwards, and the
+    first inner face of the smallest, if it is more than ``least`` layers thick there, inwards. Faces are
+    tried along z, y, x, the upper before the lower. All boxes that end at a plane move with it, unless
+    that would make one thinner than ``least`` allows; when no plane moves, that is the end. Of equal boxes
+    the last counts as largest and the first as smallest. One box stays as it is."""
     out = [Box(b.lo[:], b.hi[:]) for b in boxes]
+    domain = Box([min(b.lo[x] for b in out) for x in range(3)], [max(b.hi[x] for b in out) for x in range(3)])
     while len(out) > 1 and imbalance(out) < percent:
-        moved = False
-        for big in sorted(range(len(out)), key=lambda p: -out[p].cells()):
-            for axis in (2, 1, 0):
-                moved = moved or _take_layer(out, big, axis)
-            if moved:
-                break
-        if not moved:
+        sizes = [b.cells() for b in out]
+        large = len(sizes) - 1 - sizes[::-1].index(max(sizes))
+        moves = [_move(out[large], domain, 1, 0), _move(out[sizes.index(min(sizes))], domain, -1, least)]
+        moves = [m for m in moves if m and all(_may_move(b, *m, least) for b in out)]
+        if not moves:
             break
+        for axis, at, by in moves:
+            for b in out:
+                b.lo[axis] += by * (b.lo[axis] == at)
+                b.hi[axis] += by * (b.hi[axis] == at)
     return out
 
 
-def _take_layer(boxes: list[Box], big: int, axis: int) -> bool:
-    a = boxes[big]
-    rest = [x for x in range(3) if x != axis]
-    for p, b in enumerate(boxes):
-        if p == big or any(a.lo[x] != b.lo[x] or a.hi[x] != b.hi[x] for x in rest) or b.hi[axis] - b.lo[axis] <= 2:
-            continue
-        if b.lo[axis] == a.hi[axis]:
-            a.hi[axis] = b.lo[axis] = a.hi[axis] + 1
-            return True
-        if b.hi[axis] == a.lo[axis]:
-            a.lo[axis] = b.hi[axis] = a.lo[axis] - 1
-            return True
-    return False
+def _move(box: Box, domain: Box, outwards: int, thicker_than: int) -> tuple[int, int, int] | None:
+    """(axis, plane, step) of the box's first inner face, moved outwards (1) or inwards (-1)."""
+    for axis in (2, 1, 0):
+        if box.hi[axis] - box.lo[axis] > thicker_than:
+            if box.hi[axis] < domain.hi[axis]:
+                return axis, box.hi[axis], outwards
+            if box.lo[axis] > domain.lo[axis]:
+                return axis, box.lo[axis], -outwards
+    return None
+
+
+def _may_move(box: Box, axis: int, at: int, by: int, least: int) -> bool:
+    shrinks = at == (box.lo if by > 0 else box.hi)[axis]
+    return not shrinks or box.hi[axis] - box.lo[axis] >= least

@@ -39,6 +39,20 @@ def report_lines(tree: dict, depth: int = 0) -> list[str]:
     return out
 
 
+def run_report(parameters, stats: dict, solution, seconds: dict[str, float], workers: int, when: str) -> dict:
+    """The tree of a run: its parameters, the matrix's figures, times of the steps and how the solver ended."""
+    overlap = "1 (yes)" if parameters.mv_overlap_comm_comp == 1 else "0 (no)"
+    sizes = {"nx": parameters.nx, "ny": parameters.ny, "nz": parameters.nz}
+    return {
+        "Global Run Parameters": {"dimensions": sizes, "load_imbalance": parameters.load_imbalance, "mv_overlap_comm_comp": overlap, "number of processors": workers},
+        "Run Date/Time": when,
+        "Matrix attributes": stats,
+        **{f"{step} time": took for step, took in seconds.items()},
+        "CG solve": {"Iterations": solution.iterations, "Final Resid Norm": solution.residual},
+        "Total Program Time": sum(seconds.values()),
+    }
+
+
 def write_report(tree: dict, path: str) -> None:
     Path(path).write_text("\n".join([*report_lines(tree), ""]))
 

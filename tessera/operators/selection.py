@@ -24,10 +24,13 @@ def ranks(batch: DataFrame) -> DataFrame:
 
 
 def kth_smallest(batch: DataFrame, k: int) -> DataFrame:
-    """(row_id, kth_val, kth_idx), k from 0; rows with fewer values are left out."""
+    """(row_id, kth_val, kth_idx), k from 0; rows with fewer values are left out.
+
+    The place is compared as row_number() gives it, so that tasks keep only the first k + 1 values of a row before they meet."""
     if k < 0:
         raise ValueError("k starts at 0")
-    return ranks(batch).where(F.col("rank") == k).select("row_id", F.col("val").alias("kth_val"), F.col("idx").alias("kth_idx"))
+    placed = batch.withColumn("_place", F.row_number().over(Window.partitionBy("row_id").orderBy("val", "idx")))
+    return placed.where(F.col("_place") == k + 1).select("row_id", F.col("val").alias("kth_val"), F.col("idx").alias("kth_idx"))
 
 
 def digit_histogram(values: DataFrame, value: str, passes: int, bits: int = 2) -> DataFrame:

@@ -12,6 +12,18 @@ def spmv(cells: DataFrame, x: DataFrame, rows: DataFrame | None = None, alpha: f
     return y if rows is None else rows.join(y, "row", "left").select("row", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def spmv_axpby(cells: DataFrame, x: DataFrame, y: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """(row, v) of alpha A x + beta y, for the rows that y (i, v) has."""
+    ax = spmv(cells, x, alpha=alpha).select("row", F.col("v").alias("_ax"))
+    return y.select(F.col("i").alias("row"), F.col("v").alias("_y")).join(ax, "row", "left").select("row", (F.coalesce("_ax", F.lit(0)) + F.col("_y") * beta).alias("v"))
+
+
+def accumulate(cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """``cells`` with the coefficients of ``parts`` (row, col, coef) added where they have a cell; elsewhere parts are left out."""
+    sums = parts.groupBy("row", "col").agg(F.sum("coef").alias("_more"))
+    return cells.join(sums, ["row", "col"], "left").select("row", "col", (F.col("coef") + F.coalesce("_more", F.lit(0))).alias("coef"))
+
+
 def spmv_dot(cells: DataFrame, x: DataFrame) -> DataFrame:
     """<x, A x> of a square A, in one plan."""
     y = spmv(cells, x)
@@ -61,6 +73,28 @@ def matrix_stats(cells: DataFrame, rows: DataFrame) -> DataFrame:
     return c.withColumn("memory_gb", (2 * F.col("n_rows") * 4 + F.col("nnz") * 4 + F.col("nnz") * 8) / float(1 << 30))
 
 
+def part_stats(cells: DataFrame, owners: DataFrame) -> DataFrame:
+    """One row: least, greatest and mean rows and cells of the parts of owners (row, part), and the megabytes of what
+    they exchange: each part's external columns (their id and local number), what it sends, and three numbers for each neighbour."""
+    counts = owners.join(cells.groupBy("row").agg(F.count("*").alias("n")), "row", "left").groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.coalesce("n", F.lit(0))).alias("nnz"))
+    out = counts.agg(*[f(c).alias(f"{c}_{name}") for c in ("rows", "nnz") for name, f in (("min", F.min), ("max", F.max), ("avg", F.avg))])
+    outside = externals(cells, owners)
+    numbers = outside.agg(F.count("*").alias("n")).join(F.broadcast(neighbours(outside).agg(F.count("*").alias("m"))))  # one row each
+    return out.join(F.broadcast(numbers)).select(*out.columns, ((3 * F.col("n") + 3 * F.col("m")) * 4 / float(1 << 20)).alias("halo_mb"))
+
+
+def externals(cells: DataFrame, owners: DataFrame) -> DataFrame:
+    """(reader, owner, id): the columns that a part's rows need from other parts."""
+    read = cells.join(owners.select("row", F.col("part").alias("reader")), "row").select("reader", F.col("col").alias("id")).distinct()
+    return read.join(owners.select(F.col("row").alias("id"), F.col("part").alias("owner")), "id").where("reader <> owner").select("reader", "owner", "id")
+
+
+def neighbours(external: DataFrame) -> DataFrame:
+    """(part, neighbour): those that a part reads from or that read from it."""
+    pairs = external.select(F.col("reader").alias("part"), F.col("owner").alias("neighbour")).distinct()
+    return pairs.unionByName(pairs.select(F.col("neighbour").alias("part"), F.col("part").alias("neighbour"))).distinct()
+
+
 def split_by_owner(cells: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
     """The cells whose columns are among rows first..last, and the others."""
     own = F.col("col").between(first, last)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, line) of a text file. Sections are positional, so lines are numbered over the whole file."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return lines.toDF("n long, line string")
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("at")
+    lines = spark.read.text(path).select(at, F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # Lines of a block of the file have consecutive ids; blocks are few, and follow one another by path and start.
+    blocks = lines.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("count"))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(F.broadcast(blocks.select("at", "first", before.alias("before"))), "at").select((F.col("before") + F.col("id") - F.col("first")).alias("n"), "line")
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,7 +23,7 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = F.split(F.trim("line"), r"\s+")
     head = lines.where("n = 0").select(parts.cast("array<long>").alias("p")).first()["p"]
     nnz, rows = head[0], head[1]
-    offsets = lines.where(F.col("n").between(1, rows + 1)).select((F.col("n") - 1).alias("row"), F.trim("line").cast("long").alias("start"))
+    offsets = lines.where(F.col("n").between(1, rows + 1)).select((F.col("n") - 1).alias("row"), F.trim("line").try_cast("long").alias("start"))
     entries = lines.where(F.col("n").between(rows + 2, rows + 1 + nnz)).select((F.col("n") - rows - 2).alias("k"), parts.alias("p"))
     ends = offsets.select((F.col("row") - 1).alias("row"), F.col("start").alias("stop"))
     runs = offsets.join(ends, "row").where("start < stop")
