@@ -68,3 +68,51 @@ def test_headers_and_short_siblings_stay():
         body = f"{rest}<{tag}>" + f"<{item}>{LONG}</{item}>" * 4 + f"</{tag}><p>Yes!</p>"
         for outer in ("div", "main"):
             assert html.main_text(page(f"<{outer}>{body}</{outer}>")) == f"Why? code Four cell {' '.join([LONG.strip()] * 4)} Yes!"
+
+
+def test_scores_decide_within_articles_too():
+    links = "".join(f"<p><a href=x{i}>Another story {i}</a></p>" for i in range(12))
+    for tag in ("article", "section", "div"):
+        assert html.main_text(page(f"<{tag}><p>{LONG}</p><p>{LONG}</p>{links}</{tag}>")) == f"{LONG.strip()} {LONG.strip()}"
+        menu = f"<ul>{''.join(f'<li><a href={i}>item {i}</a></li>' for i in range(5))}</ul>"
+        assert html.main_text(page(f"<{tag}>{menu}<p>{LONG}</p><p><a href=y>One link</a></p><p>{LONG}</p></{tag}>")) == f"{LONG.strip()} One link {LONG.strip()}"
+    some = f"<p>{LONG} <a href=x>a</a>, <a href=y>b</a> and <a href=z>c</a>.</p>"
+    assert html.main_text(page(f"<article>{some}</article>")) == f"{LONG.strip()} a, b and c."
+
+
+@pytest.mark.parametrize("story", ["".join(f"<p>{'word ' * 18}{i}</p>" for i in range(4)), "".join(f"<p>{'word ' * 57}{i}</p>" for i in range(2))])
+def test_a_teaser_is_not_the_article(story):
+    got = html.main_text(page(f"<article>teaser, one.</article><div id=story>{story}</div>"))
+    assert got == " ".join(re.sub("<[^>]*>", " ", story).split())
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post-header-wrap", "page with-footer"])
+def test_wrappers_of_the_whole_page_stay(name):
+    for inner in ("article", "div"):
+        body = f'<div class="{name}"><{inner}><p>{LONG}</p><p>{LONG}</p></{inner}></div>'
+        assert html.main_text(page(body)) == f"{LONG.strip()} {LONG.strip()}"
+
+
+@pytest.mark.parametrize("odd", ["<a ", "<div>", "<", "<b><p>", "</b>", "<li><ul>", "<blockquote>x", "<div class=comment-list>", '<a "', "<noscript>", "<table><tr><td>", "&", "<!-", "<p><a>x</a>", "<div class='a"])
+def test_long_broken_pages_take_no_time(odd):
+    import time
+
+    began = time.process_time()
+    html.main_text(odd * 100_000)
+    assert time.process_time() - began < 5
+
+
+def test_math_is_text():
+    assert html.main_text(f"<article><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == f"{LONG}x=1"
+
+
+def test_no_article_needed(spark):
+    """The same text where the element is called otherwise; repeated rows, empty and null pages, an empty table."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    renamed = F.regexp_replace("html", "(</?)article", "$1div")
+    both = pages.select("page_id", html.extract_main_text(F.col("html")).alias("a"), html.extract_main_text(renamed).alias("b")).collect()
+    assert len(both) == 250 and all(r.a == r.b and r.a for r in both)
+    odd = spark.createDataFrame([(1, None), (1, None), (2, ""), (3, "<p>x, y</p>"), (3, "<p>x, y</p>")], "page_id long, html string")
+    got = odd.select("page_id", html.extract_main_text(F.col("html")).alias("text")).collect()
+    assert sorted(map(tuple, got)) == [(1, ""), (1, ""), (2, ""), (3, "x, y"), (3, "x, y")]
+    assert odd.limit(0).select(html.extract_main_text(F.col("html"))).count() == 0
