@@ -43,25 +43,25 @@ BLOCKED = """bestmeds-online.net/cheap/pills/buy buy-viagra-now.org/pills discou
 no-prescription-meds.net/buy luckycasino.net/slots/bonus grand-poker.org/bonus/win onlineslots777.net/jackpot/win betting-bonus.org/sport/bet/win
 bingo-jackpot.info/cash lottery-winner.net/cash/prize roulette-casino.org/live/bet hot-cams-live.org/girls/nude freeporntube.net/videos/xxx
 adult-videos.info/free/sex xxx-tube.org/porn nude-girls.net/photos escort-girls.org/city/hot sexdating.info/adult/meet adult-chat.net/cams
-spam-mailer.net/bulk/mail/spam buy-backlinks.org/seo/links seo-traffic.info/clicks/cheap link-exchange.net/spam/links cheap-clicks.net/traffic/buy
+spam-mailer.net/bulk/mail/spam content-farm-articles.info/spam buy-backlinks.org/seo/links seo-traffic.info/clicks/cheap link-exchange.net/spam/links cheap-clicks.net/traffic/buy
 auto-traffic-bot.org/fake/clicks replica-watches.net/fake/luxury/cheap fake-designer-bags.org/replica/sale warez-crack.net/keygen/download
 crackedgames.org/torrent/crack serial-keygen.info/crack/software torrent-warez.net/movies/free hack-tools.org/cheat/crack game-cheats.net/hack/money
 payday-cash.net/loans/fast easy-money-fast.org/cash/win bad-credit-loans.net/instant/cash get-rich-quick.info/money/bonus free-gift-cards.net/win/prize
 miracle-diet.net/weight/pills cheap-cigarettes.org/buy/online xxx-cams.info/adult/free porn-stars.net/sex/videos casino-royal.info/poker/bonus""".split()
 ALLOWED = """cityuniversity.org/library/research openschool.net/science/guide riverside-journal.com/news/daily morningtimes.com/news/sport weatherwatch.org/city/weather
 free-software-project.org/free/download/docs softwareguide.com/docs/help/free codeforum.net/community/help history-museum.org/art/guide music-review.com/music/review
-travelguide.com/city/travel/hotels slowfood-blog.net/kitchen/food gardenhelp.org/garden/guide book-review.com/books/review localsports.net/sport/news
+software-archive.org/download/software/free travelguide.com/city/travel/hotels slowfood-blog.net/kitchen/food gardenhelp.org/garden/guide book-review.com/books/review localsports.net/sport/news
 publichealth.org/health/research/drugs familyphotos.net/photo/family techblog.com/tech/data clouddocs.org/docs/data learn-code.com/learn/code/free
 worldnews.com/world/news/money libraryofbooks.net/books/history artjournal.org/art/journal carreview.com/car/auto/best jobsforum.net/jobs/community
 peoples-credit-union.com/bank/loans/home citybank.com/credit/help shop-online.com/shop/store/sale videogamesworld.net/games/review videoguide.org/video/learn
 infohelp.com/index/page myfirstblog.org/blog/post wikihelp.net/wiki/page pharmacy-college.org/science/health weightlifting.org/sport/training
-farm-museum.org/farm/history family-farm.net/farm/food/shop buycott-guide.org/buy/local best-books.net/best/books/list cheap-eats.net/food/review
+farm-museum.org/farm/history family-food.net/kitchen/shop buycott-guide.org/buy/local best-books.net/best/books/list cheap-eats.net/food/review
 girls-school.org/girls/school/sport hot-springs.org/travel/hot cash-flow-course.net/business/learn online-courses.org/learn/online mailhelp.net/mail/guide
-student-loans.org/university/loans/help cinema-review.net/movies/review watchmaker.org/watches/history linkeddata.org/data/links adult-education.org/school/learn/adult
+student-loans.org/university/loans/help cinema-review.net/movies/review watchmaker.org/watches/history linkeddata.org/data/links adult-education.org/school/learn
 traffic-report.net/city/traffic/news chess-club.org/games/chess national-lottery-fund.org/community/grants""".split()
 
 #: Parts of urls that say nothing of their content, beside those of one or two letters.
-SILENT = frozenset("http https www com net org info index html htm php".split())
+SILENT = frozenset("http https www com net org info blog index html htm php".split())
 
 
 def host(url: Column) -> Column:
@@ -117,14 +117,16 @@ class Segmenter:
 
 
 class NaiveBayes:
-    """Multinomial, with one added to each count; words that training never saw say nothing. Trained on (host, path) pairs."""
+    """Multinomial, with one added to each count; words that training never saw say nothing. Trained on (host, path) pairs.
 
-    def __init__(self, segmenter: Segmenter, blocked: list[tuple[str, str]], allowed: list[tuple[str, str]], prior: float = 0.2):
+    Without a ``prior`` for blocking it is the share of blocked pairs, with one added to each side."""
+
+    def __init__(self, segmenter: Segmenter, blocked: list[tuple[str, str]], allowed: list[tuple[str, str]], prior: float | None = None):
         count = [Counter(w for u in urls for w in segmenter.tokens(*u)) for urls in (blocked, allowed)]
         seen = sorted(count[0] | count[1])
         total = [sum(c.values()) + len(seen) for c in count]
         self.odds = {w: math.log((count[0][w] + 1) / total[0]) - math.log((count[1][w] + 1) / total[1]) for w in seen}
-        self.base = math.log(prior / (1 - prior))
+        self.base = math.log(prior / (1 - prior)) if prior else math.log((len(blocked) + 1) / (len(allowed) + 1))
 
     def score(self, tokens: list[str]) -> float:
         """Log-odds of blocking."""

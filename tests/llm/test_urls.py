@@ -53,7 +53,7 @@ def brute_score(counts, host, path):
 
     lists = [[w for u in some for w in tokens(*u.partition("/")[::2])] for some in (urls.BLOCKED, urls.ALLOWED)]
     seen = set(lists[0]) | set(lists[1])
-    score = math.log(0.2 / 0.8)
+    score = math.log((len(urls.BLOCKED) + 1) / (len(urls.ALLOWED) + 1))
     for w in tokens(host, path):
         if w in seen:
             score += math.log((lists[0].count(w) + 1) / (len(lists[0]) + len(seen))) - math.log((lists[1].count(w) + 1) / (len(lists[1]) + len(seen)))
