@@ -44,3 +44,18 @@ def _firsts(rows):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50 and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_awkward_rows_pass_all_stages(spark, awkward, crowded, nothing, awkward_rows):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns and an empty table, each stage on what the one before kept."""
+    for docs in (awkward, crowded, nothing):
+        out = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, "").cache()
+            assert out.columns == docs.columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, out, "")
+        texts = [(r.doc_id, r.text) for r in out.collect()]
+        test_packing.check(texts, last.collect(), 4096)
+        assert bool(texts) == (docs is not nothing)
+    kept = [r for r in awkward_rows if test_quality.brute(r[1], r[2])[0][-1]]
+    assert {r[1] for r in kept} >= {t for _, t in texts}
