@@ -6,12 +6,10 @@ the least values are taken, put back into text order and hashed together: so an
 texts only if both chose the same k-mers in the same order, which follows edit distance rather than the
 set of words. Likeness is the share of entries that agree, whatever the texts' lengths.
 
-The hash functions are made of BASES base hashes, each from TURNS starting points: the value of an
+The hash functions are those of BASES hash families, each from TURNS starting points: the value of an
 element is how far its base hash lies beyond the starting point, around the circle of 64-bit numbers. So
 the two least values are the two elements that follow the starting point, and only elements a short way
-beyond one need to be sorted. A text in which too few lie there is sorted whole. Base hashes are two
-64-bit hashes of the element, each read from its first, 17th, 33rd and 49th bit on; elements that are
-equal from there on follow the whole hash.
+beyond one need to be sorted. A text in which too few lie there is sorted whole.
 
 Defined cases: a null text is empty; a text without words is one empty element, so that all such
 texts are alike; a text of fewer words than a k-mer is one element, and its entries are of it alone;
@@ -38,7 +36,7 @@ ROWS_EACH, MOST_RANGES = 4000, 50_000
 
 
 def _elements(kmers: Column, o: Column) -> Column:
-    """Structs of each element's hashes ``h`` and ``i`` and its place ``p``. o: (k-mer, place) in order if any comes twice, else null."""
+    """Structs of each element's hash ``h`` and place ``p``. o: (k-mer, place) in order if any comes twice, else null."""
     steps = F.lit([1 << s for s in reversed(range(31))])
 
     def first_place(x: Column, i: Column) -> Column:
@@ -50,30 +48,26 @@ def _elements(kmers: Column, o: Column) -> Column:
         again = F.get(o, i - 1)["k"] == x["k"]
         return F.when((i > 0) & again, i - first_place(x["k"], i)).otherwise(0)
 
-    element = lambda k, n, p: F.struct(F.xxhash64(k, n).alias("h"), F.xxhash64(n, k).alias("i"), p.alias("p"))
-    once = F.transform(kmers, lambda x, i: element(x, F.lit(0), i))
-    again = F.transform(o, lambda x, i: element(x["k"], occurrence(x, i), x["p"]))
+    once = F.transform(kmers, lambda x, i: F.struct(F.xxhash64(x, F.lit(0)).alias("h"), i.alias("p")))
+    again = F.transform(o, lambda x, i: F.struct(F.xxhash64(x["k"], occurrence(x, i)).alias("h"), x["p"].alias("p")))
     return F.when(o.isNull(), once).otherwise(again)
 
 
-def _value(x: Column, base: int) -> Column:
-    return F.shiftleft(x["h"] if base < BASES // 2 else x["i"], 128 // BASES * (base % (BASES // 2)))
+def _candidates(e: Column, base: Column) -> Column:
+    """The elements that lie a short way beyond a starting point; all of them in a short text."""
+    most = (F.lit(float(NEAR << 64)) / F.greatest(F.size(e), F.lit(NEAR * TURNS))).cast("long")
+    near = F.filter(e, lambda x: F.xxhash64(x["h"], base).bitwiseAND((1 << (64 - TURN_BITS)) - 1) < most)
+    return F.when(F.size(e) <= NEAR * TURNS, e).otherwise(near)
 
 
-def _sorted(e: Column, base: int) -> Column:
-    """Elements as (g, h, p) by their base hash ``g``."""
-    return F.sort_array(F.transform(e, lambda x: F.struct(_value(x, base).alias("g"), x["h"].alias("h"), x["i"].alias("i"), x["p"].alias("p"))))
+def _placed(c: Column, base: Column) -> Column:
+    """Elements ``c`` with their base hashes ``g``, these sorted as ``s`` and the parts of the circle that they lie in, ``t``.
 
-
-def _candidates(e: Column, most: Column, base: int) -> Column:
-    """The elements that lie a short way beyond a starting point, sorted; all of them in a short text."""
-    near = F.filter(e, lambda x: _value(x, base).bitwiseAND((1 << (64 - TURN_BITS)) - 1) < most)
-    return _sorted(F.when(F.size(e) <= NEAR * TURNS, e).otherwise(near), base)
-
-
-def _placed(s: Column) -> Column:
-    """Sorted elements ``s`` with ``t``, the part of the circle that each lies in."""
-    return F.struct(s.alias("s"), F.transform(s, lambda x: F.shiftrightunsigned(x["g"], 64 - TURN_BITS)).alias("t"))
+    Hashes are sorted alone, which is much cheaper than sorting elements."""
+    hashed = F.array(F.transform(c, lambda x: F.xxhash64(x["h"], base)))
+    ranked = F.transform(hashed, lambda g: F.struct(g.alias("g"), F.sort_array(g).alias("s")))
+    turn = lambda g: F.shiftrightunsigned(g, 64 - TURN_BITS)
+    return F.transform(ranked, lambda x: F.struct(c.alias("c"), x["g"].alias("g"), x["s"].alias("s"), F.transform(x["s"], turn).alias("t")))[0]
 
 
 def _each(n: int) -> Column:
@@ -89,17 +83,21 @@ def _lacking(turns: Column) -> Column:
 def _entries(placed: Column, base: Column) -> Column:
     """For each starting point of a base the hash of the two elements that follow it, in text order."""
     s = placed["s"]
+    element = lambda at: F.element_at(placed["c"], F.array_position(placed["g"], F.element_at(s, at)).cast("int"))
 
     def entry(t: Column) -> Column:
         # The first element of this part of the circle, or else of the next that has any.
         at = F.coalesce(*[F.nullif(F.array_position(placed["t"], ((t + k) % TURNS).cast("long")), F.lit(0).cast("long")) for k in range(TURNS)]).cast("int")
-        x, y, tag = F.element_at(s, at), F.element_at(s, at % F.size(s) + 1), base * TURNS + t
-        pair = F.when(x["p"] < y["p"], F.xxhash64(tag, x["h"], y["h"])).otherwise(F.xxhash64(tag, y["h"], x["h"]))
-        return F.when(F.size(s) == 1, F.xxhash64(tag, x["h"])).otherwise(pair)
+        return F.transform(F.array(F.struct(element(at).alias("x"), element(at % F.size(s) + 1).alias("y"))), lambda two: _pair(two["x"], two["y"], F.size(s), base * TURNS + t))[0]
 
     return F.transform(_each(TURNS), entry)
 
 
+def _pair(x: Column, y: Column, n: Column, tag: Column) -> Column:
+    both = F.when(x["p"] < y["p"], F.xxhash64(tag, x["h"], y["h"])).otherwise(F.xxhash64(tag, y["h"], x["h"]))
+    return F.when(n == 1, F.xxhash64(tag, x["h"])).otherwise(both)
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
     """``df`` with ``out``: an array of ENTRIES numbers."""
     w, kmers, e = F.col("w"), F.col("k"), F.col("e")
@@ -112,13 +110,11 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K) -> DataFram
     places = F.sort_array(F.transform(kmers, lambda x, i: F.struct(x.alias("k"), i.alias("p"))))
     c = b.select("row", "k", F.when(repeats, places).alias("o"))
     d = c.select("row", _elements(kmers, F.col("o")).alias("e"))
-    most = d.select("row", "e", (F.lit(float(NEAR << 64)) / F.greatest(F.size("e"), F.lit(NEAR * TURNS))).cast("long").alias("most"))
-    some = most.select("row", "e", F.array(*[_candidates(e, F.col("most"), i) for i in range(BASES)]).alias("s"))
+    some = d.select("row", "e", F.transform(_each(BASES), lambda i: _candidates(e, i)).alias("s"))
     placed = some.select("row", "e", F.transform("s", _placed).alias("s"))
     # Two elements or more beyond each starting point are the text's own two least; else all are sorted.
     lacking = lambda x: (F.size(e) > NEAR * TURNS) & _lacking(x["t"])
-    full = lambda i: F.transform(F.array(_sorted(e, i)), _placed)[0]
-    whole = placed.select("row", F.array(*[F.when(lacking(F.col("s")[i]), full(i)).otherwise(F.col("s")[i]) for i in range(BASES)]).alias("s"))
+    whole = placed.select("row", F.transform("s", lambda x, i: F.when(lacking(x), _placed(e, i)).otherwise(x)).alias("s"))
     done = whole.select("row", F.flatten(F.transform("s", _entries)).alias("made"))
     return done.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], F.col("made").alias(out))
 
