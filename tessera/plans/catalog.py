@@ -500,7 +500,28 @@ def halo_neighbours(spark, sf_dir):
     return sparse.neighbours(geometry.halos(boxes, (SIDE,) * 3).where("owner < reader").select("reader", "owner"))
 
 
-@query()
+def _imbalance_sql(parts: int = 8, percent: float = 30.0) -> str:
+    """Rounds over one row that holds the boxes as lists by axis and part."""
+    each = f"for p in range(1, {parts + 1})]"
+    faces = lambda p, least: " ".join(
+        f"WHEN h[{x}][{p}] - l[{x}][{p}] > {least} AND h[{x}][{p}] < {SIDE} THEN [{x}, h[{x}][{p}], {{out}}] WHEN h[{x}][{p}] - l[{x}][{p}] > {least} AND l[{x}][{p}] > 0 THEN [{x}, l[{x}][{p}], -({{out}})]" for x in (3, 2, 1)
+    )
+    may = lambda m: f"({m} IS NOT NULL AND len([1 {each[:-1]} if (CASE WHEN {m}[3] > 0 THEN l[{m}[1]][p] ELSE h[{m}[1]][p] END) = {m}[2] AND h[{m}[1]][p] - l[{m}[1]][p] < 2]) = 0)"
+    moved = lambda side, m, ok: "[" + ", ".join(f"[{side}[{x}][p] + CASE WHEN {ok} AND {m}[1] = {x} AND {side}[{x}][p] = {m}[2] THEN {m}[3] ELSE 0 END {each}" for x in (1, 2, 3)) + "]"
+    lists = lambda e: "[" + ", ".join(f"list({x}{e} ORDER BY part)" for x in "xyz") + "]"
+    return f"""{BOXES.replace(f"SELECT 0, {PARTS}, 2", f"SELECT 0, {parts}, 2")}, s AS (SELECT 0 AS k, {lists(0)} AS l, {lists(1)} AS h, true AS going FROM box
+UNION ALL SELECT k + 1, {moved("l1", "shrink", "ok2")}, {moved("h1", "shrink", "ok2")}, ok1 OR ok2 FROM (
+SELECT *, {moved("l", "grow", "ok1")} AS l1, {moved("h", "grow", "ok1")} AS h1 FROM (
+SELECT *, {may("grow")} AS ok1, {may("shrink")} AS ok2 FROM (
+SELECT *, CASE {faces("g", 0).format(out=1)} END AS grow, CASE {faces("q", 2).format(out=-1)} END AS shrink FROM (
+SELECT *, list_sum(n) / {parts}.0 AS mean, {parts + 1} - list_position(list_reverse(n), list_max(n)) AS g, list_position(n, list_min(n)) AS q FROM (
+SELECT *, [(h[1][p] - l[1][p]) * (h[2][p] - l[2][p]) * (h[3][p] - l[3][p]) {each} AS n FROM s WHERE going)))
+WHERE greatest(list_max(n) - mean, mean - list_min(n)) / mean * 100 < {percent})))
+SELECT CAST(p.range AS INTEGER) AS part, {", ".join(f"CAST({side}[{x}][p.range + 1] AS INTEGER) AS {name}{e}" for x, name in ((1, "x"), (2, "y"), (3, "z")) for side, e in (("l", 0), ("h", 1)))}
+FROM (SELECT l, h FROM s ORDER BY k DESC LIMIT 1), range({parts}) p"""
+
+
+@query(_imbalance_sql())
 def add_imbalance(spark, sf_dir):
     boxes = geometry.add_imbalance(geometry.bisect(geometry.Box([0, 0, 0], [SIDE] * 3), 8), 30.0)
     return geometry.table(spark, boxes)
