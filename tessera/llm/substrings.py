@@ -152,7 +152,8 @@ def repeated_windows(docs: DataFrame, keys: list[str], n: int) -> DataFrame:
     found = _with_list(docs, shared, keys, "h").mapInArrow(_windows(hot, keys), f"{named}, g long, start int, hot boolean, windows array<long>")
     each = found.repartition("g").select(*keys, "g", "hot", "start", F.posexplode("windows").alias("i", "window")).withColumn("start", F.col("start") + F.col("i"))
     local = each.withColumn("first", F.min("doc_id").over(Window.partitionBy("g", "window")))
-    out = local.where("doc_id > first").select(*keys, "start")
+    # Both routes read the same columns, so that the stage below is made once for them.
+    out = local.where("doc_id > first and hot is not null").select(*keys, "start")
     if len(hot):  # each salt's first documents meet again
         met = local.where("hot and doc_id = first").withColumn("least", F.min("doc_id").over(Window.partitionBy("window")))
         out = out.unionByName(met.where("doc_id > least").select(*keys, "start"))
