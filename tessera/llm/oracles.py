@@ -6,7 +6,7 @@ repeated windows meet by their words instead of by anchors.
 
 from __future__ import annotations
 
-from tessera.llm import mixing, near, quality, substrings
+from tessera.llm import clustering, fim, mixing, near, quality, sharding, substrings
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,9 +99,66 @@ x AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN target / n ELSE 0 END AS rate,
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x"""
 
 
+def fim_sql(seed: int = fim.SEED) -> str:
+    draw = lambda k: f"CAST('0x' || substr(h, {8 * k - 7}, 8) AS BIGINT)"
+    p, s, m = fim.PREFIX, fim.SUFFIX, fim.MIDDLE
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, least({draw(1)} % (n + 1), {draw(2)} % (n + 1)) AS a, greatest({draw(1)} % (n + 1), {draw(2)} % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR {draw(3)} % 100 >= {fim.FIM_PERCENT} THEN 'plain' WHEN {draw(4)} % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM d),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || substr(t, 1, a) || '{s}' || substr(t, b + 1) || '{m}' || substr(t, a + 1, b - a)
+  ELSE '{s}' || substr(t, b + 1) || '{p}' || substr(t, 1, a) || '{m}' || substr(t, a + 1, b - a) END AS output FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
+def clustering_sql(k: int = clustering.K, rounds: int = clustering.ROUNDS, dim: int = clustering.DIM, scale: int = clustering.SCALE, seed: int = clustering.SEED) -> str:
+    """Lloyd's rounds as a chain of tables: every vector is compared with every centroid in each."""
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+f AS (SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM v),
+c0 AS MATERIALIZED (SELECT c, v AS w FROM f WHERE c < {k})"""
+    for n in range(rounds + 1):
+        out += f""",
+d{n} AS (SELECT rid, vec_id, c, CAST(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{n}),
+a{n} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, min(d) AS d, CAST(arg_min(c, d * {k} + c) AS INTEGER) AS c FROM d{n} GROUP BY rid)"""
+        if n < rounds:
+            out += f""",
+p{n} AS (SELECT c, i, CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) AS s FROM (SELECT a{n}.c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN (SELECT rid, unnest(v) AS x, unnest(range({dim})) AS i FROM v) USING (rid) GROUP BY 1, 2)),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m.w, c{n}.w) AS w FROM c{n} LEFT JOIN (SELECT c, list(s ORDER BY i) AS w FROM p{n} GROUP BY c) m USING (c))"""
+    return out + f"""
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+def sharding_sql(t: sharding.Tree | None = None, seed: int = sharding.SEED) -> str:
+    """Straws of all nodes for each id; the shortest of the children of each winner. The checksum goes byte by byte."""
+    t = sharding.tree() if t is None else t
+    straw = lambda name, w: f"-ln((CAST('0x' || substr(md5('{seed}:' || {name} || ':' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {w}"
+
+    def descent(tree: sharding.Tree, out: str) -> str:
+        rows = ", ".join(f"({s.shard}, {s.region}, {s.rack}, CAST({s.weight} AS DOUBLE))" for s in tree)
+        return f"""{out}t(shard, region, rack, w) AS (VALUES {rows}),
+{out}r AS (SELECT k, arg_min(region, {straw("'region:' || region", "w")}) AS region FROM ids, (SELECT region, sum(w) AS w FROM {out}t GROUP BY 1) GROUP BY k),
+{out}c AS (SELECT k, any_value(region) AS region, arg_min(rack, {straw("'rack:' || region || ':' || rack", "w")}) AS rack FROM {out}r JOIN (SELECT region, rack, sum(w) AS w FROM {out}t GROUP BY 1, 2) USING (region) GROUP BY k),
+{out} AS (SELECT k, CAST(arg_min(shard, {straw("'shard:' || shard", "w")}) AS INTEGER) AS shard FROM {out}c JOIN {out}t USING (region, rack) GROUP BY k)"""
+
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '\\N') AS k, coalesce(text, '') AS t, strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS size FROM documents),
+ids AS (SELECT DISTINCT k FROM d),
+{descent(t, "own")},
+{descent(sharding.grown(t), "more")},
+bits(b, n, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE n < 8),
+steps AS (SELECT list(c ORDER BY b) AS s FROM bits WHERE n = 8),
+x AS (SELECT rid, hex(t) AS h, s FROM d, steps),
+crc AS (SELECT rid, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, s[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM x),
+p AS (SELECT d.doc_id, d.size, crc.crc, own.shard, more.shard AS grown FROM d JOIN crc USING (rid) JOIN own ON own.k = d.k JOIN more ON more.k = d.k)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, crc, size) - 1 AS slot, grown AS grown_shard FROM p"""
+
+
 ORACLES = {
     "op1_quality_rules": quality_sql(),
     "op3_substring_dedup": substrings_sql(),
     "op9_ngram_jaccard_join": near_sql(),
     "op10_mix_sources": mixing_sql(),
+    "op11_fill_in_middle": fim_sql(),
+    "op12_centroid_clustering": clustering_sql(),
+    "op13_hash_tree_shards": sharding_sql(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, html, mixing, near, packing, quality, secrets, substrings, tokens, urls
+from tessera.llm import clustering, fim, fingerprints, html, mixing, near, packing, quality, secrets, sharding, substrings, tokens, urls
 from tessera.llm.common import table
 from tessera.llm.oracles import ORACLES
 
@@ -79,4 +79,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_main_text, op3_substring_dedup, op4_secret_scan, op5_best_fit_packing, op6_url_filter, op7_token_counts, op8_order_minhash, op9_ngram_jaccard_join, op10_mix_sources)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_main_text, op3_substring_dedup, op4_secret_scan, op5_best_fit_packing, op6_url_filter, op7_token_counts, op8_order_minhash, op9_ngram_jaccard_join, op10_mix_sources, op11_fill_in_middle, op12_centroid_clustering, op13_hash_tree_shards)}
