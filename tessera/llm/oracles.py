@@ -141,14 +141,18 @@ def sharding_sql(t: sharding.Tree | None = None, seed: int = sharding.SEED) -> s
 {out}c AS (SELECT k, any_value(region) AS region, arg_min(rack, {straw("'rack:' || region || ':' || rack", "w")}) AS rack FROM {out}r JOIN (SELECT region, rack, sum(w) AS w FROM {out}t GROUP BY 1, 2) USING (region) GROUP BY k),
 {out} AS (SELECT k, CAST(arg_min(shard, {straw("'shard:' || shard", "w")}) AS INTEGER) AS shard FROM {out}c JOIN {out}t USING (region, rack) GROUP BY k)"""
 
-    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '\\N') AS k, coalesce(text, '') AS t, strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS size FROM documents),
+    step = "(c >> 8)"
+    for k in range(8):  # a byte's part of the checksum is the sum of its bits' parts
+        part = 1 << k
+        for _ in range(8):
+            part = part >> 1 ^ 0xEDB88320 * (part & 1)
+        step = f"xor({step}, (xor(c, b) >> {k} & 1) * {part})"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '\\N') AS k, coalesce(text, '') AS t, strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS size FROM documents),
 ids AS (SELECT DISTINCT k FROM d),
 {descent(t, "own")},
 {descent(sharding.grown(t), "more")},
-bits(b, n, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE n < 8),
-steps AS (SELECT list(c ORDER BY b) AS s FROM bits WHERE n = 8),
-x AS (SELECT rid, hex(t) AS h, s FROM d, steps),
-crc AS (SELECT rid, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, s[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM x),
+x AS (SELECT rid, hex(t) AS h FROM d),
+crc AS (SELECT rid, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT))), lambda c, b: {step}), 4294967295) AS crc FROM x),
 p AS (SELECT d.doc_id, d.size, crc.crc, own.shard, more.shard AS grown FROM d JOIN crc USING (rid) JOIN own ON own.k = d.k JOIN more ON more.k = d.k)
 SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, crc, size) - 1 AS slot, grown AS grown_shard FROM p"""
 
