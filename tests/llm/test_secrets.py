@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,75 @@ def test_query_columns(spark, tmp_path, awkward):
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert any("jwt" in x[-1] for x in want) and any("der" in x[-1] for x in want)
+
+
+CONTAINER = base64.b64encode(SSH[:-60] + (40_000).to_bytes(4, "big") + bytes(20)).decode()
+STATES_MUCH = base64.b64encode(bytes.fromhex("3083008000020100028301000000")).decode()
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+HOSTILE = {
+    "fields without an end": BEGIN + "\nA: b" * 200_000,
+    "fields": BEGIN + "\nA: b: c d" * 100_000 + "\n" + END,
+    "escaped fields": BEGIN + "\\nA: b" * 150_000 + END,
+    "a long field": BEGIN + "\n" + "A-" * 500_000 + "\n" + END,
+    "armours without an end": (BEGIN + "\n") * 30_000,
+    "names": "-----BEGIN " + "A " * 500_000,
+    "containers": (CONTAINER[:60] + "\n" + CONTAINER[60:] + "\n") * (1_000_000 // len(CONTAINER)),
+    "starts": "MI" * 500_000,
+    "lines of starts": "MII\n" * 250_000,
+    "starts after slashes": "/MIIABC" * 150_000,
+    "great lengths": (STATES_MUCH + "\n") * (1_000_000 // len(STATES_MUCH)),
+    "escapes": "MIIa\\" * 200_000 + "\\" * 500_000,
+    "hex": "30:82:" * 80_000 + "30: " * 100_000 + "30:" + " " * 300_000,
+    "tokens": "eyA." * 120_000 + "ey" * 200_000,
+    "spaces": "password" + " " * 900_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_goes_with_the_length(name):
+    """A text of about 1 MB takes no more than some seconds, and twice the text about twice the time."""
+    t = HOSTILE[name]
+    began = time.process_time()
+    secrets.findings(t[: len(t) // 2])
+    half = time.process_time() - began
+    began = time.process_time()
+    secrets.findings(t)
+    whole = time.process_time() - began
+    assert whole < 6 and (whole < 0.5 or whole < 3.2 * half)
+
+
+@pytest.mark.parametrize("before", ["path/", "a=b/c/", "data:application/x-key;base64,", "https://h/k?x=", "+", "k:"])
+def test_keys_after_other_marks(before):
+    key = base64.b64encode(PKCS8).decode()
+    assert ("der", key) in kinds(f"{before}{key} then")
+
+
+def test_hex_with_colons():
+    for key, kind in ((RSA, "der"), (PKCS8, "der"), (WHOLE_SSH, "openssh"), *((x, "der") for x in SHORT.values())):
+        pairs = [key.hex()[k : k + 2] for k in range(0, 2 * len(key), 2)]
+        one = ":".join(pairs)
+        lines = ":\n    ".join(":".join(pairs[k : k + 15]) for k in range(0, len(pairs), 15))
+        assert kinds(f"key {one} end") == [(kind, one)] and kinds(f"Key:\n    {lines}\nnext") == [(kind, lines)] and kinds(f"key {one}:00:01:02 end") == [(kind, one)]
+    assert not kinds(f"{one[:-3]}") and not kinds("30:" + "00:" * 40) and not kinds("a1:" + one)
+
+
+def ints(*sizes):
+    return base64.b64encode(tlv(0x30, b"".join(tlv(0x02, bytes([0 if n == 1 else 7]) * n) for n in sizes))).decode()
+
+
+@pytest.mark.parametrize("sizes", [(8,) * 5, (8,) * 9, (1, 64, 3, 64, 32, 32, 32, 32), (1, 64, 3, 64, 3, 3, 32, 32, 32), (1, 64, 40, 64, 32, 32, 32, 32, 32), (1, 64, 20, 64, 64), (1, 64, 3, 64, 64, 20), (1,) * 20])
+def test_integers_that_are_no_key(sizes):
+    assert not kinds(ints(*sizes))
+
+
+def test_integer_keys():
+    assert [k for k, _ in kinds(ints(1, 64, 3, 64, 32, 32, 32, 32, 32))] == ["der"] and [k for k, _ in kinds(ints(1, 129, 21, 128, 129, 20))] == ["der"]
+    no_version = tlv(0x30, tlv(0x02, b"\0") + tlv(0x04, bytes(32)))
+    assert not kinds(base64.b64encode(no_version).decode())
+
+
+def test_cut_signatures():
+    good = token(b'{"alg":"RS256"}', bytes(range(256)))
+    assert kinds(good) == [("jwt", good)]
+    for n in (1, 3, 6, 20):
+        assert not [k for k, _ in kinds(good[:-n]) if k == "jwt"]
