@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import inverse3, running_coords
-from tessera.materialize import materialize
+from tessera.materialize import materialize, settled
+from tessera.operators.halo import Layout
 from tessera.operators.sparse import spmv, spmv_ell, to_sliced_ell
 from tessera.sources.domain import mesh_elements, mesh_nodes
 
@@ -156,10 +157,15 @@ def dirichlet(a: DataFrame, b: DataFrame, mesh: Mesh) -> tuple[DataFrame, DataFr
 
 @dataclass
 class Solution:
+    """``breakdown``: the last direction and its product were as good as orthogonal, so that no step was left to take;
+    then the residual says how far the solution is."""
+
     x: DataFrame
     iterations: int
     residual: float
     first_residual: float
+    converged: bool = False
+    breakdown: bool = False
 
 
 #: A x for x (i, v), as (row, v).
@@ -178,30 +184,41 @@ def by_slices(a: DataFrame, rows: DataFrame, width: int = 256) -> Matvec:
     return lambda x: spmv_ell(packed, x)
 
 
-def conjugate_gradients(a: DataFrame | Matvec, b: DataFrame, iterations: int = 200, tolerance: float = EPSILON) -> Solution:
-    """(i, v) of A x = b from x = 0, at most ``iterations`` steps, until the residual is at the tolerance.
+def conjugate_gradients(a: DataFrame | Matvec | Layout, b: DataFrame, iterations: int = 200, tolerance: float = EPSILON) -> Solution:
+    """(i, v) of A x = b (row, v) from x = 0, at most ``iterations`` steps, until the residual is at the tolerance.
 
-    ``a`` is a table of cells or any product with one. A step multiplies, cuts the lineage and takes two sums."""
+    ``a`` is a table of cells, any product with one, or cells that are laid out by owner: then the vectors are
+    too, and a step moves only what parts need of one another. A step multiplies, cuts the lineage and takes two sums."""
+    start = b.select(F.col("row").alias("i"), F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"), F.lit(0.0).alias("p"))
+    if isinstance(a, Layout):
+        with settled(b.sparkSession):
+            times = lambda p: a.product(p.select("part", "i", F.col("p").alias("v"))).select("part", "i", F.col("v").alias("ap"))
+            return _steps(times, ["part", "i"], materialize(a.spread(start)), iterations, tolerance)
     product = by_cells(a) if isinstance(a, DataFrame) else a
-    state = b.select(F.col("row").alias("i"), F.lit(0.0).alias("x"), F.col("v").alias("r"), F.lit(0.0).alias("p"))
+    return _steps(lambda p: product(p.select("i", F.col("p").alias("v"))).select(F.col("row").alias("i"), F.col("v").alias("ap")), ["i"], start, iterations, tolerance)
+
+
+def _steps(times: Matvec, keys: list[str], state: DataFrame, iterations: int, tolerance: float) -> Solution:
     rtr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     residual = first = math.sqrt(rtr)
-    beta, done = 0.0, 0
+    beta, done, breakdown = 0.0, 0, False
     while done < iterations and residual > tolerance:
         p = state.withColumn("p", F.col("r") + beta * F.col("p"))
-        ap = product(p.select("i", F.col("p").alias("v"))).select(F.col("row").alias("i"), F.col("v").alias("ap"))
-        step = materialize(p.join(ap, "i"))
+        step = materialize(p.join(times(p), keys))
         pap, pp, apap = step.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("p") * F.col("p")), F.sum(F.col("ap") * F.col("ap"))).first()
+        if pap is None:
+            raise ValueError("the matrix has none of the rows of the right-hand side")
         if pap < 0:
             raise ArithmeticError("the matrix isn't positive definite")
-        if pap <= 100 * math.sqrt(pp * apap) * EPSILON:  # p and A p are as good as orthogonal: no step is left to take
+        if pap <= 100 * math.sqrt(pp * apap) * EPSILON:
+            breakdown = True
             break
         alpha = rtr / pap
-        state = step.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
+        state = step.select(*keys, (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         done += 1
         before, rtr = rtr, state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         beta, residual = rtr / before, math.sqrt(rtr)
-    return Solution(state.select("i", F.col("x").alias("v")), done, residual, first)
+    return Solution(state.select("i", F.col("x").alias("v")), done, residual, first, residual <= tolerance, breakdown)
 
 
 #: From here on sinh(pi (2p + 1)) is no finite number, so that a term is none or 0.
