@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.spatial import overlap_join
 from tessera.sources.domain import box_points
 
 COLUMNS = "part int, x0 int, x1 int, y0 int, y1 int, z0 int, z1 int"
@@ -89,8 +90,8 @@ def disjoint(a: str, b: str) -> Column:
 
 def halos(boxes: DataFrame, limits: tuple[int, int, int], by: int = 1) -> DataFrame:
     """(owner, reader, x, y, z): the points of ``owner`` that ``reader`` needs around its own box."""
-    readers = grown(boxes, by, limits)
-    pairs = boxes.alias("o").join(readers.alias("r"), (F.col("o.part") != F.col("r.part")) & ~disjoint("o", "r"))
+    met = overlap_join(boxes, grown(boxes, by, limits), [(f"{a}0", f"{a}1") for a in AXES], closed=False)
+    pairs = met.select(F.col("a").alias("o"), F.col("b").alias("r")).where("o.part <> r.part")
     common = [F.greatest(f"o.{a}0", f"r.{a}0").alias(f"{a}0") for a in AXES] + [F.least(f"o.{a}1", f"r.{a}1").alias(f"{a}1") for a in AXES]
     both = pairs.select(F.struct(F.col("o.part").alias("owner"), F.col("r.part").alias("reader")).alias("part"), *common)
     return box_points(both).select("part.owner", "part.reader", *AXES)

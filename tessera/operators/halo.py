@@ -42,19 +42,26 @@ class Layout:
     def product(self, x: DataFrame) -> DataFrame:
         """(part, i, v) of A x for a spread x (part, i, v), for the ids that x has."""
         at = x.select("part", F.col("i").alias("col"), F.col("v").alias("_x"))
-        add = F.sum(F.col("coef") * F.col("_x"))
-        sums = [self.own.join(at.hint("merge"), ["part", "col"]).groupBy("part", "row").agg(add.alias("_s0"))]
+        add = (F.col("coef") * F.col("_x")).alias("v")
+        terms = self.own.join(at.hint("merge"), ["part", "col"]).select("part", "row", add)
         sent = self.halo.join(at.hint("merge"), ["part", "col"]).select(F.col("reader").alias("part"), "col", "_x").repartition(self.parts, "part")
-        sums.append(self.outside.join(sent.hint("merge"), ["part", "col"]).groupBy("part", "row").agg(add.alias("_s1")))
+        terms = terms.unionByName(self.outside.join(sent.hint("merge"), ["part", "col"]).select("part", "row", add))
         if self.long is not None:
-            partial = self.long.join(at.hint("merge"), ["part", "col"]).groupBy("part", "row").agg(add.alias("_s"))
-            home = partial.select(self.owner(F.col("row")).cast("int").alias("part"), "row", "_s").repartition(self.parts, "part")
-            sums.append(home.groupBy("part", "row").agg(F.sum("_s").alias("_s2")))
-        out = x.select("part", F.col("i").alias("row"))
-        for s in sums:
-            out = out.join(s.hint("merge"), ["part", "row"], "left")
-        total = sum((F.coalesce(f"_s{k}", F.lit(0.0)) for k in range(1, len(sums))), F.coalesce("_s0", F.lit(0.0)))
-        return out.select("part", F.col("row").alias("i"), total.alias("v"))
+            partial = self.long.join(at.hint("merge"), ["part", "col"]).groupBy("part", "row").agg(F.sum(add).alias("v"))
+            terms = terms.unionByName(partial.select(self.owner(F.col("row")).cast("int").alias("part"), "row", "v").repartition(self.parts, "part"))
+        return with_product(x.select("part", "i"), terms.withColumnRenamed("row", "i"), ["part", "i"])
+
+
+def with_product(p: DataFrame, terms: DataFrame, keys: list[str], out: str = "v") -> DataFrame:
+    """``p`` (keys and doubles, a row each) with ``out``: the sum of the terms (keys, v) of each row, 0 without any.
+
+    A union and a sum: in place where both sides are, and, unlike with a join, what Spark takes for the size of a
+    result doesn't multiply with every step of an iteration until it has millions of digits."""
+    rest = [c for c in p.columns if c not in keys]
+    zero = F.lit(0.0)
+    both = p.select(*keys, *rest, zero.alias(out), F.lit(1).alias("_own")).unionByName(terms.select(*keys, *[zero.alias(c) for c in rest], F.col("v").alias(out), F.lit(0).alias("_own")))
+    summed = both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rest], F.coalesce(F.sum(out), zero).alias(out), F.max("_own").alias("_own"))
+    return summed.where("_own = 1").drop("_own")
 
 
 def by_hash(parts: int) -> Owner:

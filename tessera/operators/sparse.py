@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.materialize import materialize
+
 
 def spmv(cells: DataFrame, x: DataFrame, rows: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
     """(row, v) of alpha A x. With ``rows`` (row), rows without cells are there, with 0."""
@@ -52,12 +54,14 @@ def to_sliced_ell(cells: DataFrame, rows: DataFrame, width: int = 256) -> DataFr
     """(row, slice, len, coefs, cols): as ``to_ell``, with long rows dealt by a hash of their columns into slices of about ``width`` cells.
 
     No value or task holds a long row, and what is padded is a slice, to the longest slice."""
+    cells, rows = materialize(cells), materialize(rows)  # each is read several times
     long = cells.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") > width)
     slices = long.select("row", F.ceil(F.col("n") / width).cast("long").alias("slices"))
     dealt = cells.join(slices, "row", "left").withColumn("slice", F.pmod(F.xxhash64("col"), F.coalesce("slices", F.lit(1).cast("long"))))
     key = F.struct("row", "slice")
     empty = rows.join(cells.select("row").distinct(), "row", "left_anti").select(F.struct("row", F.lit(0).cast("long").alias("slice")).alias("row"))
     own = dealt.join(rows, "row", "left_semi").select(key.alias("row"), "col", "coef")
+    own = materialize(own)
     return to_ell(own, own.select("row").distinct().unionByName(empty)).select("row.row", "row.slice", "len", "coefs", "cols")
 
 

@@ -80,19 +80,17 @@ def digit_histogram(spark, sf_dir):
     return selection.digit_histogram(_read(spark, sf_dir, "orders"), "o_custkey", 16)
 
 
-PERM = "WITH b AS (SELECT r.range AS row_id, i.range AS idx, (5 * i.range + 17 * r.range) % 128 AS val FROM range(64) r, range(128) i)"
-
-
-@query(PERM + """, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY val DESC, idx) AS k FROM b)
-SELECT m.row_id, m.val AS max_val, m.idx AS max_idx, k.val AS kth_val, k.idx AS kth_idx FROM r m JOIN r k USING (row_id) WHERE m.k = 1 AND k.k = 128 - 37""")
+@query(BATCH + """, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY val DESC, idx) AS d, row_number() OVER (PARTITION BY row_id ORDER BY val, idx) AS u FROM b)
+SELECT m.row_id, m.val AS max_val, m.idx AS max_idx, k.val AS kth_val, k.idx AS kth_idx FROM r m JOIN r k USING (row_id) WHERE m.d = 1 AND k.u = 1 + 3""")
 def perm_batch_select(spark, sf_dir):
-    batch = domain.affine_permutations(spark, 64, 128)
-    return selection.argmax(batch).join(selection.kth_smallest(batch, 37), "row_id")
+    """The greatest and the fourth of each row that has as many, with places."""
+    batch = _lines(spark, sf_dir)
+    return selection.argmax(batch).join(selection.kth_smallest(batch, 3), "row_id")
 
 
-@query(PERM + ' SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY (val >> 2) & 3, idx) - 1 AS "at" FROM b')
+@query(BATCH + ' SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY (val >> 2) & 3, idx) - 1 AS "at" FROM b')
 def radix_pass(spark, sf_dir):
-    return selection.radix_pass(domain.affine_permutations(spark, 64, 128), 2)
+    return selection.radix_pass(_lines(spark, sf_dir), 2)
 
 
 PRICES = """WITH v AS (SELECT CASE WHEN l_quantity = 13 THEN NULL ELSE l_extendedprice END AS price, l_orderkey * 8 + l_linenumber AS place FROM lineitem),
@@ -138,9 +136,10 @@ def bisect_orders(spark, sf_dir):
 # --- vectors ---------------------------------------------------------------------------------------
 
 
-@query("SELECT range AS i, (range + 2 * range) * 2 AS x FROM range(100000)")
+@query("SELECT o_orderkey AS i, 2 * (o_custkey + CAST(round(o_totalprice * 100) AS BIGINT)) AS x FROM orders")
 def vec_add_chain(spark, sf_dir):
-    return vectors.add_chain(domain.vector(spark, 100_000, y=lambda i: i, z=lambda i: 2 * i)).select("i", "x")
+    df = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("y"), F.round(F.col("o_totalprice") * 100).cast("long").alias("z"))
+    return vectors.add_chain(df).select("i", "x")
 
 
 @query("SELECT l_orderkey, l_partkey, round(l_quantity + l_tax - l_discount, 4) + 0.0 AS x, round(l_quantity - l_tax + l_discount, 4) + 0.0 AS a FROM lineitem")
@@ -149,14 +148,17 @@ def vec_two_output(spark, sf_dir):
     return vectors.two_outputs(df).select("l_orderkey", "l_partkey", _rounded("x", 4).alias("x"), _rounded("a", 4).alias("a"))
 
 
-@query("SELECT range AS i, (range - 30) * (range + 100) AS y FROM range(100000)")
+@query("SELECT event_id AS i, (CAST(round(value * 100) AS BIGINT) - 30) * (CAST(round(value * 100) AS BIGINT) + 100) AS y FROM events")
 def vec_poly(spark, sf_dir):
-    return domain.vector(spark, 100_000, y=lambda i: (i - 30) * (i + 100))
+    x = F.round(F.col("value") * 100).cast("long")
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), ((x - 30) * (x + 100)).alias("y"))
 
 
-@query("SELECT range AS i, 2 * range + 3 * (range * range) AS v FROM range(20000) WHERE range < 15000")
+@query("""WITH q AS (SELECT l_partkey AS i, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT q.i, 2 * q.v + 3 * CAST(p_size AS BIGINT) AS v FROM q JOIN part ON p_partkey = q.i""")
 def vec_waxpby(spark, sf_dir):
-    return vectors.waxpby(domain.vector(spark, 15_000, v=lambda i: i), domain.vector(spark, 20_000, v=lambda i: i * i), 2, 3)
+    returned = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("i")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    return vectors.waxpby(returned, _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("long").alias("v")), 2, 3)
 
 
 @query("SELECT o_orderkey AS i, round(o_totalprice + 0.5 * o_custkey, 2) + 0.0 AS x, round(o_totalprice - 0.5 * o_custkey, 2) + 0.0 AS r FROM orders")
@@ -222,21 +224,6 @@ def accumulate_pattern(spark, sf_dir):
     return sparse.accumulate(cells, parts).select("row", "col", F.col("coef").cast("long").alias("coef"))
 
 
-@query("""WITH a AS (SELECT i.range AS "row", i.range + d.range * d.range * d.range - 1 AS col FROM range(3000) i, range(3) d WHERE i.range + d.range * d.range * d.range - 1 BETWEEN 0 AND 2999),
-o AS (SELECT range AS "row", (range * range // 1000000) AS part FROM range(3000)),
-n AS (SELECT part, count(DISTINCT o."row") AS r, count(*) AS z FROM o JOIN a USING ("row") GROUP BY 1),
-x AS (SELECT DISTINCT p.part AS reader, q.part AS owner, col FROM a JOIN o p ON p."row" = a."row" JOIN o q ON q."row" = a.col WHERE p.part <> q.part),
-m AS (SELECT DISTINCT reader, owner FROM x UNION SELECT DISTINCT owner, reader FROM x)
-SELECT min(r) AS rows_min, max(r) AS rows_max, round(avg(r), 6) AS rows_avg, min(z) AS nnz_min, max(z) AS nnz_max, round(avg(z), 6) AS nnz_avg,
-round((3.0 * (SELECT count(*) FROM x) + 3 * (SELECT count(*) FROM m)) * 4 / 1048576, 9) AS halo_mb FROM n""")
-def matrix_part_stats(spark, sf_dir):
-    d = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 7)]))
-    cells = spark.range(3000).select(F.col("id").alias("row"), d.alias("d")).select("row", (F.col("row") + F.col("d")).alias("col"), F.lit(1.0).alias("coef")).where(F.col("col").between(0, 2999))
-    owners = spark.range(3000).select(F.col("id").alias("row"), F.expr("id * id div 1000000").alias("part"))
-    out = sparse.part_stats(cells, owners)
-    return out.select(*[F.round(c, 9 if c == "halo_mb" else 6).alias(c) if out.schema[c].dataType.typeName() == "double" else c for c in out.columns])
-
-
 @query(CELLS + """, c AS (SELECT o."row", count(a.col) AS n FROM (SELECT o_orderkey AS "row" FROM orders) o LEFT JOIN a ON a."row" = o."row" GROUP BY 1)
 SELECT count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS nnz, round(avg(n), 6) AS mean_row, max(n) AS longest_row, CAST(count(*) FILTER (n = 0) AS BIGINT) AS empty_rows,
 round((2.0 * count(*) * 4 + sum(n) * 12) / 1073741824, 9) AS memory_gb FROM c""")
@@ -245,29 +232,31 @@ def nnz_stats(spark, sf_dir):
     return sparse.matrix_stats(cells, rows).select("n_rows", "nnz", F.round("mean_row", 6).alias("mean_row"), "longest_row", "empty_rows", F.round("memory_gb", 9).alias("memory_gb"))
 
 
-@query("""SELECT CAST(sum((i.range + 1) * CASE WHEN i.range = j.range THEN 4 ELSE -1 END * (j.range + 1)) AS BIGINT) AS dot
-FROM range(3000) i JOIN range(3000) j ON abs(i.range - j.range) <= 1""")
-def spmv_dot(spark, sf_dir):
-    band = spark.range(3000).select(F.col("id").alias("row"), F.explode(F.array(*[F.struct((F.col("id") + d).alias("col"), F.lit(4 if d == 0 else -1).alias("coef")) for d in (-1, 0, 1)])).alias("c"))
-    cells = band.select("row", "c.col", "c.coef").where(F.col("col").between(0, 2999))
-    return sparse.spmv_dot(cells, domain.vector(spark, 3000, v=lambda i: i + 1)).select(F.col("dot").cast("long").alias("dot"))
-
+FACTORS = """WITH a AS (SELECT o_custkey{0} AS i, l_partkey{1} AS j, CAST(l_quantity AS BIGINT) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+b AS (SELECT l_partkey{1} AS j, l_suppkey{2} AS k, CAST(l_linenumber AS BIGINT) AS v FROM lineitem),
+c AS (SELECT i, k, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM (SELECT i, j, sum(v) AS v FROM a GROUP BY 1, 2) x JOIN (SELECT j, k, sum(v) AS v FROM b GROUP BY 1, 2) y USING (j) GROUP BY 1, 2)"""
 
-MATMUL = "SELECT i.range AS i, k.range AS k, CAST(sum((3 * i.range + 4 * j.range) * (5 * j.range + 6 * k.range)) AS BIGINT) AS v FROM range({0}) i, range({1}) j, range({2}) k GROUP BY 1, 2"
 
-
-def _factors(spark, ni, nj, nk):
-    return domain.matrix(spark, ni, nj, lambda i, j: 3 * i + 4 * j), domain.matrix(spark, nj, nk, lambda j, k: 5 * j + 6 * k, ("j", "k", "v"))
+def _factors(spark, sf_dir, ni=None, nj=None, nk=None) -> tuple[DataFrame, DataFrame]:
+    """Customers by parts, in ordered quantities, and parts by suppliers; with sizes, folded into so many rows and columns. Cells repeat."""
+    fold = lambda c, n: F.col(c) % n if n else F.col(c)
+    lines = _read(spark, sf_dir, "lineitem")
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    a = lines.join(orders, "l_orderkey").select(fold("o_custkey", ni).alias("i"), fold("l_partkey", nj).alias("j"), F.col("l_quantity").cast("long").alias("v"))
+    return a, lines.select(fold("l_partkey", nj).alias("j"), fold("l_suppkey", nk).alias("k"), F.col("l_linenumber").cast("long").alias("v"))
 
 
-@query(MATMUL.format(240, 60, 120))
+@query(FACTORS.format("", "", "") + " SELECT * FROM c")
 def matmul_generated(spark, sf_dir):
-    return dense.matmul_cells(*_factors(spark, 240, 60, 120))
+    """By cells, which are summed first."""
+    a, b = _factors(spark, sf_dir)
+    return dense.matmul_cells(a.groupBy("i", "j").agg(F.sum("v").alias("v")), b.groupBy("j", "k").agg(F.sum("v").alias("v")))
 
 
-@query(MATMUL.format(60, 240, 120))
+@query(FACTORS.format("", "", "") + " SELECT * FROM c")
 def matmul_blocks(spark, sf_dir):
-    return dense.matmul_blocks(*_factors(spark, 60, 240, 120), block=64).select("i", "k", F.col("v").cast("long").alias("v"))
+    """By blocks, on a grid of tasks."""
+    return dense.matmul_blocks(*_factors(spark, sf_dir), block=128, side=4).select("i", "k", F.col("v").cast("long").alias("v"))
 
 
 SHAPES = [(240, 60, 120), (240, 120, 60), (120, 60, 240), (120, 240, 60), (60, 240, 120), (60, 120, 240)]
@@ -276,7 +265,7 @@ SHAPES = [(240, 60, 120), (240, 120, 60), (120, 60, 240), (120, 240, 60), (60, 2
 def _shape_sql() -> str:
     parts = []
     for ni, nj, nk in SHAPES:
-        product = MATMUL.format(ni, nj, nk)
+        product = FACTORS.format(f" % {ni}", f" % {nj}", f" % {nk}") + " SELECT * FROM c"
         parts += [f"SELECT {ni} AS ni, {nj} AS nj, {nk} AS nk, {blocks} AS blocks, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (i + 2 * k)) AS BIGINT) AS placed FROM ({product})" for blocks in ("false", "true")]
     return " UNION ALL ".join(parts)
 
@@ -286,8 +275,10 @@ def matmul_shapes(spark, sf_dir):
     """Both products of all six shapes: cells, their sum, and a sum that tells places apart."""
     out = None
     for shape in SHAPES:
+        a, b = _factors(spark, sf_dir, *shape)
+        cells = dense.matmul_cells(a.groupBy("i", "j").agg(F.sum("v").alias("v")), b.groupBy("j", "k").agg(F.sum("v").alias("v")))
         for blocks in (False, True):
-            product = dense.matmul_blocks(*_factors(spark, *shape), block=64) if blocks else dense.matmul_cells(*_factors(spark, *shape))
+            product = dense.matmul_blocks(a, b, block=64, side=2) if blocks else cells
             v = F.col("v").cast("long")
             own = product.agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * (F.col("i") + 2 * F.col("k"))).alias("placed"))
             own = own.select(*[F.lit(x).alias(c) for c, x in zip(("ni", "nj", "nk"), shape, strict=True)], F.lit(blocks).alias("blocks"), "n", "total", "placed")
@@ -310,8 +301,20 @@ def sparse_text(spark, sf_dir):
 # --- grids -----------------------------------------------------------------------------------------
 
 
-def _grid(spark, n=80):
-    return domain.matrix(spark, n, n, lambda i, j: i * i * i * i + j * j * j, ("i", "j", "u"))
+#: Hours by buckets of users, in hundredths: sums where there are events. Cells without any are holes.
+GRID = """WITH g AS (SELECT epoch_us(ts) // 3600000000 - 473352 AS i, user_id % 40 AS j, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS u FROM events GROUP BY 1, 2)"""
+#: The same with 0 in the holes.
+FULL = GRID.replace("g AS", "h AS") + ", g AS (SELECT i.range AS i, j.range AS j, coalesce(u, 0) AS u FROM range(720) i CROSS JOIN range(40) j LEFT JOIN h ON h.i = i.range AND h.j = j.range)"
+
+
+def _grid(spark, sf_dir) -> DataFrame:
+    hour = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473352).alias("i")
+    return _read(spark, sf_dir, "events").groupBy(hour, (F.col("user_id") % 40).alias("j")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("u"))
+
+
+def _full_grid(spark, sf_dir) -> DataFrame:
+    places = spark.range(720 * 40).select((F.col("id") % 720).alias("i"), F.floor(F.col("id") / 720).alias("j"))
+    return places.join(_grid(spark, sf_dir), ["i", "j"], "left").select("i", "j", F.coalesce("u", F.lit(0)).alias("u"))
 
 
 # Neighbours by lag and lead, which count only if they are the next place.
@@ -320,38 +323,45 @@ FROM g WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)
 SELECT i, j, CAST(l + r + d + e - 4 * u AS BIGINT) AS d2u FROM n WHERE li = i - 1 AND ri = i + 1 AND dj = j - 1 AND ej = j + 1"""
 
 
-@query("WITH g AS (SELECT i.range AS i, j.range AS j, CAST(i.range ** 4 + j.range ** 3 AS BIGINT) AS u FROM range(80) i, range(80) j)" + FIVE)
+@query(FULL + FIVE)
 def stencil5(spark, sf_dir):
-    return stencils.laplacian5(_grid(spark)).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
+    return stencils.laplacian5(_full_grid(spark, sf_dir)).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
 
 
-HOLES = "(7 * i + 3 * j) % 13 <> 0"
+@query(GRID + FIVE)
+def stencil5_with_holes(spark, sf_dir):
+    return stencils.laplacian5(_grid(spark, sf_dir), tile=16).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
 
 
-@query(f"WITH h AS (SELECT i.range AS i, j.range AS j, CAST(i.range ** 4 + j.range ** 3 AS BIGINT) AS u FROM range(80) i, range(80) j), g AS (SELECT * FROM h WHERE {HOLES})" + FIVE)
-def stencil5_with_holes(spark, sf_dir):
-    return stencils.laplacian5(_grid(spark).where(HOLES), tile=16).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
+def _nine(axis: str) -> str:
+    return " + ".join(f"{c} * coalesce(max(CASE WHEN b.{axis} - a.{axis} = {d} AND b.{'j' if axis == 'i' else 'i'} = a.{'j' if axis == 'i' else 'i'} THEN b.u END), 0)" for d, c in stencils.FOURTH_ORDER.items())
 
 
-@query("SELECT i.range AS i, j.range AS j, CAST(12 * (i.range + 2) ** 2 + 6 * (j.range + 2) AS BIGINT) AS d2u FROM range(76) i, range(76) j")
+@query(FULL + f", s AS (SELECT a.i, a.j, {_nine('i')} + {_nine('j')} AS t FROM g a JOIN g b ON abs(a.i - b.i) + abs(a.j - b.j) <= 2 AND (a.i = b.i OR a.j = b.j) WHERE a.i BETWEEN 2 AND 717 AND a.j BETWEEN 2 AND 37 GROUP BY 1, 2) SELECT i - 2 AS i, j - 2 AS j, CAST(t AS BIGINT) AS d2u FROM s")
 def stencil9(spark, sf_dir):
-    return stencils.laplacian9(_grid(spark)).select("i", "j", F.round("d2u").cast("long").alias("d2u"))
+    """In twelfths."""
+    return stencils.laplacian9(_full_grid(spark, sf_dir)).select("i", "j", F.round(F.col("d2u") * 12).cast("long").alias("d2u"))
 
 
 # --- scans and lookups -----------------------------------------------------------------------------
 
-RUNS = """WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM ids),
+#: Every 50th order has no id here.
+RUNS = """WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey % 50 <> 0), r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM ids),
 runs AS (SELECT min(id) AS start, min(n) AS start_row, count(*) AS length FROM r GROUP BY id - n)"""
 
 
+def _ids_with_nulls(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 50 != 0, F.col("l_orderkey")).alias("id"))
+
+
 @query(RUNS + " SELECT * FROM runs")
 def run_compress(spark, sf_dir):
-    return scans.compress_runs(_read(spark, sf_dir, "lineitem"), "l_orderkey")
+    return scans.compress_runs(_ids_with_nulls(spark, sf_dir), "id")
 
 
 @query(RUNS + ' SELECT o_orderkey AS id, start, start_row + o_orderkey - start AS "row" FROM orders ASOF JOIN runs ON o_orderkey >= start')
 def floor_lookup(spark, sf_dir):
-    runs = scans.compress_runs(_read(spark, sf_dir, "lineitem"), "l_orderkey")
+    runs = scans.compress_runs(_ids_with_nulls(spark, sf_dir), "id")
     ids = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return scans.floor_lookup(ids, runs, "id", "start").select("id", "start", (F.col("start_row") + F.col("id") - F.col("start")).alias("row"))
 
@@ -382,12 +392,27 @@ def bc_sets(spark, sf_dir):
 
 CORNERS = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {x}, {y}, {z})" for a, (x, y, z) in enumerate(fem.CORNERS)) + ") t(a, x, y, z))"
 ELEMENT = f"e AS (SELECT p.a, q.a AS b, CASE abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) WHEN 0 THEN 1 / 3.0 WHEN 1 THEN 0.0 ELSE -1 / 12.0 END / {N}.0 AS k, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM c p, c q)"
-SYSTEM = f"""WITH RECURSIVE {CORNERS}, {ELEMENT}, cells AS (SELECT range % {N} AS x, range // {N} % {N} AS y, range // {N * N} AS z FROM range({N**3})),
+MEDIUM = f"SELECT l_partkey % {N} AS x, l_suppkey % {N} AS y, l_linenumber % {N} AS z, CAST(1 + count(*) % 5 AS DOUBLE) AS mk, CAST(sum(CAST(l_quantity AS BIGINT)) % 7 AS DOUBLE) AS mf FROM lineitem GROUP BY 1, 2, 3"
+
+
+def _medium(spark, sf_dir) -> DataFrame:
+    """Conductivities and sources of the mesh's cells, by the lines that fall into each."""
+    lines = _read(spark, sf_dir, "lineitem")
+    place = [(F.col(c) % N).cast("long").alias(f"e{a}") for c, a in zip(("l_partkey", "l_suppkey", "l_linenumber"), "xyz", strict=True)]
+    return lines.groupBy(*place).agg((1 + F.count("*") % 5).cast("double").alias("k"), (F.sum(F.col("l_quantity").cast("long")) % 7).cast("double").alias("f"))
+
+
+def _system_sql(medium: str) -> str:
+    out = f"""WITH RECURSIVE {CORNERS}, {ELEMENT}, m AS ({medium}), every AS (SELECT range % {N} AS x, range // {N} % {N} AS y, range // {N * N} AS z FROM range({N**3})),
+cells AS (SELECT x, y, z, coalesce(mk, 1.0) AS mk, coalesce(mf, 1.0) AS mf FROM every LEFT JOIN m USING (x, y, z)),
 n AS (SELECT range AS id, range % {N + 1} AS x, range // {N + 1} % {N + 1} AS y, range // {(N + 1) ** 2} AS z FROM range({(N + 1) ** 3})),
 s AS (SELECT id, x = 0 OR y IN (0, {N}) OR z IN (0, {N}) AS zero, x = {N} AS one FROM n),
-a0 AS (SELECT x + px + {N + 1} * (y + py) + {(N + 1) ** 2} * (z + pz) AS "row", x + qx + {N + 1} * (y + qy) + {(N + 1) ** 2} * (z + qz) AS col, CAST(sum(k) AS DOUBLE) AS coef FROM cells, e GROUP BY 1, 2),
-b0 AS (SELECT x + c.x + {N + 1} * (y + c.y) + {(N + 1) ** 2} * (z + c.z) AS "row", count(*) / {8 * N**3}.0 AS v FROM cells, c GROUP BY 1)"""
-SYSTEM = SYSTEM.replace("SELECT x + c.x", "SELECT cells.x + c.x").replace("(y + c.y)", "(cells.y + c.y)").replace("(z + c.z)", "(cells.z + c.z)")
+a0 AS (SELECT x + px + {N + 1} * (y + py) + {(N + 1) ** 2} * (z + pz) AS "row", x + qx + {N + 1} * (y + qy) + {(N + 1) ** 2} * (z + qz) AS col, CAST(sum(k * mk) AS DOUBLE) AS coef FROM cells, e GROUP BY 1, 2),
+b0 AS (SELECT cells.x + c.x + {N + 1} * (cells.y + c.y) + {(N + 1) ** 2} * (cells.z + c.z) AS "row", CAST(sum(mf) AS DOUBLE) / {8 * N**3} AS v FROM cells, c GROUP BY 1)"""
+    return out
+
+
+UNIFORM, SYSTEM = _system_sql("SELECT 0 AS x, 0 AS y, 0 AS z, 1.0 AS mk, 1.0 AS mf"), _system_sql(MEDIUM)
 
 
 def _fixed(a: str, b: str, face: str, value: float, out: int) -> str:
@@ -397,7 +422,8 @@ b{out} AS (SELECT {b}."row", CASE WHEN r.{face} THEN {value} ELSE {b}.v - {value
 LEFT JOIN (SELECT {a}."row", sum(coef) AS m FROM {a} JOIN s q ON q.id = {a}.col WHERE q.{face} GROUP BY 1) m ON m."row" = {b}."row")"""
 
 
-FIXED = SYSTEM + _fixed("a0", "b0", "zero", 0.0, 1) + _fixed("a1", "b1", "one", 1.0, 2)
+FACES = _fixed("a0", "b0", "zero", 0.0, 1) + _fixed("a1", "b1", "one", 1.0, 2)
+FIXED = SYSTEM + FACES
 
 
 def _steps_sql(steps: int, then: str) -> str:
@@ -413,8 +439,8 @@ t{k} AS MATERIALIZED (SELECT sum(r * r) AS rtr, sum(r * r) / max(t{j}.rtr) AS be
     return out + then.format(steps=steps)
 
 
-def _cg_sql(steps: int, then: str = " SELECT i, round(x, 7) + 0.0 AS v FROM s{steps}") -> str:
-    return FIXED + _steps_sql(steps, then)
+def _cg_sql(steps: int, then: str = " SELECT i, round(x, 7) + 0.0 AS v FROM s{steps}", system: str = FIXED) -> str:
+    return system + _steps_sql(steps, then)
 
 
 @query(f"WITH {CORNERS}, {ELEMENT} SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(CAST(k AS DOUBLE), 7) + 0.0 AS k FROM e")
@@ -424,20 +450,20 @@ def fe_element_matrix(spark, sf_dir):
 
 @query(SYSTEM + ' SELECT "row", col, round(coef, 7) + 0.0 AS coef FROM a0')
 def fe_assemble(spark, sf_dir):
-    return fem.assemble(spark, fem.Mesh(N, N, N))[0].select("row", "col", _rounded("coef", 7).alias("coef"))
+    return fem.assemble(spark, fem.Mesh(N, N, N), medium=_medium(spark, sf_dir))[0].select("row", "col", _rounded("coef", 7).alias("coef"))
 
 
 @query(FIXED + ' SELECT "row", col, round(coef, 7) + 0.0 AS coef, round(CAST(v AS DOUBLE), 7) + 0.0 AS b FROM a2 JOIN b2 USING ("row")')
 def fe_dirichlet(spark, sf_dir):
     mesh = fem.Mesh(N, N, N)
-    a, b = fem.dirichlet(*fem.assemble(spark, mesh), mesh)
+    a, b = fem.dirichlet(*fem.assemble(spark, mesh, medium=_medium(spark, sf_dir)), mesh)
     return a.join(b, "row").select("row", "col", _rounded("coef", 7).alias("coef"), _rounded("v", 7).alias("b"))
 
 
 @query(_cg_sql(3))
 def fe_cg_k(spark, sf_dir):
     mesh = fem.Mesh(N, N, N)
-    found = fem.conjugate_gradients(*fem.dirichlet(*fem.assemble(spark, mesh), mesh), iterations=3)
+    found = fem.conjugate_gradients(*fem.dirichlet(*fem.assemble(spark, mesh, medium=_medium(spark, sf_dir)), mesh), iterations=3)
     return found.x.select("i", _rounded("v", 7).alias("v"))
 
 
@@ -445,7 +471,7 @@ def fe_cg_k(spark, sf_dir):
 def fe_cg_sliced(spark, sf_dir):
     """The same steps with another product: by padded slices of rows."""
     mesh = fem.Mesh(N, N, N)
-    a, b = fem.dirichlet(*fem.assemble(spark, mesh), mesh)
+    a, b = fem.dirichlet(*fem.assemble(spark, mesh, medium=_medium(spark, sf_dir)), mesh)
     found = fem.conjugate_gradients(fem.by_slices(a, b.select("row")), b, iterations=3)
     return found.x.select("i", _rounded("v", 7).alias("v"))
 
@@ -457,7 +483,7 @@ series AS (SELECT i, 16 / pi() ** 2 * sum(sinh(k * CAST(x AS DOUBLE)) / sinh(k)
 SELECT node.i, round(abs(node.v - CASE WHEN node.x = 1 THEN 1 ELSE coalesce(series.v, 0) END), 6) + 0.0 AS error FROM node LEFT JOIN series ON series.i = node.i"""
 
 
-@query(_cg_sql(6, VERIFIED))
+@query(_cg_sql(6, VERIFIED, UNIFORM + FACES))
 def fe_verify(spark, sf_dir):
     """Errors of all nodes against the series."""
     mesh = fem.Mesh(N, N, N)
@@ -517,14 +543,14 @@ def graph_cg_steps(spark, sf_dir):
 x AS (SELECT DISTINCT "row" % 5 AS reader, col % 5 AS owner, col FROM a2 WHERE "row" % 5 <> col % 5), m AS (SELECT DISTINCT reader, owner FROM x UNION SELECT DISTINCT owner, reader FROM x)
 SELECT min(r) AS rows_min, max(r) AS rows_max, round(avg(r), 6) AS rows_avg, min(z) AS nnz_min, max(z) AS nnz_max, round(avg(z), 6) AS nnz_avg,
 round((3.0 * (SELECT count(*) FROM x) + 3 * (SELECT count(*) FROM m)) * 4 / 1048576, 9) AS halo_mb FROM n""")
-def graph_part_stats(spark, sf_dir):
+def matrix_part_stats(spark, sf_dir):
     cells, b = _graph(spark, sf_dir)
     out = sparse.part_stats(cells, b.select("row", (F.col("row") % 5).alias("part")))
     return out.select(*[F.round(c, 9 if c == "halo_mb" else 6).alias(c) if out.schema[c].dataType.typeName() == "double" else c for c in out.columns])
 
 
 @query(GRAPH + ' SELECT CAST(sum(p.v * coef * q.v) AS BIGINT) AS dot FROM a2 JOIN b2 p ON p."row" = a2."row" JOIN b2 q ON q."row" = a2.col')
-def graph_dot(spark, sf_dir):
+def spmv_dot(spark, sf_dir):
     """<b, A b>."""
     cells, b = _graph(spark, sf_dir)
     return sparse.spmv_dot(cells, b.select(F.col("row").alias("i"), "v")).select(F.col("dot").cast("long").alias("dot"))

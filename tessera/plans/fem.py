@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import inverse3, running_coords
 from tessera.materialize import materialize, settled
-from tessera.operators.halo import Layout
+from tessera.operators.halo import Layout, with_product
 from tessera.operators.sparse import spmv, spmv_ell, to_sliced_ell
 from tessera.sources.domain import mesh_elements, mesh_nodes
 
@@ -110,17 +110,24 @@ def source_term(step: tuple[float, float, float], q: float = 1.0) -> float:
     return q * step[0] * step[1] * step[2] / 8
 
 
-def assemble(spark: SparkSession, mesh: Mesh, q: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(A, b): (row, col, coef) and (row, v). Each cell is evaluated once; equal places are summed."""
+def assemble(spark: SparkSession, mesh: Mesh, q: float = 1.0, medium: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(A, b): (row, col, coef) and (row, v). Each cell is evaluated once; equal places are summed.
+
+    ``medium`` (ex, ey, ez, k, f) gives cells a conductivity and a source, in units; cells that it lacks have 1 of each."""
     k = {(r["a"], r["b"]): r["k"] for r in element_matrix(spark, mesh.step()).collect()}  # 64 numbers
     corner = lambda c: mesh.node_id(F.col("ex") + c[0], F.col("ey") + c[1], F.col("ez") + c[2])
-    cells = mesh_elements(spark, mesh.nx, mesh.ny, mesh.nz).select(F.array(*[corner(c) for c in CORNERS]).alias("n"))
+    cells = mesh_elements(spark, mesh.nx, mesh.ny, mesh.nz)
+    own = [F.lit(1.0).alias("mk"), F.lit(1.0).alias("mf")]
+    if medium is not None:
+        cells = cells.join(medium, ["ex", "ey", "ez"], "left")
+        own = [F.coalesce("k", F.lit(1.0)).alias("mk"), F.coalesce("f", F.lit(1.0)).alias("mf")]
+    cells = cells.select(F.array(*[corner(c) for c in CORNERS]).alias("n"), *own)
     table = F.lit([[float(k[a, b]) for b in range(8)] for a in range(8)])
-    rows = cells.select("n", F.posexplode("n").alias("a", "row"), table.alias("k"))
+    rows = cells.select("n", "mk", "mf", F.posexplode("n").alias("a", "row"), table.alias("k"))
     own = rows.withColumn("coefs", F.get("k", F.col("a")))
-    parts = own.select("row", F.explode(F.arrays_zip("n", "coefs")).alias("c"))
-    a = parts.groupBy("row", F.col("c.n").alias("col")).agg(F.sum("c.coefs").alias("coef"))
-    b = rows.groupBy("row").agg((F.count("*") * F.lit(source_term(mesh.step(), q))).alias("v"))
+    parts = own.select("row", "mk", F.explode(F.arrays_zip("n", "coefs")).alias("c"))
+    a = parts.groupBy("row", F.col("c.n").alias("col")).agg(F.sum(F.col("c.coefs") * F.col("mk")).alias("coef"))
+    b = rows.groupBy("row").agg((F.sum("mf") * F.lit(source_term(mesh.step(), q))).alias("v"))
     return a, b
 
 
@@ -192,10 +199,10 @@ def conjugate_gradients(a: DataFrame | Matvec | Layout, b: DataFrame, iterations
     start = b.select(F.col("row").alias("i"), F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"), F.lit(0.0).alias("p"))
     if isinstance(a, Layout):
         with settled(b.sparkSession):
-            times = lambda p: a.product(p.select("part", "i", F.col("p").alias("v"))).select("part", "i", F.col("v").alias("ap"))
+            times = lambda p: a.product(p.select("part", "i", F.col("p").alias("v")))
             return _steps(times, ["part", "i"], materialize(a.spread(start)), iterations, tolerance)
     product = by_cells(a) if isinstance(a, DataFrame) else a
-    return _steps(lambda p: product(p.select("i", F.col("p").alias("v"))).select(F.col("row").alias("i"), F.col("v").alias("ap")), ["i"], start, iterations, tolerance)
+    return _steps(lambda p: product(p.select("i", F.col("p").alias("v"))).select(F.col("row").alias("i"), "v"), ["i"], start, iterations, tolerance)
 
 
 def _steps(times: Matvec, keys: list[str], state: DataFrame, iterations: int, tolerance: float) -> Solution:
@@ -204,7 +211,7 @@ def _steps(times: Matvec, keys: list[str], state: DataFrame, iterations: int, to
     beta, done, breakdown = 0.0, 0, False
     while done < iterations and residual > tolerance:
         p = state.withColumn("p", F.col("r") + beta * F.col("p"))
-        step = materialize(p.join(times(p), keys))
+        step = materialize(with_product(p, times(p), keys, "ap"))
         pap, pp, apap = step.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("p") * F.col("p")), F.sum(F.col("ap") * F.col("ap"))).first()
         if pap is None:
             raise ValueError("the matrix has none of the rows of the right-hand side")
