@@ -11,7 +11,6 @@ Keys are whole numbers; ``ordered_bits`` gives doubles as such, in order.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,21 +32,26 @@ def _bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.where(b < 0, b ^ _LOW, b)).astype("Int64").where(given)
 
 
+#: The bits of NaN, which pandas can't tell from null.
+_NAN = 0x7FF8000000000000
+
+
 def ordered_bits(x: Column) -> Column:
-    """A double as a whole number in the same order; a null stays one. NaN, which pandas can't tell from null, is the greatest."""
-    return F.when(F.isnan(x), F.lit(0x7FF8000000000000)).otherwise(_bits(F.when(F.isnan(x), None).otherwise(x)))
+    """A double as a whole number in the same order; a null stays one. NaN is the greatest."""
+    return F.when(F.isnan(x), F.lit(_NAN)).otherwise(_bits(F.when(F.isnan(x), None).otherwise(x)))
 
 
 @F.pandas_udf(T.DoubleType())
-def from_ordered_bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The double of ordered bits."""
+def _doubles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in batches:
         b = x.to_numpy(dtype=np.int64, na_value=0)
         yield pd.Series(np.where(b < 0, b ^ _LOW, b).view(np.float64)).where(x.notna())
 
 
-def _all(pairs: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, pairs)
+def from_ordered_bits(bits: Column) -> Column:
+    """The double of ordered bits."""
+    # No nulls go to pandas, which would make whole numbers doubles.
+    return F.when(bits == _NAN, F.lit(float("nan"))).when(bits.isNotNull(), _doubles(F.coalesce(F.when(bits != _NAN, bits), F.lit(0))))
 
 
 def _span(df: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
@@ -100,7 +104,7 @@ def kth_of_column(df: DataFrame, value: str, place: str, ranks: list[int]) -> Da
     rows = df.where(number.isNotNull()).select((ordered_bits(number) if double else number).alias("_v"), at["a"].cast("long").alias("_a"), at["b"].alias("_b"), F.lit(0).alias("_g"))
     wanted = df.sparkSession.createDataFrame([(0, r) for r in ranks], "_g int, rank long")
     out = select(rows, ["_v", "_a", "_b"], wanted, ["_g"])
-    return out.select("rank", (from_ordered_bits("_v") if double else F.col("_v")).alias("value"), F.when(F.col("_a") == 1, F.col("_b")).alias("place"))
+    return out.select("rank", (from_ordered_bits(F.col("_v")) if double else F.col("_v")).alias("value"), F.when(F.col("_a") == 1, F.col("_b")).alias("place"))
 
 
 def bisect_rows(df: DataFrame, axes: list[str], parts: int, key: str | None = None) -> DataFrame:
