@@ -42,6 +42,8 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({
 NOISE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline-share comment comments disqus replies cookie cookies consent gdpr notice notification alert popup modal overlay newsletter signup subscribe promo promoted promotion sponsor sponsored related recommended outbrain taboola share sharing social sidebar sidenav side-bar menu nav navbar navigation toolbar footer header masthead pager pagination skip login search complementary contentinfo widget widgets".split()
 )
+#: What readers write, by how a name or a part of it begins; the second names are an author's.
+READERS = re.compile(r"(?:comment(?!ary|aries|ator|ed)|respond$|replies|reply|disqus|reader-?(?:responses?|replies|letters?)|user-?(?:responses?|reviews?))|adsby|googleads?")
 #: Before a name of NOISE these say how a page is laid out, not what the element is.
 LAYOUT = frozenset("with has no without".split())
 #: A header that these begin is that of an article.
@@ -59,7 +61,8 @@ MENU_LINKS, MENU_DENSITY = 3, 0.9
 MENUS = frozenset("ul ol dl div section table p".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 class Node:
@@ -82,13 +85,13 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     noise = doubt = False
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True, False
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
             for word in value.split():
-                if word in NOISE:
-                    return True, False
                 parts = re.split(r"[-_]+", word)
+                if word in NOISE or parts[0] not in LAYOUT and (READERS.match(word) or any(READERS.match(p) for p in parts)):
+                    return True, False
                 if NOISE.isdisjoint(parts) or parts[0] in LAYOUT or parts[0] in OWN_HEADER and parts[1:] == ["header"]:
                     continue
                 if not NEVER_MAIN.isdisjoint(parts):

@@ -116,3 +116,30 @@ def test_no_article_needed(spark):
     got = odd.select("page_id", html.extract_main_text(F.col("html")).alias("text")).collect()
     assert sorted(map(tuple, got)) == [(1, ""), (1, ""), (2, ""), (3, "x, y"), (3, "x, y")]
     assert odd.limit(0).select(html.extract_main_text(F.col("html"))).count() == 0
+
+
+BODY = "<p>" + "A long paragraph of the article, with some commas, that says what it has to say. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["commentlist", "commentList", "comments-area", "comment-thread", "post-comments", "reader-responses", "readerResponses", "replies", "reply-list", "user-reviews", "adsbygoogle"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_what_readers_write_is_no_text_of_the_article(name, inside):
+    theirs = f'<ol class="{name}"><li><p>I disagree, and here is why, in some words of mine. {"Really, I do. " * 20}</p></li></ol>'
+    page = f"<body><article><h1>Head</h1>{BODY}{BODY}{theirs if inside else ''}</article>{'' if inside else theirs}</body>"
+    text = html.main_text(page)
+    assert "disagree" not in text and text.count("A long paragraph") == 8 and text.startswith("Head")
+
+
+@pytest.mark.parametrize("name", ["commentary", "no-comments", "has-comments", "commentator-box", "with-reply", "responding"])
+def test_names_that_only_look_like_readers(name):
+    assert html.main_text(f"<body><div class='{name}'>{BODY}{BODY}</div></body>").count("A long paragraph") == 8
+
+
+@pytest.mark.parametrize("attribute", ['style="display:none"', "style='color: red; display : none !important'", 'STYLE="visibility: hidden"', "hidden", 'aria-hidden="true"'])
+def test_hidden_elements(attribute):
+    assert "unseen" not in html.main_text(f"<article>{BODY}<p {attribute}>unseen words</p>{BODY}</article>")
+
+
+@pytest.mark.parametrize("attribute", ['style="display:block"', 'style="--x: display:none-ish"', 'data-style="display:none"', 'data-hidden="1"', 'style=""'])
+def test_elements_that_are_seen(attribute):
+    assert "seen words" in html.main_text(f"<article>{BODY}<p {attribute}>seen words</p>{BODY}</article>")
