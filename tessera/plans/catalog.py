@@ -256,7 +256,7 @@ def matmul_generated(spark, sf_dir):
 @query(FACTORS.format("", "", "") + " SELECT * FROM c")
 def matmul_blocks(spark, sf_dir):
     """By blocks, on a grid of tasks."""
-    return dense.matmul_blocks(*_factors(spark, sf_dir), block=128, side=4).select("i", "k", F.col("v").cast("long").alias("v"))
+    return dense.matmul_blocks(*_factors(spark, sf_dir), side=4).select("i", "k", F.col("v").cast("long").alias("v"))
 
 
 SHAPES = [(240, 60, 120), (240, 120, 60), (120, 60, 240), (120, 240, 60), (60, 240, 120), (60, 120, 240)]
