@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tessera.materialize import materialize
 
 BITS = 16
+#: Most ranks that go to every task, a row of some numbers each; they are counted first, and more are joined by their prefix.
+BROADCAST_RANKS = 100_000
 _LOW = (1 << 63) - 1
 
 
@@ -71,6 +73,7 @@ def select(df: DataFrame, keys: list[str], ranks: DataFrame, by: list[str]) -> D
 
     Groups and keys aren't null. Ranks beyond a group are left out."""
     want = ranks.select(*by, F.col("rank").cast("long").alias("rank"), F.col("rank").cast("long").alias("left"))
+    sent = F.broadcast if ranks.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS else lambda d: d
     found: list[str] = []
     for key, (least, passes) in zip(keys, _span(df, keys), strict=True):
         # As an unsigned number: from the least of all longs a difference would overflow, a change of sign is the same.
@@ -81,10 +84,11 @@ def select(df: DataFrame, keys: list[str], ranks: DataFrame, by: list[str]) -> D
             above = F.shiftrightunsigned("_u", BITS * (p + 1)) if p < 3 else F.lit(0).cast("long")
             cut = rows.select(*by, *found, above.alias("_prefix"), F.shiftrightunsigned("_u", BITS * p).bitwiseAND((1 << BITS) - 1).alias("_digit"))
             place = [*by, *found, "_prefix"]
-            live = cut.join(want.select(*place).distinct(), place, "left_semi")
+            first = not found and p == passes - 1  # all rows have the same prefix: none
+            live = cut if first else cut.join(sent(want.select(*place).distinct()), place, "left_semi")
             counts = live.groupBy(*place, "_digit").agg(F.count("*").alias("_n"))
             before = F.coalesce(F.sum("_n").over(Window.partitionBy(*place).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            met = want.join(counts.withColumn("_before", before), place).where((F.col("_before") <= F.col("left")) & (F.col("left") < F.col("_before") + F.col("_n")))
+            met = counts.withColumn("_before", before).join(sent(want), place).where((F.col("_before") <= F.col("left")) & (F.col("left") < F.col("_before") + F.col("_n")))
             want = materialize(
                 met.select(*by, *found, "rank", (F.col("left") - F.col("_before")).alias("left"), F.shiftleft("_prefix", BITS).bitwiseOR(F.col("_digit")).alias("_prefix"), F.col("_n").alias("ties"))
             )
@@ -102,6 +106,7 @@ def kth_of_column(df: DataFrame, value: str, place: str, ranks: list[int]) -> Da
     number = F.col(f"`{value}`").cast("double" if double else "long")
     at = F.struct(F.col(f"`{place}`").isNotNull().cast("int").alias("a"), F.coalesce(F.col(f"`{place}`").cast("long"), F.lit(0)).alias("b"))
     rows = df.where(number.isNotNull()).select((ordered_bits(number) if double else number).alias("_v"), at["a"].cast("long").alias("_a"), at["b"].alias("_b"), F.lit(0).alias("_g"))
+    rows = materialize(rows)  # read by every pass
     wanted = df.sparkSession.createDataFrame([(0, r) for r in ranks], "_g int, rank long")
     out = select(rows, ["_v", "_a", "_b"], wanted, ["_g"])
     return out.select("rank", (from_ordered_bits(F.col("_v")) if double else F.col("_v")).alias("value"), F.when(F.col("_a") == 1, F.col("_b")).alias("place"))
