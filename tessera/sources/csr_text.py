@@ -1,10 +1,13 @@
-"""Reader of sparse matrices in text: ``nnz rows cols``, then rows + 1 offsets, then nnz lines ``col value``."""
+"""Reader and lines of sparse matrices in text: ``nnz rows cols``, then rows + 1 offsets, then nnz lines ``col value``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.materialize import materialize
+from tessera.operators.scans import exclusive_scan
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, line) of a text file. Sections are positional, so lines are numbered over the whole file."""
@@ -30,3 +33,17 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = runs.select("row", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("k"))
     coo = places.join(entries, "k").select("row", F.col("p")[0].cast("long").alias("col"), F.col("p")[1].cast("double").alias("coef"))
     return coo, offsets
+
+
+def lines(cells: DataFrame, rows: int, cols: int) -> DataFrame:
+    """(n, line) of cells (row, col, coef) with distinct places below ``rows`` and ``cols``: what ``parse`` reads.
+
+    Entries come by row, then column; their numbers, and the rows' offsets, are scans, so no task needs all cells."""
+    spark, one = cells.sparkSession, F.lit(1).cast("long")
+    cells = materialize(cells.select("row", "col", "coef"))
+    placed = exclusive_scan(cells.select((F.col("row") * cols + F.col("col")).alias("at"), "col", "coef", one.alias("one")), "at", "one", "k")
+    counts = spark.range(rows + 1).select(F.col("id").alias("row")).join(cells.groupBy("row").agg(F.count("*").alias("n")), "row", "left")
+    offsets = exclusive_scan(counts.select("row", F.coalesce("n", F.lit(0)).alias("n")), "row", "n", "start")
+    head = spark.createDataFrame([(0, f"{cells.count()} {rows} {cols}")], "n long, line string")
+    body = placed.select((F.col("k") + rows + 2).alias("n"), F.concat_ws(" ", "col", "coef").alias("line"))
+    return head.unionByName(offsets.select((F.col("row") + 1).alias("n"), F.col("start").cast("string").alias("line"))).unionByName(body)

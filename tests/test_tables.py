@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.materialize import materialize, settled
 from tessera.operators import dense, halo, radix, scans, spatial
 from tessera.plans import fem
+from tessera.sources import csr_text
 
 
 def laplacian(n, edges):
@@ -220,3 +221,15 @@ def test_scans_with_nulls(spark):
     assert sorted((r["id"] or -1, r["n"] or -1, r["before"]) for r in got) == [(-1, 1, 0), (-1, 7, 0), (1, 2, 0), (2, -1, 2), (3, 1, 2)]
     starts = spark.createDataFrame([(1, "a"), (None, "n"), (4, "b")], "start long, name string")
     assert sorted(map(tuple, scans.floor_lookup(ids, starts, "id", "start").select("id", "name").collect())) == [(5, "b"), (6, "b"), (9, "b")]
+
+
+def test_lines_of_a_sparse_matrix(spark):
+    """Empty rows, one with most cells, and a matrix without any."""
+    cells = [(0, j, float(j) - 7.5) for j in range(40)] + [(3, 2, 5.0), (3, 0, 1e-9), (6, 39, 2.0)]
+    df = spark.createDataFrame(cells, "row long, col long, coef double").repartition(3)
+    text = sorted(map(tuple, csr_text.lines(df, 8, 40).collect()))
+    assert [n for n, _ in text] == list(range(1 + 9 + 43))
+    assert [t for _, t in text[:10]] == ["43 8 40", "0", "40", "40", "40", "42", "42", "42", "43", "43"]
+    coo, offsets = csr_text.parse(csr_text.lines(df, 8, 40))
+    assert sorted(map(tuple, coo.collect())) == sorted(cells) and offsets.count() == 9
+    assert csr_text.parse(csr_text.lines(df.limit(0), 2, 2))[0].count() == 0
