@@ -13,7 +13,8 @@ DATA = Path("/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     rel = db.sql(queries.ORACLES[name])
     df = queries.QUERIES[name](spark, str(DATA))
     assert sorted(rel.columns) == sorted(df.columns)
