@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import words
 
 K = 2
-BASES = 8
-TURN_BITS = 3
+BASES = 4
+TURN_BITS = 4
 TURNS = 1 << TURN_BITS
 ENTRIES = BASES * TURNS
 #: Elements that lie behind a starting point on average among those that are sorted.
