@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,5 +59,5 @@ def write_report(tree: dict, path: str) -> None:
 
 def mean_without_first(runs: DataFrame, key: str, order: str, value: str, skip: int = 2) -> DataFrame:
     """(key, mean) of each key's values but the first ``skip`` by order."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return runs.withColumn("_n", place).where(F.col("_n") > skip).groupBy(key).agg(F.avg(value).alias("mean"))
+    placed = scans.places(runs, key, [order], "_n")
+    return placed.where(F.col("_n") >= skip).groupBy(key).agg(F.avg(value).alias("mean"))

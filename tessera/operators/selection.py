@@ -1,15 +1,19 @@
-"""Selection in batches (row_id, idx, val): greatest and k-th with places, ranks, histograms, scans."""
+"""Selection in batches (row_id, idx, val): greatest and k-th with places, ranks, histograms, scans.
+
+Ranks and scans go by ``scans.running_sums``, which cuts long rows into pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import scans
+
 
 def positions(df: DataFrame, row: str, order: list[str], val: Column) -> DataFrame:
     """(row_id, idx, val): idx from 0 in each row by ``order``."""
-    idx = F.row_number().over(Window.partitionBy(row).orderBy(*order)) - 1
-    return df.select(F.col(row).alias("row_id"), idx.cast("long").alias("idx"), val.alias("val"))
+    values = df.select(F.col(row).alias("row_id"), val.alias("val"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+    return scans.places(values, "row_id", [f"_o{k}" for k in range(len(order))], "idx").select("row_id", "idx", "val")
 
 
 def argmax(batch: DataFrame) -> DataFrame:
@@ -20,7 +24,7 @@ def argmax(batch: DataFrame) -> DataFrame:
 
 def ranks(batch: DataFrame) -> DataFrame:
     """The batch with ``rank``, from 0 by value, then place: a stable sort of each row."""
-    return batch.withColumn("rank", (F.row_number().over(Window.partitionBy("row_id").orderBy("val", "idx")) - 1).cast("long"))
+    return scans.places(batch, "row_id", ["val", "idx"], "rank")
 
 
 def kth_smallest(batch: DataFrame, k: int) -> DataFrame:
@@ -44,10 +48,10 @@ def digit_histogram(values: DataFrame, value: str, passes: int, bits: int = 2) -
 def radix_pass(batch: DataFrame, shift: int, bits: int = 2) -> DataFrame:
     """(row_id, idx, val, at): the place of each value after one stable pass over a digit."""
     key = F.shiftright("val", shift).bitwiseAND((1 << bits) - 1)
-    return batch.withColumn("at", (F.row_number().over(Window.partitionBy("row_id").orderBy(key, "idx")) - 1).cast("long"))
+    return scans.places(batch.withColumn("_digit", key), "row_id", ["_digit", "idx"], "at").drop("_digit")
 
 
-def prefix_sums(df: DataFrame, row: str, order: list[str], value: str) -> DataFrame:
-    """The rows with inclusive and exclusive sums of ``value`` in each row by ``order``."""
-    w = Window.partitionBy(row).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("inclusive", F.sum(value).over(w)).withColumn("exclusive", F.col("inclusive") - F.col(value))
+def prefix_sums(df: DataFrame, row: str, order: list[str], value: str, long_row: int | None = None) -> DataFrame:
+    """The rows with inclusive and exclusive sums of ``value`` in each row by ``order``. Null values count for nothing."""
+    summed = scans.running_sums(df, row, order, {"inclusive": F.col(value)}, long_row)
+    return summed.withColumn("exclusive", F.col("inclusive") - F.col(value))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.materialize import materialize
+from tessera.operators import scans
 
 
 def spmv(cells: DataFrame, x: DataFrame, rows: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
@@ -107,8 +108,7 @@ def split_by_owner(cells: DataFrame, first: int, last: int) -> tuple[DataFrame,
 
 def local_numbers(external: DataFrame) -> DataFrame:
     """(reader, owner, id, local): external ids of each reader numbered by owner, then id, from 0."""
-    place = F.row_number().over(Window.partitionBy("reader").orderBy("owner", "id")) - 1
-    return external.select("reader", "owner", "id").distinct().withColumn("local", place.cast("long"))
+    return scans.places(external.select("reader", "owner", "id").distinct(), "reader", ["owner", "id"], "local")
 
 
 def add_to_diagonal(cells: DataFrame, value: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.materialize import materialize
-from tessera.operators import dense, geometry, halo, radix, reports, scans, selection, sparse, spatial, stencils, vectors
+from tessera.operators import dense, geometry, halo, packed, radix, reports, scans, selection, sparse, spatial, stencils, vectors
 from tessera.plans import fem
 from tessera.sources import csr_text, domain, results
 
@@ -71,7 +71,7 @@ CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) - CAST(round(valu
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def row_prefix_sum(spark, sf_dir):
     events = _read(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return selection.prefix_sums(events, "user_id", ["ts", "event_id"], "cents").select("event_id", "cents", "inclusive", "exclusive")
+    return selection.prefix_sums(events, "user_id", ["ts", "event_id"], "cents", long_row=0).select("event_id", "cents", "inclusive", "exclusive")
 
 
 @query("""WITH d AS (SELECT p.range AS pass, (o_custkey >> CAST(2 * p.range AS INTEGER)) & 3 AS digit FROM orders, range(16) p)
@@ -205,8 +205,9 @@ def spmv_coo(spark, sf_dir):
 
 @query(CELLS + ' SELECT "row", v FROM y')
 def spmv_ell(spark, sf_dir):
+    """By packed rows in blocks of columns."""
     cells, x, rows = _cells(spark, sf_dir)
-    return sparse.spmv_ell(sparse.to_sliced_ell(cells, rows), x).select("row", F.col("v").cast("long").alias("v"))
+    return packed.product(packed.pack(cells), x, rows)
 
 
 @query(CELLS + ', o AS (SELECT o_orderkey AS "row", o_custkey AS w FROM orders) SELECT o."row", CAST(2 * y.v + 3 * o.w AS BIGINT) AS v FROM o JOIN y ON y."row" = o."row"')

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import inverse3, running_coords
 from tessera.materialize import materialize, settled
+from tessera.operators import packed
 from tessera.operators.halo import Layout, with_product
-from tessera.operators.sparse import spmv, spmv_ell, to_sliced_ell
+from tessera.operators.sparse import spmv
 from tessera.sources.domain import mesh_elements, mesh_nodes
 
 # The cell's corners in order, and the Gauss rules of one to three points, (place, weight), truncated as stated here.
@@ -185,10 +186,10 @@ def by_cells(a: DataFrame) -> Matvec:
     return lambda x: spmv(laid, x)
 
 
-def by_slices(a: DataFrame, rows: DataFrame, width: int = 256) -> Matvec:
+def by_slices(a: DataFrame, rows: DataFrame, height: int = packed.HEIGHT) -> Matvec:
     """Products with padded slices of rows, which are packed once."""
-    packed = materialize(to_sliced_ell(a, rows, width))
-    return lambda x: spmv_ell(packed, x)
+    laid = packed.pack(a, height=height).kept()
+    return lambda x: packed.product(laid, x, rows)
 
 
 def conjugate_gradients(a: DataFrame | Matvec | Layout, b: DataFrame, iterations: int = 200, tolerance: float = EPSILON) -> Solution:

@@ -196,7 +196,7 @@ def test_verification(spark):
 def test_products_are_a_parameter_of_the_solver(spark):
     mesh = fem.Mesh(3, 2, 2)
     a, b = fem.dirichlet(*fem.assemble(spark, mesh), mesh)
-    one, two = fem.conjugate_gradients(a, b), fem.conjugate_gradients(fem.by_slices(a, b.select("row"), width=5), b)
+    one, two = fem.conjugate_gradients(a, b), fem.conjugate_gradients(fem.by_slices(a, b.select("row"), height=5), b)
     assert one.iterations == two.iterations and all(abs(x[1] - y[1]) < 1e-12 for x, y in zip(rows(one.x), rows(two.x), strict=True))
     minus = a.withColumn("coef", -F.col("coef"))
     with pytest.raises(ArithmeticError):
