@@ -1,6 +1,6 @@
-"""Boxes: recursive bisection, ghost layers, halos and load imbalance.
+"""Boxes: recursive bisection, ghost layers, halos and load imbalance, and the algebra of boxes that rows hold.
 
-A box is (part, x0, x1, y0, y1, z0, z1), half open. Parts are workers: their number is a parameter of
+A box is (part, x0, x1, y0, y1, z0, z1), half open; in the algebra it is one value of its six ends. Parts are workers: their number is a parameter of
 the run, not of the data, so box tables are small by construction; points are made and counted in Spark.
 """
 
@@ -70,6 +70,59 @@ def ghost_points(boxes: DataFrame, limits: tuple[int, int, int], by: int = 1) ->
     return box_points(each.select("part", "s.*"))
 
 
+def box(lo: dict[str, Column], hi: dict[str, Column]) -> Column:
+    """A box as one value, of the ends along each axis."""
+    return F.struct(*[end.cast("long").alias(f"{a}{e}") for a in AXES for e, end in (("0", lo[a]), ("1", hi[a]))])
+
+
+def _sides(b: Column) -> dict[str, tuple[Column, Column]]:
+    return {a: (b[f"{a}0"], b[f"{a}1"]) for a in AXES}
+
+
+def _boxes(sides: list[dict[str, tuple[Column, Column]]]) -> Column:
+    """The boxes that aren't empty, as an array."""
+    each = F.array(*[box({a: s[a][0] for a in AXES}, {a: s[a][1] for a in AXES}) for s in sides])
+    return F.filter(each, lambda b: (b["x0"] < b["x1"]) & (b["y0"] < b["y1"]) & (b["z0"] < b["z1"]))
+
+
+def difference(a: Column, b: Column) -> Column:
+    """What box ``a`` has and ``b`` hasn't, as an array of at most six boxes that share nothing; no points are made.
+
+    Slabs are cut off below and above b along x, then from what is left along y, then z. A null or empty ``b``
+    takes nothing away; a null or empty ``a`` gives no boxes."""
+    left, slabs = _sides(a), []
+    for axis in AXES:
+        lo, hi = left[axis]
+        low = F.greatest(lo, F.least(b[f"{axis}0"], hi))
+        high = F.greatest(low, F.least(b[f"{axis}1"], hi))
+        slabs += [left | {axis: (lo, low)}, left | {axis: (high, hi)}]
+        left = left | {axis: (low, high)}
+    none = b.isNull() | (b["x0"] >= b["x1"]) | (b["y0"] >= b["y1"]) | (b["z0"] >= b["z1"])
+    return F.when(a.isNull(), F.slice(_boxes(slabs), 1, 0)).when(none, _boxes([_sides(a)])).otherwise(_boxes(slabs))
+
+
+def union(a: Column, b: Column) -> Column:
+    """What either box has, as at most seven boxes that share nothing."""
+    return F.concat(difference(a, F.lit(None).cast("struct<x0:long,x1:long,y0:long,y1:long,z0:long,z1:long>")), difference(b, a))
+
+
+def layer(b: Column, by: int = 1) -> Column:
+    """What lies within ``by`` of a box that isn't empty, outside of it, as at most six boxes."""
+    sides = _sides(b)
+    return difference(box({a: sides[a][0] - by for a in AXES}, {a: sides[a][1] + by for a in AXES}), b)
+
+
+def volume(boxes: Column) -> Column:
+    """Cells of an array of boxes that share nothing."""
+    cells = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) * (b["z1"] - b["z0"])
+    return F.aggregate(boxes, F.lit(0).cast("long"), lambda n, b: n + cells(b))
+
+
+def holds(boxes: Column, x: Column, y: Column, z: Column) -> Column:
+    """Whether one of the boxes has the point."""
+    return F.exists(boxes, lambda b: (b["x0"] <= x) & (x < b["x1"]) & (b["y0"] <= y) & (y < b["y1"]) & (b["z0"] <= z) & (z < b["z1"]))
+
+
 def contains(a: str, b: str) -> Column:
     """Whether box alias ``a`` has all of ``b``."""
     inside = [(F.col(f"{a}.{x}0") <= F.col(f"{b}.{x}0")) & (F.col(f"{b}.{x}1") <= F.col(f"{a}.{x}1")) for x in AXES]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.materialize import materialize
 
-COLUMNS, CELLS, HEIGHT = 1 << 16, 1 << 18, 256
+COLUMNS, CELLS, HEIGHT = 1 << 15, 1 << 17, 256
 WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 

@@ -4,32 +4,47 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import scans
 
-def vector_lines(v: DataFrame) -> DataFrame:
-    """``i v`` lines; the number of rows as a header is for the writer to put first."""
-    return v.select(F.concat_ws(" ", "i", "v").alias("line"))
+
+def _write(lines: DataFrame, order: list[str], header: str, path: str) -> None:
+    """``line`` of the rows by ``order``, in part files one after the other; the header is the first line of the first."""
+    first = lines.sparkSession.range(1).select(F.lit(0).alias("_rank"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order], F.lit(header).alias("line"))
+    every = first.unionByName(lines.select(F.lit(1).alias("_rank"), *order, "line"))
+    every.repartitionByRange("_rank", *order).sortWithinPartitions("_rank", *order).select("line").write.text(path)
 
 
 def write_vector(v: DataFrame, path: str) -> int:
-    """Lines ``i v`` sorted by i in part files, and ``_rows`` beside them with their number, which is returned."""
-    v.repartitionByRange("i").sortWithinPartitions("i").transform(vector_lines).write.text(path)
+    """The number of values, which is returned, then lines ``i v`` sorted by i. Rows with a null are left out."""
+    v = v.dropna(subset=["i", "v"])
     n = v.count()
-    v.sparkSession.createDataFrame([(str(n),)], "line string").coalesce(1).write.text(f"{path}_rows")
+    _write(v.select("i", F.concat_ws(" ", "i", "v").alias("line")), ["i"], str(n), path)
     return n
 
 
+def read_vector(spark: SparkSession, path: str) -> DataFrame:
+    """(i, v) of a file that write_vector wrote: the header is the one line of a single number."""
+    part = F.split("value", " ")
+    return spark.read.text(path).where(F.size(part) == 2).select(part[0].cast("long").alias("i"), part[1].cast("double").alias("v"))
+
+
 def write_matrix(cells: DataFrame, path: str) -> tuple[int, int]:
-    """Lines ``row col coef`` sorted by row and column, and beside them a header of rows and cells."""
-    lines = cells.repartitionByRange("row").sortWithinPartitions("row", "col").select(F.concat_ws(" ", "row", "col", "coef").alias("line"))
-    lines.write.text(path)
+    """A header of rows and cells, which are returned, then lines ``row col coef`` sorted by row and column. Cells with a null are left out."""
+    cells = cells.dropna(subset=["row", "col", "coef"])
     n, nnz = cells.agg(F.count_distinct("row"), F.count("*")).first()
-    cells.sparkSession.createDataFrame([(f"{n} {nnz}",)], "line string").coalesce(1).write.text(f"{path}_rows")
+    _write(cells.select("row", "col", F.concat_ws(" ", "row", "col", "coef").alias("line")), ["row", "col"], f"{n} {nnz}", path)
     return n, nnz
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, coef) of a file that write_matrix wrote; its header has two numbers."""
+    part = F.split("value", " ")
+    return spark.read.text(path).where(F.size(part) == 3).select(part[0].cast("long").alias("row"), part[1].cast("long").alias("col"), part[2].cast("double").alias("coef"))
+
+
 def report_lines(tree: dict, depth: int = 0) -> list[str]:
     """Nested keys and values, two spaces a level."""
     out = []

@@ -599,6 +599,28 @@ def ghost_ids(spark, sf_dir):
     return geometry.ghost_points(boxes, (SIDE,) * 3).groupBy("part").agg(F.count("*").alias("n"))
 
 
+POINTS_OF = """WITH l AS (SELECT l_suppkey AS id, l_returnflag AS f, l_partkey AS x, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS y, CAST(l_quantity AS BIGINT) AS z FROM lineitem),
+m AS (SELECT id, f, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, min(z) AS z0, max(z) + 1 AS z1 FROM l GROUP BY 1, 2)"""
+_CUBE = "(({0}x1 {1}) - {0}x0) * (({0}y1 {1}) - {0}y0) * (({0}z1 {1}) - {0}z0)"
+_SHARED = " * ".join(f"greatest(least(a.{c}1, b.{c}1) - greatest(a.{c}0, b.{c}0), 0)" for c in "xyz")
+_WITHIN = " AND ".join("l.{c} >= {t}.{c}0 AND l.{c} < {t}.{c}1".replace("{c}", c) for c in "xyz")
+
+
+@query(POINTS_OF + f""", p AS (SELECT a.id, {_CUBE.format('a.', '')} AS va, {_CUBE.format('b.', '')} AS vb, {_CUBE.format('a.', '+ 2')} AS grown, {_SHARED} AS common FROM m a JOIN m b USING (id) WHERE a.f = 'A' AND b.f = 'R'),
+n AS (SELECT l.id, count(*) FILTER ({_WITHIN.format(t='a')} AND NOT ({_WITHIN.format(t='b')})) AS only_lines, count(*) FILTER ({_WITHIN.format(t='a')} OR {_WITHIN.format(t='b')}) AS either_lines
+  FROM l JOIN m a ON a.id = l.id AND a.f = 'A' JOIN m b ON b.id = l.id AND b.f = 'R' GROUP BY 1)
+SELECT id, CAST(va - common AS BIGINT) AS only_volume, CAST(va + vb - common AS BIGINT) AS either_volume, CAST(grown - va AS BIGINT) AS layer_volume, only_lines, either_lines FROM p JOIN n USING (id)""")
+def box_algebra(spark, sf_dir):
+    """Boxes of part, day and quantity around a supplier's lines of two kinds: difference, union and layer, and the lines in them."""
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("f"), F.col("l_partkey").alias("x"), F.unix_date(F.col("l_shipdate").cast("date")).alias("y"), F.col("l_quantity").cast("long").alias("z"))
+    around = lambda kind: geometry.box({a: F.min(F.when(F.col("f") == kind, F.col(a))) for a in "xyz"}, {a: F.max(F.when(F.col("f") == kind, F.col(a))) + 1 for a in "xyz"})
+    both = lines.where("f in ('A', 'R')").groupBy("id").agg(around("A").alias("a"), around("R").alias("b")).where("a.x0 is not null and b.x0 is not null")
+    sets = both.select("id", geometry.difference(F.col("a"), F.col("b")).alias("only"), geometry.union(F.col("a"), F.col("b")).alias("either"), geometry.layer(F.col("a")).alias("layer"))
+    inside = lambda boxes: F.count_if(geometry.holds(F.col(boxes), F.col("x"), F.col("y"), F.col("z"))).alias(f"{boxes}_lines")
+    counts = lines.join(sets.select("id", "only", "either"), "id").groupBy("id").agg(inside("only"), inside("either"))
+    return sets.select("id", *[geometry.volume(F.col(c)).alias(f"{c}_volume") for c in ("only", "either", "layer")]).join(counts, "id")
+
+
 @query(BOXES + " SELECT a.part, b.part AS neighbour FROM box a JOIN box b ON a.part <> b.part AND " + " AND ".join(f"(a.{x}0 IN (b.{x}0, b.{x}1) OR a.{x}1 IN (b.{x}0, b.{x}1))" for x in "xyz"))
 def box_neighbours(spark, sf_dir):
     boxes = geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)

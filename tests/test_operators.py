@@ -297,13 +297,17 @@ def test_parameters(tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    v = domain.vector(spark, 5, v=lambda i: i * 2)
-    assert reports.write_vector(v, str(tmp_path / "v")) == 5
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "v")).collect()) == [f"{i} {2 * i}" for i in range(5)]
-    cells = spark.createDataFrame([(1, 0, 2.5), (0, 1, 1.0), (0, 0, 3.0)], "row long, col long, coef double")
+    written = lambda name: [line for part in sorted((tmp_path / name).glob("part-*")) for line in part.read_text().splitlines()]
+    v = domain.vector(spark, 500, v=lambda i: i * 2.5).repartition(7)
+    more = v.unionByName(spark.createDataFrame([(700, None), (None, 1.0)], "i long, v double"))
+    assert reports.write_vector(more, str(tmp_path / "v")) == 500
+    assert written("v") == ["500", *[f"{i} {2.5 * i}" for i in range(500)]]
+    assert rows(reports.read_vector(spark, str(tmp_path / "v"))) == rows(v)
+    assert reports.write_vector(v.limit(0), str(tmp_path / "none")) == 0 and written("none") == ["0"]
+    cells = spark.createDataFrame([(1, 0, 2.5), (0, 1, 1.0), (0, 0, 3.0), (0, None, 3.0)], "row long, col long, coef double")
     assert reports.write_matrix(cells, str(tmp_path / "m")) == (2, 3)
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()) == ["0 0 3.0", "0 1 1.0", "1 0 2.5"]
-    assert [r[0] for r in spark.read.text(str(tmp_path / "m_rows")).collect()] == ["2 3"]
+    assert written("m") == ["2 3", "0 0 3.0", "0 1 1.0", "1 0 2.5"]
+    assert rows(reports.read_matrix(spark, str(tmp_path / "m"))) == rows(cells.dropna())
     assert reports.report_lines({"a": {"b": 1}, "c": 2}) == ["a:", "  b: 1", "c: 2"]
 
 
