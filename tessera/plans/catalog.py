@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.materialize import materialize
-from tessera.operators import dense, geometry, halo, packed, radix, reports, scans, selection, sparse, spatial, stencils, vectors
+from tessera.operators import dense, geometry, halo, packed, radix, reports, scans, selection, sparse, spatial, stencils, tiles, vectors
 from tessera.plans import fem
 from tessera.sources import csr_text, domain, results
 
@@ -332,14 +332,17 @@ def stencil5(spark, sf_dir):
     return stencils.laplacian5(_full_grid(spark, sf_dir)).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
 
 
+def _grid_of_holes(spark, sf_dir) -> DataFrame:
+    return _grid(spark, sf_dir).groupBy(F.floor(F.col("i") / 4).alias("i"), (F.col("j") % 10).alias("j")).agg(F.sum("u").alias("u")).where("u % 5 <> 0")
+
+
 #: Coarser, without the cells whose sum ends in 0 or 5.
 HOLES = GRID.replace("g AS", "f AS") + ", g AS (SELECT i // 4 AS i, j % 10 AS j, CAST(sum(u) AS BIGINT) AS u FROM f GROUP BY 1, 2 HAVING sum(u) % 5 <> 0)"
 
 
 @query(HOLES + FIVE)
 def stencil5_with_holes(spark, sf_dir):
-    grid = _grid(spark, sf_dir).groupBy(F.floor(F.col("i") / 4).alias("i"), (F.col("j") % 10).alias("j")).agg(F.sum("u").alias("u")).where("u % 5 <> 0")
-    return stencils.laplacian5(grid, tile=16).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
+    return stencils.laplacian5(_grid_of_holes(spark, sf_dir), tile=16).select("i", "j", F.col("d2u").cast("long").alias("d2u"))
 
 
 def _nine(axis: str) -> str:
@@ -352,6 +355,26 @@ def stencil9(spark, sf_dir):
     return stencils.laplacian9(_full_grid(spark, sf_dir)).select("i", "j", F.round(F.col("d2u") * 12).cast("long").alias("d2u"))
 
 
+@query(FULL + FIVE.replace("d2u", "v"))
+def stencil5_tiles(spark, sf_dir):
+    """The same over tiles that are rows, which exchange their edges' strips."""
+    laid = tiles.lay_out(_full_grid(spark, sf_dir))
+    return tiles.cells(tiles.laplacian(laid, stencils.SECOND_ORDER)).select("i", "j", F.col("u").cast("long").alias("v"))
+
+
+def _relaxed(k: int) -> str:
+    beside = "lag(u) OVER a AS l, lag(i) OVER a AS li, lead(u) OVER a AS r, lead(i) OVER a AS ri, lag(u) OVER b AS d, lag(j) OVER b AS dj, lead(u) OVER b AS e, lead(j) OVER b AS ej"
+    return f""", n{k} AS (SELECT i, j, u, {beside} FROM s{k - 1} WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)),
+s{k} AS (SELECT i, j, CASE WHEN li = i - 1 AND ri = i + 1 AND dj = j - 1 AND ej = j + 1 THEN (l + r + d + e) / 4 ELSE u END AS u FROM n{k})"""
+
+
+@query(HOLES + ", s0 AS (SELECT i, j, CAST(u AS DOUBLE) AS u FROM g)" + "".join(map(_relaxed, (1, 2, 3))) + " SELECT i, j, round(u, 6) + 0.0 AS u FROM s3")
+def grid_relax(spark, sf_dir):
+    """Three sweeps over a grid with holes, in small tiles: cells that lack a neighbour keep their values."""
+    out = tiles.relax(tiles.lay_out(_grid_of_holes(spark, sf_dir), 16), 3, 16)
+    return tiles.cells(out, 16).select("i", "j", _rounded("u", 6).alias("u"))
+
+
 # --- scans and lookups -----------------------------------------------------------------------------
 
 #: Every 50th order has no id here.
