@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.materialize import materialize
 from tessera.operators.spatial import overlap_join
 from tessera.sources.domain import box_points
 
@@ -150,6 +151,27 @@ def halos(boxes: DataFrame, limits: tuple[int, int, int], by: int = 1) -> DataFr
     return box_points(both).select("part.owner", "part.reader", *AXES)
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(x, y, z, n): how many rows each place has, so that a place of any share of them is one row."""
+    return rows.where("x is not null and y is not null and z is not null").groupBy(*AXES).agg(F.count("*").alias("n"))
+
+
+def _as_boxes(places: DataFrame) -> DataFrame:
+    return places.select("*", *[(F.col(a) + by).alias(f"{a}{by}") for a in AXES for by in (0, 1)])
+
+
+def owned(places: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``places`` (x, y, z and more) with ``part``: once for each box that has them. The join reads them several times, so they are made once."""
+    met = overlap_join(_as_boxes(materialize(places)), boxes, [(f"{a}0", f"{a}1") for a in AXES], closed=False)
+    return met.select(F.col("b.part").alias("part"), *[F.col(f"a.{c}").alias(c) for c in places.columns])
+
+
+def halo_rows(places: DataFrame, boxes: DataFrame, limits: tuple[int, int, int], by: int = 1) -> DataFrame:
+    """(owner, reader, and the columns of ``places``): the places of ``owner`` that lie within ``by`` of ``reader``'s box."""
+    own = owned(places, boxes).withColumnRenamed("part", "owner")
+    return owned(own, grown(boxes, by, limits)).withColumnRenamed("part", "reader").where("owner <> reader")
+
+
 def imbalance(boxes: list[Box]) -> float:
     """How far the largest or the smallest box is from the mean, in percent of it."""
     n = [b.cells() for b in boxes]

@@ -15,7 +15,7 @@ from tessera.functions import scalar
 from tessera.materialize import materialize
 from tessera.operators import dense, geometry, halo, packed, radix, reports, scans, selection, sparse, spatial, stencils, tiles, vectors
 from tessera.plans import fem
-from tessera.sources import csr_text, domain, results
+from tessera.sources import csr_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -401,28 +401,36 @@ def floor_lookup(spark, sf_dir):
 # --- finite elements -------------------------------------------------------------------------------
 
 N = 4
-PATTERN = f"""WITH n AS (SELECT range AS id, range % {N + 1} AS x, range // {N + 1} % {N + 1} AS y, range // {(N + 1) ** 2} AS z FROM range({(N + 1) ** 3})),
-p AS (SELECT a.id AS "row", b.id AS col FROM n a JOIN n b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1)"""
+CORNERS = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {x}, {y}, {z})" for a, (x, y, z) in enumerate(fem.CORNERS)) + ") t(a, x, y, z))"
+#: The cells that lines fall into, by part, supplier and line number; nodes are numbered over the box around them.
+FILLED = f"""WITH {CORNERS}, f AS (SELECT DISTINCT l_partkey // 50 AS x, l_suppkey // 5 AS y, l_linenumber AS z FROM lineitem), d AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM f),
+cn AS (SELECT f.x AS ex, f.y AS ey, f.z AS ez, f.x + c.x AS x, f.y + c.y AS y, f.z + c.z AS z, f.x + c.x + (nx + 1) * (f.y + c.y) + (nx + 1) * (ny + 1) * (f.z + c.z) AS id FROM f, c, d),
+p AS (SELECT DISTINCT CAST(a.id AS BIGINT) AS "row", CAST(b.id AS BIGINT) AS col FROM cn a JOIN cn b USING (ex, ey, ez))"""
+
 
+def _filled(spark, sf_dir) -> tuple[DataFrame, fem.Mesh]:
+    place = [F.floor(F.col("l_partkey") / 50).alias("ex"), F.floor(F.col("l_suppkey") / 5).alias("ey"), F.col("l_linenumber").cast("long").alias("ez")]
+    cells = _read(spark, sf_dir, "lineitem").select(*place).distinct()
+    return cells, fem.Mesh(*cells.agg(*[F.max(f"e{a}") + 1 for a in "xyz"]).first())
 
-@query(PATTERN + " SELECT * FROM p")
+
+@query(FILLED + " SELECT * FROM p")
 def mesh_structure(spark, sf_dir):
-    return fem.structure(spark, fem.Mesh(N, N, N))
+    return fem.structure_of(*_filled(spark, sf_dir))
 
 
-@query(PATTERN + ', c AS (SELECT "row", count(*) AS k FROM p GROUP BY 1) SELECT "row", CAST(coalesce(sum(k) OVER (ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c')
+@query(FILLED + ', k AS (SELECT "row", count(*) AS k FROM p GROUP BY 1) SELECT "row", CAST(coalesce(sum(k) OVER (ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM k')
 def mesh_row_offsets(spark, sf_dir):
-    return fem.row_offsets(fem.structure(spark, fem.Mesh(N, N, N)))
+    return fem.row_offsets(fem.structure_of(*_filled(spark, sf_dir)))
 
 
-@query(PATTERN + f" SELECT id, x = 0 OR y IN (0, {N}) OR z IN (0, {N}) AS zero_face, x = {N} AS one_face FROM n WHERE zero_face OR one_face")
+@query(FILLED + " SELECT DISTINCT CAST(id AS BIGINT) AS id, x = 0 OR y IN (0, ny) OR z IN (0, nz) AS zero_face, x = nx AS one_face FROM cn, d WHERE zero_face OR one_face")
 def bc_sets(spark, sf_dir):
-    mesh = fem.Mesh(N, N, N)
-    nodes = domain.mesh_nodes(spark, N, N, N).select("id", fem.zero_faces(F.col("id"), mesh).alias("zero_face"), fem.one_face(F.col("id"), mesh).alias("one_face"))
-    return nodes.where("zero_face or one_face")
+    cells, mesh = _filled(spark, sf_dir)
+    nodes = fem.structure_of(cells, mesh).where("row = col").select(F.col("row").alias("id"))
+    return nodes.select("id", fem.zero_faces(F.col("id"), mesh).alias("zero_face"), fem.one_face(F.col("id"), mesh).alias("one_face")).where("zero_face or one_face")
 
 
-CORNERS = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {x}, {y}, {z})" for a, (x, y, z) in enumerate(fem.CORNERS)) + ") t(a, x, y, z))"
 ELEMENT = f"e AS (SELECT p.a, q.a AS b, CASE abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) WHEN 0 THEN 1 / 3.0 WHEN 1 THEN 0.0 ELSE -1 / 12.0 END / {N}.0 AS k, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM c p, c q)"
 MEDIUM = f"SELECT l_partkey % {N} AS x, l_suppkey % {N} AS y, l_linenumber % {N} AS z, CAST(1 + count(*) % 5 AS DOUBLE) AS mk, CAST(sum(CAST(l_quantity AS BIGINT)) % 7 AS DOUBLE) AS mf FROM lineitem GROUP BY 1, 2, 3"
 
@@ -475,9 +483,21 @@ def _cg_sql(steps: int, then: str = " SELECT i, round(x, 7) + 0.0 AS v FROM s{st
     return system + _steps_sql(steps, then)
 
 
-@query(f"WITH {CORNERS}, {ELEMENT} SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(CAST(k AS DOUBLE), 7) + 0.0 AS k FROM e")
+#: Bricks of parts: edges from 1 to 5 and a source.
+BRICKS = "h AS (SELECT p_partkey AS id, 1 + p_size % 5 AS hx, 1 + p_partkey % 5 AS hy, 1 + CAST(round(p_retailprice * 100) AS BIGINT) % 5 AS hz, 1 + p_size % 7 AS q FROM part)"
+_SAME = {a: (f"CASE WHEN p.{a} = q.{a} THEN 1.0 ELSE -1.0 END", f"CASE WHEN p.{a} = q.{a} THEN 2.0 ELSE 1.0 END") for a in "xyz"}
+_AXES = [("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")]
+BRICK = " + ".join(f"CAST(h{b} * h{c} AS DOUBLE) / h{a} * {_SAME[a][0]} * {_SAME[b][1]} * {_SAME[c][1]} / 36" for a, b, c in _AXES)
+
+
+def _bricks(spark, sf_dir) -> DataFrame:
+    part = _read(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), (1 + F.col("p_size") % 5).alias("hx"), (1 + F.col("p_partkey") % 5).alias("hy"), (1 + F.round(F.col("p_retailprice") * 100).cast("long") % 5).alias("hz"), (1 + F.col("p_size") % 7).alias("q"))
+
+
+@query(f"WITH {CORNERS}, {BRICKS} SELECT h.id, CAST(p.a AS INTEGER) AS a, CAST(q.a AS INTEGER) AS b, round({BRICK}, 4) + 0.0 AS k FROM h, c p, c q")
 def fe_element_matrix(spark, sf_dir):
-    return fem.element_matrix(spark, (1 / N, 1 / N, 1 / N)).select("a", "b", _rounded("k", 7).alias("k"))
+    return fem.brick_matrices(_bricks(spark, sf_dir)).select("id", "a", "b", _rounded("k", 4).alias("k"))
 
 
 @query(SYSTEM + ' SELECT "row", col, round(coef, 7) + 0.0 AS coef FROM a0')
@@ -508,42 +528,61 @@ def fe_cg_sliced(spark, sf_dir):
     return found.x.select("i", _rounded("v", 7).alias("v"))
 
 
-VERIFIED = f""", node AS (SELECT i, x AS v, (i % {N + 1}) / {N}.0 AS x, (i // {N + 1} % {N + 1}) / {N}.0 AS y, (i // {(N + 1) ** 2}) / {N}.0 AS z FROM s{{steps}}),
+#: Places of lines in the cube, in eighths, where the solution between the nodes is held against the series.
+VERIFIED = f""", pts AS (SELECT l_partkey % 9 AS x8, l_suppkey % 9 AS y8, l_orderkey % 9 AS z8, count(*) AS lines FROM lineitem GROUP BY 1, 2, 3),
+cell AS (SELECT *, least(x8 // 2, 3) AS ex, least(y8 // 2, 3) AS ey, least(z8 // 2, 3) AS ez FROM pts),
+found AS (SELECT x8, y8, z8, sum(s{{steps}}.x * abs(1 - c.x - (x8 / 2.0 - ex)) * abs(1 - c.y - (y8 / 2.0 - ey)) * abs(1 - c.z - (z8 / 2.0 - ez))) AS v
+  FROM cell, c JOIN s{{steps}} ON i = ex + c.x + {N + 1} * (ey + c.y) + {(N + 1) ** 2} * (ez + c.z) GROUP BY 1, 2, 3),
 terms AS (SELECT 2 * p.range + 1 AS a, 2 * q.range + 1 AS b, pi() * sqrt(CAST((2 * p.range + 1) ** 2 + (2 * q.range + 1) ** 2 AS DOUBLE)) AS k FROM range(113) p, range(113) q),
-series AS (SELECT i, 16 / pi() ** 2 * sum(sinh(k * CAST(x AS DOUBLE)) / sinh(k) * sin(a * pi() * CAST(y AS DOUBLE)) * sin(b * pi() * CAST(z AS DOUBLE)) / (a * b)) AS v
-  FROM node, terms WHERE k < 700 AND x > 0 AND x < 1 AND y > 0 AND y < 1 AND z > 0 AND z < 1 GROUP BY i)
-SELECT node.i, round(abs(node.v - CASE WHEN node.x = 1 THEN 1 ELSE coalesce(series.v, 0) END), 6) + 0.0 AS error FROM node LEFT JOIN series ON series.i = node.i"""
+series AS (SELECT x8, y8, z8, 16 / pi() ** 2 * sum(sinh(k * x8 / 8) / sinh(k) * sin(a * pi() * y8 / 8) * sin(b * pi() * z8 / 8) / (a * b)) AS v
+  FROM pts, terms WHERE k < 700 AND x8 > 0 AND x8 < 8 AND y8 > 0 AND y8 < 8 AND z8 > 0 AND z8 < 8 GROUP BY 1, 2, 3)
+SELECT x8, y8, z8, lines, round(abs(found.v - CASE WHEN x8 = 8 THEN 1 ELSE coalesce(series.v, 0) END), 6) + 0.0 AS error FROM pts JOIN found USING (x8, y8, z8) LEFT JOIN series USING (x8, y8, z8)"""
+
+
+def _places(spark, sf_dir, parts: int) -> DataFrame:
+    """Places of lines in the cube, in ``parts`` steps a side, and how many lines each has."""
+    lines = _read(spark, sf_dir, "lineitem")
+    whole = [(F.col(c) % (parts + 1)).alias(f"{a}{parts}") for c, a in zip(("l_partkey", "l_suppkey", "l_orderkey"), "xyz", strict=True)]
+    return lines.groupBy(*whole).agg(F.count("*").alias("lines")).select("*", *[(F.col(f"{a}{parts}") / parts).alias(a) for a in "xyz"])
+
+
+def _errors_at(x: DataFrame, places: DataFrame, mesh: fem.Mesh) -> DataFrame:
+    at = places.join(fem.interpolate(x, places, mesh), ["x", "y", "z"])
+    at = at.repartition(x.sparkSession.sparkContext.defaultParallelism)  # few bytes, but thousands of terms each
+    return at.withColumn("error", F.abs(F.col("v") - fem.steady(F.col("x"), F.col("y"), F.col("z"))))
 
 
 @query(_cg_sql(6, VERIFIED, UNIFORM + FACES))
 def fe_verify(spark, sf_dir):
-    """Errors of all nodes against the series."""
+    """Errors against the series at the places of lines, between the nodes of a coarse mesh."""
     mesh = fem.Mesh(N, N, N)
     found = fem.conjugate_gradients(*fem.dirichlet(*fem.assemble(spark, mesh), mesh), iterations=6)
-    return fem.errors(found.x, mesh, whole=True).select("i", _rounded("error", 6).alias("error"))
+    return _errors_at(found.x, _places(spark, sf_dir, 8), mesh).select("x8", "y8", "z8", "lines", _rounded("error", 6).alias("error"))
 
 
 @query()
 def fe_verify_centre(spark, sf_dir):
-    """A finer mesh, solved until it converges, at its centre."""
+    """A finer mesh, solved until it converges, at the places of lines that lie around its centre, and at its node there."""
     mesh = fem.Mesh(10, 10, 10)
     found = fem.conjugate_gradients(*fem.dirichlet(*fem.assemble(spark, mesh), mesh), tolerance=1e-10)
-    return fem.verify(found.x, mesh).withColumn("iterations", F.lit(found.iterations))
+    near = _places(spark, sf_dir, 40).where(" and ".join(f"{a}40 between 19 and 21" for a in "xyz"))
+    rows = _errors_at(found.x, near, mesh).agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.count("*").alias("places"), F.max("error").alias("error_at_lines"))
+    return fem.verify(found.x, mesh).join(rows).withColumn("iterations", F.lit(found.iterations))  # one row each
 
 
-GAUSS3 = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({x} AS DOUBLE), CAST({w} AS DOUBLE))" for k, (x, w) in enumerate(fem.GAUSS[3])) + ") t(k, x, w))"
-POINTS = "q AS (SELECT 9 * a.k + 3 * b.k + c.k AS gp, a.x, b.x AS y, c.x AS z, a.w * b.w * c.w AS w FROM r a, r b, r c)"
-SHAPE = "f AS (SELECT q.gp, q.w, c.a, (1 + (2 * c.x - 1) * q.x) * (1 + (2 * c.y - 1) * q.y) * (1 + (2 * c.z - 1) * q.z) / 8 AS v FROM q, c)"
+_AT = {"x": "p_partkey % 17", "y": "p_size % 17", "z": "CAST(round(p_retailprice * 100) AS BIGINT) % 17"}
 
 
-@query(f"WITH {CORNERS}, {GAUSS3}, {POINTS}, {SHAPE} SELECT CAST(gp AS INTEGER) AS gp, CAST(a AS INTEGER) AS a, round(v, 9) + 0.0 AS v FROM f")
+@query(f"WITH {CORNERS} SELECT p_partkey AS id, CAST(a AS INTEGER) AS a, " + " * ".join(f"(1 + (2 * c.{x} - 1) * ({at} - 8) / 8.0)" for x, at in _AT.items()).join(("CAST(", " AS DOUBLE)")) + " / 8 AS v FROM part, c")
 def fe_shape_values(spark, sf_dir):
-    return fem.shape_values(spark, 3).select("gp", "a", _rounded("v", 9).alias("v"))
+    """The eight shape functions at places of parts in their cells, in eighths."""
+    points = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[((F.expr(at) - 8) / 8).alias(x) for x, at in _AT.items()])
+    return fem.shapes_at(points).select("id", "a", "v")
 
 
-@query(f"WITH {CORNERS}, {GAUSS3}, {POINTS}, {SHAPE} SELECT CAST(a AS INTEGER) AS a, round(sum(v * w) / {8 * N**3}, 9) + 0.0 AS v FROM f GROUP BY 1")
+@query(f"WITH {BRICKS} SELECT id, CAST(a.range AS INTEGER) AS a, round(q * hx * hy * hz / 8.0, 3) + 0.0 AS v FROM h, range(8) a")
 def fe_element_source(spark, sf_dir):
-    return fem.element_source(spark, (1 / N, 1 / N, 1 / N), n=3).select("a", _rounded("v", 9).alias("v"))
+    return fem.brick_sources(_bricks(spark, sf_dir), n=3).select("id", "a", _rounded("v", 3).alias("v"))
 
 
 # --- a graph of orders and parts -------------------------------------------------------------------
@@ -601,25 +640,62 @@ CASE WHEN axis = 2 AND side = 1 THEN z1 - (z1 - z0) * (np - np // 2) // np ELSE
 FROM r WHERE np > 1) h)), box AS (SELECT CAST(p AS INTEGER) AS part, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1, CAST(y0 AS INTEGER) AS y0, CAST(y1 AS INTEGER) AS y1, CAST(z0 AS INTEGER) AS z0, CAST(z1 AS INTEGER) AS z1 FROM r WHERE np = 1)"""
 
 
-@query(BOXES + " SELECT * FROM box")
+#: Places of lines in that domain, and how many lines each has.
+PLACES = f", l AS (SELECT l_partkey % {SIDE} AS x, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % {SIDE} AS y, l_orderkey % {SIDE} AS z, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)"
+_INSIDE = " AND ".join("l.{c} >= {t}.{c}0 AND l.{c} < {t}.{c}1".replace("{c}", c) for c in "xyz")
+ENDS = [f"{a}{e}" for a in "xyz" for e in "01"]
+LOADED = PLACES + ", loaded AS (SELECT box.*, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS lines FROM {box} LEFT JOIN l ON " + _INSIDE.format(t="box") + " GROUP BY ALL) SELECT *, round(abs(lines - avg(lines) OVER ()) / (avg(lines) OVER ()) * 100, 6) AS off FROM loaded"
+
+
+def _line_places(spark, sf_dir) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem")
+    day = F.unix_date(F.col("l_shipdate").cast("date"))
+    return geometry.counted(lines.select((F.col("l_partkey") % SIDE).alias("x"), (day % SIDE).cast("long").alias("y"), (F.col("l_orderkey") % SIDE).alias("z")))
+
+
+def _loaded(boxes: DataFrame, places: DataFrame) -> DataFrame:
+    """Boxes with the lines in each, and how far their number is from the mean, in percent."""
+    counts = geometry.owned(places, boxes).groupBy("part").agg(F.sum("n").alias("lines"))
+    loaded = boxes.join(counts, "part", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    mean = loaded.agg(F.avg("lines").alias("mean"))  # one row
+    return loaded.join(F.broadcast(mean)).select("part", *ENDS, "lines", F.round(scalar.percent_off(F.col("lines"), F.col("mean")), 6).alias("off"))
+
+
+@query(BOXES + LOADED.format(box="box"))
 def rcb_boxes(spark, sf_dir):
-    return geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)
+    """Boxes of a domain cut in parts, with the lines that fall into each."""
+    return _loaded(geometry.partition(spark, SIDE, SIDE, SIDE, PARTS), _line_places(spark, sf_dir))
 
 
 GROWN = ", g AS (SELECT part, " + ", ".join(f"greatest({a}0 - 1, 0) AS {a}0, least({a}1 + 1, {SIDE}) AS {a}1" for a in "xyz") + " FROM box)"
+#: What a part owns and another reads: lines.
+READ = PLACES + f", halo AS (SELECT box.part AS owner, g.part AS reader, CAST(sum(l.n) AS BIGINT) AS lines FROM l JOIN box ON {_INSIDE.format(t='box')} JOIN g ON g.part <> box.part AND {_INSIDE.format(t='g')} GROUP BY 1, 2)"
 
 
-@query(BOXES + GROWN + f""" SELECT o.part AS owner, r.part AS reader, CAST({" * ".join(f"(least(o.{a}1, r.{a}1) - greatest(o.{a}0, r.{a}0))" for a in "xyz")} AS BIGINT) AS n
-FROM box o JOIN g r ON o.part <> r.part AND {" AND ".join(f"least(o.{a}1, r.{a}1) > greatest(o.{a}0, r.{a}0)" for a in "xyz")}""")
-def halo_pairs(spark, sf_dir):
+def _halo(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Boxes, and (owner, reader, x, y, z, n): lines that parts need of one another."""
     boxes = geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)
-    return geometry.halos(boxes, (SIDE,) * 3).groupBy("owner", "reader").agg(F.count("*").alias("n"))
+    return boxes, geometry.halo_rows(_line_places(spark, sf_dir), boxes, (SIDE,) * 3)
+
+
+@query(BOXES + GROWN + READ + f""", m AS (SELECT o.part AS owner, r.part AS reader, CAST({" * ".join(f"(least(o.{a}1, r.{a}1) - greatest(o.{a}0, r.{a}0))" for a in "xyz")} AS BIGINT) AS n
+FROM box o JOIN g r ON o.part <> r.part AND {" AND ".join(f"least(o.{a}1, r.{a}1) > greatest(o.{a}0, r.{a}0)" for a in "xyz")}) SELECT owner, reader, m.n, coalesce(lines, 0) AS lines FROM m LEFT JOIN halo USING (owner, reader)""")
+def halo_pairs(spark, sf_dir):
+    """Points and lines that parts need of one another."""
+    boxes, read = _halo(spark, sf_dir)
+    points = geometry.halos(boxes, (SIDE,) * 3).groupBy("owner", "reader").agg(F.count("*").alias("n"))
+    lines = read.groupBy("owner", "reader").agg(F.sum("n").alias("lines"))
+    return points.join(lines, ["owner", "reader"], "left").select("owner", "reader", "n", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
-@query(BOXES + GROWN + f""" SELECT part, CAST({" * ".join(f"(g.{a}1 - g.{a}0)" for a in "xyz")} - {" * ".join(f"(box.{a}1 - box.{a}0)" for a in "xyz")} AS BIGINT) AS n FROM g JOIN box USING (part)""")
+@query(BOXES + GROWN + READ + f""", m AS (SELECT part, CAST({" * ".join(f"(g.{a}1 - g.{a}0)" for a in "xyz")} - {" * ".join(f"(box.{a}1 - box.{a}0)" for a in "xyz")} AS BIGINT) AS n FROM g JOIN box USING (part))
+SELECT part, m.n, CAST(coalesce((SELECT sum(lines) FROM halo WHERE reader = part), 0) AS BIGINT) AS lines FROM m""")
 def ghost_ids(spark, sf_dir):
-    boxes = geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)
-    return geometry.ghost_points(boxes, (SIDE,) * 3).groupBy("part").agg(F.count("*").alias("n"))
+    """Points of the layer around each box, and the lines there."""
+    boxes, read = _halo(spark, sf_dir)
+    points = geometry.ghost_points(boxes, (SIDE,) * 3).groupBy("part").agg(F.count("*").alias("n"))
+    lines = read.groupBy(F.col("reader").alias("part")).agg(F.sum("n").alias("lines"))
+    return points.join(lines, "part", "left").select("part", "n", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 POINTS_OF = """WITH l AS (SELECT l_suppkey AS id, l_returnflag AS f, l_partkey AS x, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS y, CAST(l_quantity AS BIGINT) AS z FROM lineitem),
@@ -644,26 +720,10 @@ def box_algebra(spark, sf_dir):
     return sets.select("id", *[geometry.volume(F.col(c)).alias(f"{c}_volume") for c in ("only", "either", "layer")]).join(counts, "id")
 
 
-@query(BOXES + " SELECT a.part, b.part AS neighbour FROM box a JOIN box b ON a.part <> b.part AND " + " AND ".join(f"(a.{x}0 IN (b.{x}0, b.{x}1) OR a.{x}1 IN (b.{x}0, b.{x}1))" for x in "xyz"))
-def box_neighbours(spark, sf_dir):
-    boxes = geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)
-    met = boxes.alias("a").join(boxes.alias("b"), (F.col("a.part") != F.col("b.part")) & geometry.neighbouring("a", "b"))
-    return met.select(F.col("a.part").alias("part"), F.col("b.part").alias("neighbour"))
-
-
-@query(BOXES + ", u AS (SELECT part // 2 AS up, " + ", ".join(f"min({x}0) AS {x}0, max({x}1) AS {x}1" for x in "xyz") + " FROM box GROUP BY 1) SELECT CAST(u.up AS INTEGER) AS up, box.part FROM u JOIN box ON " + " AND ".join(f"u.{x}0 <= box.{x}0 AND box.{x}1 <= u.{x}1" for x in "xyz"))
-def box_containment(spark, sf_dir):
-    boxes = geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)
-    around = boxes.groupBy(F.floor(F.col("part") / 2).cast("int").alias("up")).agg(*[f(f"{x}{e}").alias(f"{x}{e}") for x in "xyz" for e, f in (("0", F.min), ("1", F.max))])
-    return around.alias("u").join(boxes.alias("box"), geometry.contains("u", "box")).select("up", "box.part")
-
-
-@query(BOXES + GROWN + f""", h AS (SELECT DISTINCT o.part AS a, r.part AS b FROM box o JOIN g r ON o.part < r.part AND {" AND ".join(f"least(o.{a}1, r.{a}1) > greatest(o.{a}0, r.{a}0)" for a in "xyz")})
-SELECT a AS part, b AS neighbour FROM h UNION SELECT b, a FROM h""")
+@query(BOXES + GROWN + READ + ", h AS (SELECT owner AS a, reader AS b FROM halo WHERE owner < reader) SELECT a AS part, b AS neighbour FROM h UNION SELECT b, a FROM h")
 def halo_neighbours(spark, sf_dir):
-    """Both directions, from what each part reads of parts before it."""
-    boxes = geometry.partition(spark, SIDE, SIDE, SIDE, PARTS)
-    return sparse.neighbours(geometry.halos(boxes, (SIDE,) * 3).where("owner < reader").select("reader", "owner"))
+    """Both directions, from the lines that each part reads of parts before it."""
+    return sparse.neighbours(_halo(spark, sf_dir)[1].where("owner < reader").select("reader", "owner"))
 
 
 def _imbalance_sql(parts: int = 8, percent: float = 30.0) -> str:
@@ -687,10 +747,16 @@ SELECT CAST(p.range AS INTEGER) AS part, {", ".join(f"CAST({side}[{x}][p.range +
 FROM (SELECT l, h FROM s ORDER BY k DESC LIMIT 1), range({parts}) p"""
 
 
-@query(_imbalance_sql())
+def _imbalanced_lines_sql() -> str:
+    head, last = _imbalance_sql().rsplit("\nSELECT", 1)
+    return head + f", moved AS (SELECT{last})" + LOADED.format(box="moved AS box")
+
+
+@query(_imbalanced_lines_sql())
 def add_imbalance(spark, sf_dir):
+    """Boxes brought out of balance, with the lines that fall into each."""
     boxes = geometry.add_imbalance(geometry.bisect(geometry.Box([0, 0, 0], [SIDE] * 3), 8), 30.0)
-    return geometry.table(spark, boxes)
+    return _loaded(geometry.table(spark, boxes), _line_places(spark, sf_dir))
 
 
 WINDOWS = """WITH e AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, epoch_us(ts) AS t FROM events),
@@ -724,18 +790,45 @@ def box_join(spark, sf_dir):
     return met.groupBy("a.id").agg(F.count("*").alias("others"), F.min("b.id").alias("least_other"))
 
 
-# --- results ---------------------------------------------------------------------------------------
+#: Boxes of line number, month and tens of quantity around the lines of orders, half open.
+ORDER_BOXES = """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS x, year(l_shipdate) * 12 + month(l_shipdate) AS y, CAST(l_quantity AS BIGINT) // 10 AS z FROM lineitem),
+b AS (SELECT id, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, min(z) AS z0, max(z) + 1 AS z1, count(*) AS n FROM l GROUP BY 1)"""
+
+
+def _order_boxes(spark, sf_dir) -> DataFrame:
+    day = F.col("l_shipdate")
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("x"), (F.year(day) * 12 + F.month(day)).cast("long").alias("y"), F.floor(F.col("l_quantity") / 10).alias("z"))
+    return lines.groupBy("id").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{e}") for c in "xyz" for e, f in ((0, F.min), (1, lambda c: F.max(c) + 1))])
+
+
+AXES = [(f"{a}0", f"{a}1") for a in "xyz"]
+
+
+@query(ORDER_BOXES + " SELECT a.id, count(*) AS neighbours, min(b.id) AS least FROM b a JOIN b ON a.n <= 2 AND b.n <= 2 AND a.id % 2 = 0 AND b.id % 2 = 1 AND " + " AND ".join(f"(a.{x}0 IN (b.{x}0, b.{x}1) OR a.{x}1 IN (b.{x}0, b.{x}1))" for x in "xyz") + " GROUP BY 1")
+def box_neighbours(spark, sf_dir):
+    """Even orders with the odd ones whose boxes have a plane in common with theirs along every axis."""
+    boxes = _order_boxes(spark, sf_dir).where("n <= 2")
+    met = spatial.overlap_join(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), AXES).where(geometry.neighbouring("a", "b"))
+    return met.groupBy("a.id").agg(F.count("*").alias("neighbours"), F.min("b.id").alias("least"))
+
+
+@query(ORDER_BOXES + " SELECT a.id, count(*) AS inside, min(b.id) AS least FROM b a JOIN b ON a.n = 2 AND b.n = 1 AND " + " AND ".join(f"a.{x}0 <= b.{x}0 AND b.{x}1 <= a.{x}1" for x in "xyz") + " GROUP BY 1")
+def box_containment(spark, sf_dir):
+    """Orders of two lines with those of one line that lie within their boxes."""
+    boxes = _order_boxes(spark, sf_dir)
+    met = spatial.overlap_join(boxes.where("n = 2"), boxes.where("n = 1"), AXES, closed=False).where(geometry.contains("a", "b"))
+    return met.groupBy("a.id").agg(F.count("*").alias("inside"), F.min("b.id").alias("least"))
 
-#: Runs of our own making: speeds by a rule, in halves of a unit.
-RESULTS = [(t, p, nodes, n, used, (t * p * (5 if used == "library" else 2) - nodes + n // 1024) / 2) for t in (4, 16) for p in (1, 2, 4) for nodes in (1, 2) for n in (2048, 16384) for used in ("library", "own")]
-RESULT_ROWS = "(VALUES " + ", ".join(f"({a}, {b}, {c}, {d}, '{e}', CAST({f} AS DOUBLE))" for a, b, c, d, e, f in RESULTS) + ") t(threads, processes, nodes, n, used, gflops)"
 
+# --- results ---------------------------------------------------------------------------------------
 
-@query(f"SELECT used, n, max(gflops) AS best, round(max(gflops / nodes), 6) AS best_per_node, count(*) AS runs FROM {RESULT_ROWS} WHERE threads = 16 GROUP BY 1, 2")
+@query("""SELECT l_returnflag AS used, l_linenumber AS n, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS best, round(max(CAST(round(l_extendedprice * 100) AS BIGINT) / l_quantity), 6) AS best_per_unit, count(*) AS runs
+FROM lineitem WHERE l_quantity >= 16 GROUP BY 1, 2""")
 def bench_summary(spark, sf_dir):
-    rows = results.series(spark, RESULTS, "threads int, processes int, nodes int, n int, used string, gflops double").where("threads = 16")
-    per_node = rows.withColumn("per_node", F.col("gflops") / F.col("nodes"))
-    return per_node.groupBy("used", "n").agg(F.max("gflops").alias("best"), F.round(F.max("per_node"), 6).alias("best_per_node"), F.count("*").alias("runs"))
+    """The best of each kind and size among the larger runs, as they are and for each unit: prices stand for speeds."""
+    rows = _read(spark, sf_dir, "lineitem").where("l_quantity >= 16").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    per_unit = rows.withColumn("per_unit", F.col("cents") / F.col("l_quantity"))
+    return per_unit.groupBy(F.col("l_returnflag").alias("used"), F.col("l_linenumber").alias("n")).agg(F.max("cents").alias("best"), F.round(F.max("per_unit"), 6).alias("best_per_unit"), F.count("*").alias("runs"))
 
 
 @query("""WITH r AS (SELECT o_custkey AS method, CAST(round(o_totalprice * 100) AS BIGINT) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
