@@ -9,7 +9,8 @@ scripts, comments of readers, adverts, notices: by tag, role, class or id) goes
 so does what browsers show only in place of media.
 
 Text is whole: character references are decoded, white space inside a block is one space, blocks are
-joined in page order by one space. Time is in proportion to the page, however it is nested or broken.
+joined in page order by one space. Of a body that is split, sibling articles stay that score ten points, and a
+fifth of the best one's; so do sibling divisions that have a paragraph of sentences without links. Time is in proportion to the page, however it is nested or broken.
 
 Defined cases: a null or empty page has no text; broken nesting is closed as browsers do; a page
 without any scored block gives its article, main part or body, whichever comes first; very long pages
@@ -54,6 +55,9 @@ NEVER_MAIN = frozenset("comment comments disqus replies cookie cookies consent g
 PARTS = frozenset("section ul ol dl li dd table thead tbody tfoot tr td blockquote".split())
 #: Siblings of the best container that are kept, if they aren't made of links.
 KEPT = frozenset("p h1 h2 h3 h4 h5 h6 pre table figure ul ol dl blockquote".split())
+#: Divisions beside the best one are parts of a split body if they have a paragraph of so many characters that ends like a sentence, and next to no links.
+BODY_PARTS, BODY_CHARS, BODY_DENSITY = frozenset("div section".split()), 80, 0.1
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 #: Head start of containers by kind: it breaks ties, and outweighs no paragraph.
 BONUS = {"article": 1.0, "main": 1.0, "section": 0.5, "div": 0.4, "td": 0.2, "blockquote": 0.2}
 #: A block of so many links or more, and so great a share of them, is a menu, as are so many paragraphs in a row.
@@ -284,6 +288,20 @@ def _without_menus(node: Node) -> str:
     return text_of(node)
 
 
+def _part_of_body(node: Node) -> bool:
+    """Whether a division beside the best one reads like more of the same body."""
+    if node.tag not in BODY_PARTS or _link_density(node) > BODY_DENSITY:
+        return False
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag not in ("p", "pre", "blockquote"):
+            todo += [c for c in x.children if isinstance(c, Node) and not c.noise]
+        elif x.size >= BODY_CHARS and SENTENCE.search(text_of(x)[-8:]):
+            return True
+    return False
+
+
 def _ancestor(node: Node | None, stop) -> Node | None:
     while node is not None and not stop(node):
         node = node.parent
@@ -321,16 +339,21 @@ def main_text(page: str | None) -> str:
     up = _ancestor(best, lambda x: x.tag not in PARTS)
     if up is not None and (up.tag == "main" or up.tag == "div" and _link_density(up) < 0.25):
         best = up
-    if best.parent is None or best.tag in ("article", "main", "body"):
+    if best.parent is None or best.tag in ("main", "body"):
         return _without_menus(best)
     least = max(10.0, 0.2 * score(best))
     parts = []
+    if best.tag == "article":  # a page may have its text in several, teasers beside it aren't it
+        for x in best.parent.children:
+            if isinstance(x, Node) and not x.noise and (x is best or x.tag == "article" and score(x) >= least and _link_density(x) < 0.25):
+                parts.append(_without_menus(x))
+        return " ".join(p for p in parts if p)
     for x in best.parent.children:
         if isinstance(x, str) or x.noise:
             continue
         headed = x.tag == "div" and any(c.tag == "h1" for c in _nodes(x))
         like_text = (x.tag in KEPT or headed) and _link_density(x) < 0.25
-        if x is best or x.size and (score(x) >= least or like_text):
+        if x is best or x.size and (score(x) >= least or like_text or _part_of_body(x)):
             parts.append(_without_menus(x))
     return " ".join(p for p in parts if p)
 

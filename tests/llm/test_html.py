@@ -143,3 +143,34 @@ def test_hidden_elements(attribute):
 @pytest.mark.parametrize("attribute", ['style="display:block"', 'style="--x: display:none-ish"', 'data-style="display:none"', 'data-hidden="1"', 'style=""'])
 def test_elements_that_are_seen(attribute):
     assert "seen words" in html.main_text(f"<article>{BODY}<p {attribute}>seen words</p>{BODY}</article>")
+
+
+END = "This is how the story ends: with a sentence that stands in a division of its own, some way below the rest of it."
+
+
+def test_bodies_that_are_split():
+    """Divisions beside the best one that read like text stay, such as are made of links or of a few words go."""
+    parts = f"<div class=a>{f'<p>{LONG}</p>' * 6}</div><div class=b><p>{END}</p></div>"
+    want = " ".join([LONG.strip()] * 6 + [END])
+    assert html.main_text(page(parts)) == want
+    assert html.main_text(page(f"<div class=x>{parts}</div><div><p>Just a few words.</p></div>")) == want
+    links = "".join(f"<a href=/{k}>{END}</a> " for k in range(2))
+    assert html.main_text(page(f"{parts}<div class=more><p>{links}</p></div><div class=ad><p>{END}</p></div>")) == want
+    assert html.main_text(page(f"{parts}<div class=last><p>{END[:-1]} and no stop, nor any other end</p></div>")) == want
+
+
+def test_articles_side_by_side():
+    """A page's text may be in several articles; a teaser beside it isn't it."""
+    one, two = f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>", f"<article><p>{LONG}{END}</p><p>{LONG}</p><p>{LONG}</p></article>"
+    both = " ".join([LONG.strip()] * 3 + [f"{LONG}{END}", LONG.strip(), LONG.strip()])
+    assert html.main_text(page(f"<div>{one}<p>Between.</p>{two}</div>")) == both
+    assert html.main_text(page(f"{one}{two}<article><p>Read more, soon.</p></article><article><p><a href=x>{LONG}{LONG}</a></p></article>")) == both
+
+
+def test_split_bodies_take_no_time():
+    import time
+
+    for odd in (f"<div>{'<blockquote>' * 20000}{END[:-1]}", f"<div><p>{END[:-1]}" + "<table><td><p>x" * 20000, f"<div><p>{END[:-1]}</div>" * 20000):
+        began = time.perf_counter()
+        html.main_text(page(f"<div>{f'<p>{LONG}</p>' * 6}</div>{odd}"))
+        assert time.perf_counter() - began < 10
