@@ -53,21 +53,57 @@ def structure(spark: SparkSession, mesh: Mesh) -> DataFrame:
     return near.select(F.col("id").alias("row"), mesh.node_id(*[F.col(f"i{a}") + F.col(f"d{a}") for a in "xyz"]).alias("col"))
 
 
+def _node_columns(cells: DataFrame, mesh: Mesh) -> tuple[DataFrame, int]:
+    """(x, y, block, m0, m1, m2, m3) and the height of a block: nodes above one another, with the cells around them as bits.
+
+    Bit k of a mask is the cell below node k of the block, bit k + 1 the one above it; masks are of the columns of cells
+    at the node's lower or upper side along x (0, 2 or 1, 3 of m) and y (0, 1 or 2, 3). Bits alone are shuffled."""
+    high = max(1, min(32, mesh.nz))
+    place = [F.col("ex").cast("long").alias("ex"), F.col("ey").cast("long").alias("ey"), F.floor(F.col("ez") / high).alias("block")]
+    there = cells.where("ex is not null and ey is not null and ez is not null")
+    columns = there.groupBy(*place).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(ez, {high}) as int))")).alias("bits"))
+    sides = [F.struct((F.col("ex") + 1 - side % 2).alias("x"), (F.col("ey") + 1 - side // 2).alias("y"), (F.col("block") + up).alias("block"), F.lit(side).alias("side"), bits.alias("bits"))
+             for side in range(4) for up, bits in ((0, F.shiftleft("bits", 1)), (1, F.shiftright("bits", high - 1)))]
+    each = columns.select(F.explode(F.array(*sides)).alias("s")).select("s.*").where("bits <> 0")
+    masks = [F.coalesce(F.bit_or(F.when(F.col("side") == side, F.col("bits"))), F.lit(0).cast("long")).alias(f"m{side}") for side in range(4)]
+    return each.groupBy("x", "y", "block").agg(*masks), high
+
+
+def _nodes(cells: DataFrame, mesh: Mesh) -> tuple[DataFrame, dict[int, Column]]:
+    """(row and more) of the nodes that a cell has, and how far each possible neighbour's id is from theirs, with whether it is one."""
+    columns, high = _node_columns(cells, mesh)
+    within = {-1: (0,), 0: (0, 1), 1: (1,)}
+    masks = {(dx, dy): [f"m{i + 2 * j}" for i in within[dx] for j in within[dy]] for dx in within for dy in within}
+    name = lambda dx, dy: f"n{dx + 1}{dy + 1}"
+    own = columns.select("x", "y", "block", *[F.expr(" | ".join(of)).alias(name(*d)) for d, of in masks.items()])
+    each = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("k"))
+    around = each.select(mesh.node_id(F.col("x"), F.col("y"), F.col("block") * high + F.col("k")).alias("row"), *[F.expr(f"shiftright({name(*d)}, k) & 3").alias(name(*d)) for d in masks])
+    along = {-1: 1, 0: 3, 1: 2}
+    there = {int(dx + (mesh.nx + 1) * (dy + (mesh.ny + 1) * dz)): F.expr(f"{name(dx, dy)} & {bits}") != 0 for dz, bits in along.items() for dy in within for dx in within}
+    return around.where(f"{name(0, 0)} <> 0"), there
+
+
 def structure_of(cells: DataFrame, mesh: Mesh) -> DataFrame:
     """(row, col) of a mesh of which only some cells (ex, ey, ez) are there: the corners that share a cell, each pair once.
 
-    Cells without a place are left out; repeated ones count once."""
-    corner = lambda c: mesh.node_id(F.col("ex") + c[0], F.col("ey") + c[1], F.col("ez") + c[2])
-    there = cells.select("ex", "ey", "ez").where("ex is not null and ey is not null and ez is not null").distinct()
-    rows = there.select(F.array(*[corner(c) for c in CORNERS]).alias("n")).select("n", F.explode("n").alias("row"))
-    return rows.select("row", F.explode("n").alias("col")).distinct()
+    Cells without a place are left out; repeated ones count once. Pairs are made of what nodes know of the cells around
+    them, and aren't shuffled."""
+    nodes, there = _nodes(cells, mesh)
+    cols = F.array(*[F.when(known, F.col("row") + by) for by, known in there.items()])
+    return nodes.select("row", F.explode(cols).alias("col")).where("col is not null")
+
+
+def row_lengths(cells: DataFrame, mesh: Mesh) -> DataFrame:
+    """(row, n): how many columns each row of ``structure_of`` has, without making them."""
+    nodes, there = _nodes(cells, mesh)
+    return nodes.select("row", sum((known.cast("long") for known in list(there.values())[1:]), list(there.values())[0].cast("long")).alias("n"))
 
 
 def row_offsets(pattern: DataFrame) -> DataFrame:
-    """(row, start): where each row starts if cells are laid out by row."""
+    """(row, start): where each row starts if cells are laid out by row. ``pattern`` has a row for each cell, or (row, n)."""
     from tessera.operators.scans import exclusive_scan
 
-    counts = pattern.groupBy("row").agg(F.count("*").alias("n"))
+    counts = pattern if "n" in pattern.columns else pattern.groupBy("row").agg(F.count("*").alias("n"))
     return exclusive_scan(counts, "row", "n", "start").select("row", "start")
 
 

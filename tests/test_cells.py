@@ -81,3 +81,20 @@ def test_rows_in_boxes_and_halos(spark):
     assert tuples(out.select("owner", "reader", "x", "y", "z", "n")) == sorted(halo) and halo
     assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
     assert geometry.owned(places.limit(0), table).count() == 0
+
+
+def test_structure_of_tall_meshes_shuffles_no_pairs(spark):
+    rng = random.Random(2)
+    mesh = fem.Mesh(3, 2, 70)
+    cells = sorted({(rng.randrange(3), rng.randrange(2), rng.choice([0, 30, 31, 32, 33, 63, 64, rng.randrange(70)])) for _ in range(60)})
+    df = spark.createDataFrame(cells + cells[:5], "ex long, ey long, ez long")
+    ids = [[mesh.node_id(x + a, y + b, z + c) for a, b, c in fem.CORNERS] for x, y, z in cells]
+    want = sorted({(a, b) for n in ids for a in n for b in n})
+    out = fem.structure_of(df, mesh)
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # pairs are made above the last one
+    lengths = fem.row_lengths(df, mesh)
+    assert {r: n for r, n in lengths.collect()} == {a: sum(1 for p in want if p[0] == a) for a in {p[0] for p in want}}
+    offsets = dict(map(tuple, fem.row_offsets(lengths).collect()))
+    assert offsets == {a: sum(1 for p in want if p[0] < a) for a in {p[0] for p in want}}
