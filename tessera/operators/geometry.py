@@ -136,6 +136,30 @@ def neighbouring(a: str, b: str) -> Column:
     return meet[0] & meet[1] & meet[2]
 
 
+def neighbour_totals(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of ``a`` with (n, least): how many boxes of ``b`` have a plane in common along every axis, and the least ``key`` among them.
+
+    No pairs are made: both sides give each set of their planes (the lower, the upper or both along each axis), 27 a box,
+    which meet by equality. Boxes with one plane of a's or the other along an axis are those with the one, plus those with the
+    other, less those with both. Boxes without an end, or that end before they start, have none."""
+    ends = [f"{x}{e}" for x in AXES for e in "01"]
+    fine = " and ".join(f"{x}0 <= {x}1" for x in AXES)
+
+    def planes(boxes: DataFrame) -> tuple[DataFrame, list[str]]:
+        for x in AXES:
+            sets = [F.struct(F.col(f"{x}{e}").alias("lo"), F.col(f"{x}{f}").alias("hi")) for e, f in ("00", "11", "01")]
+            boxes = boxes.withColumn(f"_{x}", F.explode(F.array_distinct(F.array(*sets))))
+        return boxes, [f"_{x}" for x in AXES]
+
+    ones, keys = planes(a.select(*ends).where(fine).distinct())
+    others, _ = planes(b.where(fine).groupBy(*ends).agg(F.count("*").alias("_n"), F.min(key).alias("_least")))
+    known = others.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    both = [F.col(f"_{x}.lo") != F.col(f"_{x}.hi") for x in AXES]
+    sign = F.when(both[0], -1).otherwise(1) * F.when(both[1], -1).otherwise(1) * F.when(both[2], -1).otherwise(1)
+    met = ones.join(known, keys).groupBy(*ends).agg(F.sum(sign * F.col("_n")).alias("n"), F.min("_least").alias("least"))
+    return a.drop("n", "least").join(met.where("n > 0"), ends)
+
+
 def disjoint(a: str, b: str) -> Column:
     """Whether two box aliases share no cell."""
     apart = [(F.col(f"{a}.{x}1") <= F.col(f"{b}.{x}0")) | (F.col(f"{b}.{x}1") <= F.col(f"{a}.{x}0")) for x in AXES]

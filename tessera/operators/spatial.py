@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.materialize import materialize
+
 #: Pairs of a cell that one slice compares, and most slices of a cell.
 PAIRS_EACH, MOST_SLICES = 1_000_000, 4096
 Axis = tuple[str, str]
@@ -83,6 +85,22 @@ def overlap_join(a: DataFrame, b: DataFrame, axes: list[Axis], units: list[float
     return x.hint("shuffle_hash").join(y, _every(met)).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
 
 
+def overlap_totals(a: DataFrame, b: DataFrame, axes: list[Axis], key: str, closed: bool = True, where: Column | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of ``a`` that meet some of ``b``, with (n, least): how many, and the least ``key`` among them; and ``sums`` over them.
+
+    Equal boxes are one row on either side while they are joined, with how many they stand for, so a table of
+    copies costs what its different boxes cost. ``where`` and ``sums`` are expressions of the ends of boxes a and b."""
+    names = [c for axis in axes for c in axis]
+    a = materialize(a)
+    ones = materialize(a.select(*names).distinct())
+    others = materialize(b.groupBy(*names).agg(F.count("*").alias("_n"), F.min(key).alias("_least")))
+    met = overlap_join(ones, others, axes, closed=closed)
+    met = met if where is None else met.where(where)
+    more = [F.sum(F.col("b._n") * v).alias(out) for out, v in (sums or {}).items()]
+    found = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in names]).agg(F.sum("b._n").alias("n"), F.min("b._least").alias("least"), *more)
+    return a.drop("n", "least", *(sums or {})).join(found, names)
+
+
 def _every(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
