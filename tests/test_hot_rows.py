@@ -97,3 +97,36 @@ def test_packed_product_of_doubles_and_of_nothing(spark):
     assert packed.product(packed.pack(cells.limit(0)), x).collect() == []
     same = sparse.spmv(cells, x).collect()
     assert sorted(map(tuple, same)) == sorted(map(tuple, packed.product(packed.pack(cells), x).collect()))
+
+
+def test_products_of_cells_shuffle_cells(spark):
+    import random
+    from collections import Counter
+
+    from tessera.operators import dense
+
+    rng = random.Random(6)
+    a = [(rng.randrange(40), rng.randrange(30), rng.randrange(-5, 6)) for _ in range(300)] + [(7, j, 1) for j in range(30)] + [(None, 3, 2), (5, None, 4), (2, 3, None)]
+    b = [(rng.randrange(30), rng.randrange(20), rng.randrange(-5, 6)) for _ in range(200)] + [(4, k, 2) for k in range(25)] + [(None, 1, 3), (6, None, 5)]
+    x, y = spark.createDataFrame(a, "i long, j long, v long"), spark.createDataFrame(b, "j long, k long, v long")
+    want = {}
+    for i, j, v in a:
+        for l, k, w in b:  # noqa: E741
+            if j is not None and j == l:
+                want.setdefault((i, k), []).extend([] if v is None else [v * w])
+    want = {at: sum(vs) if vs else None for at, vs in want.items()}
+    got = dense.matmul_cells(x, y, products=200, long_row=10)
+    assert Counter(map(tuple, got.collect())) == Counter((*at, v) for at, v in want.items())
+    plan = dense.matmul_cells(x.where("i < 7 or i > 7"), y, products=200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # products are made above the last one
+    whole = [(i, j, float(v)) for i, j, v in a if None not in (i, j, v)]
+    x = spark.createDataFrame(whole, "i long, j long, v double")
+    y = y.where("j is not null and k is not null")
+    known = {(i, k) for i, j, _ in whole for l, k, _ in b if j == l and k is not None}  # noqa: E741
+    for cost in (1, 10**9):  # cell by cell, and by blocks
+        dense.PAIR_COST, before = cost, dense.PAIR_COST
+        try:
+            blocks = {(r.i, r.k): r.v for r in dense.matmul_blocks(x, y, block=8, side=2).collect()}
+        finally:
+            dense.PAIR_COST = before
+        assert blocks == {at: want[at] for at in known}
