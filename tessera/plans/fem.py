@@ -151,9 +151,14 @@ def shape_at(a: int, x: Column, y: Column, z: Column) -> Column:
     return one[0] * one[1] * one[2] / 8
 
 
+def _spread(cells: DataFrame) -> DataFrame:
+    """Rows dealt evenly before each becomes many: a small file, read by one task, would be worked on by one alone."""
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _by_corner(cells: DataFrame, values: list[Column]) -> DataFrame:
     """``cells`` with a row for each corner: (a, v)."""
-    return cells.select("*", F.posexplode(F.array(*values)).alias("a", "v"))
+    return _spread(cells).select("*", F.posexplode(F.array(*values)).alias("a", "v"))
 
 
 def shapes_at(points: DataFrame) -> DataFrame:
@@ -165,7 +170,7 @@ def brick_matrices(cells: DataFrame, n: int = 2) -> DataFrame:
     """``cells`` (with edges hx, hy, hz) with (a, b, k): the diffusion matrix of each, by what Gauss points give for each axis.
 
     A brick's Jacobian has the half edges on its diagonal, so that only three sums over the points are needed, the
-    same for all cells; nothing is shuffled. Null edges give null values."""
+    same for all cells; only cells themselves are shuffled. Null edges give null values."""
     sums = [[[0.0] * 3 for _ in range(8)] for _ in range(8)]
     for at, weight in gauss_points(n):
         grads = []
@@ -179,7 +184,7 @@ def brick_matrices(cells: DataFrame, n: int = 2) -> DataFrame:
                     sums[a][b][d] += weight * grads[a][d] * grads[b][d]
     table = F.lit([sums[a][b] for a in range(8) for b in range(8)])
     h = [F.col(f"h{axis}") for axis in "xyz"]
-    each = cells.select("*", F.posexplode(table).alias("_p", "_s"))
+    each = _spread(cells).select("*", F.posexplode(table).alias("_p", "_s"))
     k = sum((F.get("_s", F.lit(d)) * h[(d + 1) % 3] * h[(d + 2) % 3] / (2 * h[d]) for d in range(1, 3)), F.get("_s", F.lit(0)) * h[1] * h[2] / (2 * h[0]))
     return each.select(*cells.columns, F.floor(F.col("_p") / 8).cast("int").alias("a"), (F.col("_p") % 8).cast("int").alias("b"), k.alias("k"))
 

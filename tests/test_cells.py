@@ -98,3 +98,10 @@ def test_structure_of_tall_meshes_shuffles_no_pairs(spark):
     assert {r: n for r, n in lengths.collect()} == {a: sum(1 for p in want if p[0] == a) for a in {p[0] for p in want}}
     offsets = dict(map(tuple, fem.row_offsets(lengths).collect()))
     assert offsets == {a: sum(1 for p in want if p[0] < a) for a in {p[0] for p in want}}
+
+
+def test_bricks_of_a_single_partition_are_dealt_out(spark):
+    cells = spark.range(100).selectExpr("id", "1.0 hx", "2.0 hy", "3.0 hz", "1.0 q", "0.0 x", "0.0 y", "0.0 z").coalesce(1)
+    for made, times in ((fem.brick_matrices, 64), (fem.brick_sources, 8), (fem.shapes_at, 8)):
+        sizes = made(cells).groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 4 and all(abs(n - 25 * times) <= 2 * times for _, n in sizes)
