@@ -12,7 +12,6 @@ x lacks; a row of which no cell meets a value has no result, or 0 with ``rows``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -70,16 +69,16 @@ def pack(cells: DataFrame, columns: int = COLUMNS, most: int = CELLS, height: in
     return Packed(table, sizes, columns, height)
 
 
-def _times(r, columns: int, height: int, dtype: type) -> pd.DataFrame:
+def _times(r: pd.Series, at: np.ndarray, v: np.ndarray, columns: int, height: int, dtype: type) -> pd.DataFrame:
     """The sums of one group's rows; a slice is as wide as its last row is long."""
     x, known = np.zeros(columns, dtype), np.zeros(columns, bool)
-    x[r.at], known[r.at] = r.v, True
-    sums, hits, at = [], [], 0
+    x[at], known[at] = v, True
+    sums, hits, begin = [], [], 0
     for lo in range(0, len(r.lens), height):
         lens = r.lens[lo : lo + height, None]
         width = int(lens[-1, 0])
-        here = slice(at, at + len(lens) * width)
-        at = here.stop
+        here = slice(begin, begin + len(lens) * width)
+        begin = here.stop
         col, coef = r.cols[here].reshape(-1, width), r.coefs[here].reshape(-1, width)
         use = (np.arange(width) < lens) & known[col]
         sums.append(np.where(use, coef * x[col], 0).sum(axis=1))
@@ -95,13 +94,16 @@ def product(a: Packed, x: DataFrame, rows: DataFrame | None = None) -> DataFrame
     value = F.struct(F.pmod("i", F.lit(columns)).cast("int").alias("at"), F.col("v").cast(kind).alias("v"))
     blocks = x.where("i is not null and v is not null").groupBy(F.floor(F.col("i") / columns).alias("block")).agg(F.collect_list(value).alias("x"))
     sent = blocks.join(a.sizes, "block").select("block", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
-    both = a.table.join(sent, ["block", "group"]).select("rows", "lens", "coefs", "cols", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(packed: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:  # a group at a time, however many a task has
+        if not len(packed) or not len(values):
+            return pd.DataFrame({"row": np.zeros(0, np.int64), "v": np.zeros(0, dtype)})
         with np.errstate(all="ignore"):
-            for batch in batches:
-                for r in batch.itertuples():
-                    yield _times(r, columns, height, dtype)
+            r, x = packed.iloc[0], values.iloc[0]
+            return _times(r, x["at"], x["v"], columns, height, dtype)
 
-    y = both.mapInPandas(multiply, f"row long, v {kind}").groupBy("row").agg(F.sum("v").alias("v"))
+    sent = sent.select("block", "group", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
+    key = ["block", "group"]
+    products = a.table.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(multiply, f"row long, v {kind}")
+    y = products.groupBy("row").agg(F.sum("v").alias("v"))
     return y if rows is None else rows.join(y, "row", "left").select("row", F.coalesce("v", F.lit(0)).alias("v"))

@@ -130,3 +130,19 @@ def test_products_of_cells_shuffle_cells(spark):
         finally:
             dense.PAIR_COST = before
         assert blocks == {at: want[at] for at in known}
+
+
+def test_packed_products_take_a_group_at_a_time(spark):
+    from tessera.operators import packed
+
+    cells = [(i, j, i + j + 1) for i in range(20) for j in range(50) if (i * j) % 3 == 0]
+    x = spark.createDataFrame([(j, j - 7) for j in range(45)], "i long, v long")
+    table = packed.pack(spark.createDataFrame(cells, "row long, col long, coef long"), columns=8, most=10, height=4)
+    out = packed.product(table, x)
+    want = {}
+    for i, j, c in cells:
+        if j < 45:
+            want[i] = want.get(i, 0) + c * (j - 7)
+    assert dict(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsIn" in plan and "MapInPandas" not in plan  # batches of many rows hold all of a task's groups
