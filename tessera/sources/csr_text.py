@@ -40,8 +40,8 @@ def lines(cells: DataFrame, rows: int, cols: int) -> DataFrame:
 
     Entries come by row, then column; their numbers, and the rows' offsets, are scans, so no task needs all cells."""
     spark, one = cells.sparkSession, F.lit(1).cast("long")
-    cells = materialize(cells.select("row", "col", "coef"))
-    placed = exclusive_scan(cells.select((F.col("row") * cols + F.col("col")).alias("at"), "col", "coef", one.alias("one")), "at", "one", "k")
+    cells = materialize(cells.select((F.col("row") * cols + F.col("col")).alias("at"), "row", "col", "coef", one.alias("one")))
+    placed = exclusive_scan(cells, "at", "one", "k", kept=True)
     counts = spark.range(rows + 1).select(F.col("id").alias("row")).join(cells.groupBy("row").agg(F.count("*").alias("n")), "row", "left")
     offsets = exclusive_scan(counts.select("row", F.coalesce("n", F.lit(0)).alias("n")), "row", "n", "start")
     head = spark.createDataFrame([(0, f"{cells.count()} {rows} {cols}")], "n long, line string")

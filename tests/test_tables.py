@@ -233,3 +233,16 @@ def test_lines_of_a_sparse_matrix(spark):
     coo, offsets = csr_text.parse(csr_text.lines(df, 8, 40))
     assert sorted(map(tuple, coo.collect())) == sorted(cells) and offsets.count() == 9
     assert csr_text.parse(csr_text.lines(df.limit(0), 2, 2))[0].count() == 0
+
+
+def test_lines_of_a_matrix_write_its_cells_once(spark, monkeypatch):
+    from tessera.operators import scans
+    from tessera.sources import csr_text
+
+    wide = []
+    for module in (csr_text, scans):
+        monkeypatch.setattr(module, "materialize", lambda df, own=module.materialize: wide.append("coef" in df.columns) or own(df))
+    cells = spark.createDataFrame([(0, 1, 2), (0, 3, 4), (3, 0, 5)], "row long, col long, coef long")
+    coo, _ = csr_text.parse(csr_text.lines(cells, 4, 4))
+    assert sorted(map(tuple, coo.collect())) == [(0, 1, 2.0), (0, 3, 4.0), (3, 0, 5.0)]
+    assert sum(wide) == 1
