@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.materialize import materialize
 from tessera.operators import scans
 
+#: Cells that a partition of part_stats has, about.
+CELLS_EACH = 500_000
+
 
 def spmv(cells: DataFrame, x: DataFrame, rows: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
     """(row, v) of alpha A x. With ``rows`` (row), rows without cells are there, with 0."""
@@ -81,17 +84,28 @@ def matrix_stats(cells: DataFrame, rows: DataFrame) -> DataFrame:
 def part_stats(cells: DataFrame, owners: DataFrame) -> DataFrame:
     """One row: least, greatest and mean rows and cells of the parts of owners (row, part), and the megabytes of what
     they exchange: each part's external columns (their id and local number), what it sends, and three numbers for each neighbour."""
-    counts = owners.join(cells.groupBy("row").agg(F.count("*").alias("n")), "row", "left").groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.coalesce("n", F.lit(0))).alias("nnz"))
+    cells = materialize(cells.select("row", "col"))
+    parts = _parts(cells.count(), cells)
+    laid, owners = cells.repartition(parts, "row"), owners.select("row", "part").repartition(parts, "row")
+    counts = owners.join(laid.groupBy("row").agg(F.count("*").alias("n")), "row", "left").groupBy("part").agg(F.count("*").alias("rows"), F.sum(F.coalesce("n", F.lit(0))).alias("nnz"))
     out = counts.agg(*[f(c).alias(f"{c}_{name}") for c in ("rows", "nnz") for name, f in (("min", F.min), ("max", F.max), ("avg", F.avg))])
-    outside = externals(cells, owners)
+    outside = externals(laid, owners, parts)
     numbers = outside.agg(F.count("*").alias("n")).join(F.broadcast(neighbours(outside).agg(F.count("*").alias("m"))))  # one row each
     return out.join(F.broadcast(numbers)).select(*out.columns, ((3 * F.col("n") + 3 * F.col("m")) * 4 / float(1 << 20)).alias("halo_mb"))
 
 
-def externals(cells: DataFrame, owners: DataFrame) -> DataFrame:
-    """(reader, owner, id): the columns that a part's rows need from other parts."""
-    read = cells.join(owners.select("row", F.col("part").alias("reader")), "row").select("reader", F.col("col").alias("id")).distinct()
-    return read.join(owners.select(F.col("row").alias("id"), F.col("part").alias("owner")), "id").where("reader <> owner").select("reader", "owner", "id")
+def _parts(n: int, df: DataFrame) -> int:
+    """Partitions for so many cells, so that a task's share of them doesn't grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // CELLS_EACH))
+
+
+def externals(cells: DataFrame, owners: DataFrame, parts: int | None = None) -> DataFrame:
+    """(reader, owner, id): the columns that a part's rows need from other parts. ``parts``: partitions for columns, by default Spark's."""
+    read = cells.join(owners.select("row", F.col("part").alias("reader")), "row").select("reader", F.col("col").alias("id"))
+    own = owners.select(F.col("row").alias("id"), F.col("part").alias("owner"))
+    if parts:
+        read, own = read.repartition(parts, "id"), own.repartition(parts, "id")
+    return read.distinct().join(own, "id").where("reader <> owner").select("reader", "owner", "id")
 
 
 def neighbours(external: DataFrame) -> DataFrame:

@@ -246,3 +246,16 @@ def test_lines_of_a_matrix_write_its_cells_once(spark, monkeypatch):
     coo, _ = csr_text.parse(csr_text.lines(cells, 4, 4))
     assert sorted(map(tuple, coo.collect())) == [(0, 1, 2.0), (0, 3, 4.0), (3, 0, 5.0)]
     assert sum(wide) == 1
+
+
+def test_part_stats_take_more_partitions_for_more_cells(spark, monkeypatch):
+    from tessera.operators import sparse
+
+    rows = [(i, (i * k) % 60, 1) for i in range(60) for k in (1, 2, 7)]
+    cells, owners = spark.createDataFrame(rows, "row long, col long, coef long"), spark.createDataFrame([(i, i % 5) for i in range(60)], "row long, part long")
+    one = sparse.part_stats(cells, owners).collect()
+    monkeypatch.setattr(sparse, "CELLS_EACH", 20)
+    many = sparse.part_stats(cells, owners)
+    assert many.collect() == one
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 9), REPARTITION_BY_NUM") >= 4  # 180 cells
