@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import inverse3, running_coords
 from tessera.materialize import materialize, settled
 from tessera.operators import packed
-from tessera.operators.halo import Layout, with_product
+from tessera.operators.halo import Layout, unpacked, with_product
 from tessera.operators.sparse import spmv
 from tessera.sources.domain import mesh_elements, mesh_nodes
 
@@ -292,24 +292,44 @@ def conjugate_gradients(a: DataFrame | Matvec | Layout, b: DataFrame, iterations
     """(i, v) of A x = b (row, v) from x = 0, at most ``iterations`` steps, until the residual is at the tolerance.
 
     ``a`` is a table of cells, any product with one, or cells that are laid out by owner: then the vectors are
-    too, and a step moves only what parts need of one another. A step multiplies, cuts the lineage and takes two sums."""
-    start = b.select(F.col("row").alias("i"), F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"), F.lit(0.0).alias("p"))
+    too, as arrays; a step moves what parts need of one another, and each part's arrays once. A step multiplies, cuts the lineage and takes two sums."""
     if isinstance(a, Layout):
         with settled(b.sparkSession):
-            times = lambda p: a.product(p.select("part", "i", F.col("p").alias("v")))
-            return _steps(times, ["part", "i"], materialize(a.spread(start)), iterations, tolerance)
+            dealt = a.spread(b, "row")
+            zero = F.array_repeat(F.lit(0.0), F.size("ids"))
+            start = materialize(dealt.select("part", "ids", zero.alias("x"), F.col("v").alias("r"), zero.alias("p")))
+            return _steps(lambda p: a.placed(a.times(p, "p", "ap")), start, iterations, tolerance, _add_arrays, _dot_arrays, lambda state: unpacked(state, "x").select("i", "v"))
+    start = b.select(F.col("row").alias("i"), F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"), F.lit(0.0).alias("p"))
     product = by_cells(a) if isinstance(a, DataFrame) else a
-    return _steps(lambda p: product(p.select("i", F.col("p").alias("v"))).select(F.col("row").alias("i"), "v"), ["i"], start, iterations, tolerance)
+    times = lambda p: with_product(p, product(p.select("i", F.col("p").alias("v"))).select(F.col("row").alias("i"), "v"), ["i"], "ap")
+    return _steps(times, start, iterations, tolerance, _add, _dot, lambda state: state.select("i", F.col("x").alias("v")))
+
+
+def _add(a: str, s: float, b: str) -> Column:
+    return F.col(a) + s * F.col(b)
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.sum(F.col(a) * F.col(b))
+
+
+def _add_arrays(a: str, s: float, b: str) -> Column:
+    return F.zip_with(a, b, lambda u, v: u + s * v)
+
+
+def _dot_arrays(a: str, b: str) -> Column:
+    """Entries that are null count for nothing, as in a sum of rows."""
+    return F.sum(F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda done, t: done + F.coalesce(t, F.lit(0.0))))
 
 
-def _steps(times: Matvec, keys: list[str], state: DataFrame, iterations: int, tolerance: float) -> Solution:
-    rtr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+def _steps(times: Matvec, state: DataFrame, iterations: int, tolerance: float, add: Callable, dot: Callable, solution: Callable) -> Solution:
+    """Steps from a state with columns x, r and p, of numbers or of arrays of them; ``times`` puts the product of p beside it, as ap."""
+    rtr = state.agg(dot("r", "r")).first()[0] or 0.0
     residual = first = math.sqrt(rtr)
     beta, done, breakdown = 0.0, 0, False
     while done < iterations and residual > tolerance:
-        p = state.withColumn("p", F.col("r") + beta * F.col("p"))
-        step = materialize(with_product(p, times(p), keys, "ap"))
-        pap, pp, apap = step.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("p") * F.col("p")), F.sum(F.col("ap") * F.col("ap"))).first()
+        step = materialize(times(state.withColumn("p", add("r", beta, "p"))))
+        pap, pp, apap = step.agg(dot("p", "ap"), dot("p", "p"), dot("ap", "ap")).first()
         if pap is None:
             raise ValueError("the matrix has none of the rows of the right-hand side")
         if pap < 0:
@@ -318,11 +338,11 @@ def _steps(times: Matvec, keys: list[str], state: DataFrame, iterations: int, to
             breakdown = True
             break
         alpha = rtr / pap
-        state = step.select(*keys, (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
+        state = step.withColumns({"x": add("x", alpha, "p"), "r": add("r", -alpha, "ap")}).drop("ap")
         done += 1
-        before, rtr = rtr, state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        before, rtr = rtr, state.agg(dot("r", "r")).first()[0]
         beta, residual = rtr / before, math.sqrt(rtr)
-    return Solution(state.select("i", F.col("x").alias("v")), done, residual, first, residual <= tolerance, breakdown)
+    return Solution(solution(state), done, residual, first, residual <= tolerance, breakdown)
 
 
 #: From here on sinh(pi (2p + 1)) is no finite number, so that a term is none or 0.

@@ -71,6 +71,32 @@ def test_solution(spark, system, long_row):
     assert max(abs(r["v"] - x[r["i"]]) for r in found.x.collect()) < 1e-8
 
 
+def test_parts_are_rows_of_arrays(spark, system):
+    """What is kept, dealt and exchanged are a few rows of arrays, however many cells and entries there are."""
+    layout = halo.lay_out(system[1], parts=5, long_row=50)
+    assert layout.cells.count() <= 5 and layout.reads.count() <= 5 and layout.long.count() <= 5
+    with settled(spark):
+        v = materialize(layout.spread(spark.range(200).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))))
+        assert v.count() <= 5 and layout.times(v, "v", "out").count() == v.count()
+
+
+@pytest.mark.parametrize("long_row", [3, 10_000])
+def test_products_with_what_is_missing(spark, long_row):
+    """Values that are null or lacking add nothing, even to cells that aren't finite; ids that the matrix lacks get 0; null ids are none; repeated ids add up."""
+    cells = [(0, j, 1.0 + j) for j in range(6)] + [(1, 4, math.inf), (1, 5, math.nan), (2, 1, -2.0), (5, 0, 3.0)]
+    x = [(0, 1.0), (1, 2.5), (1, 0.5), (2, 2.0), (3, 4.0), (4, None), (9, 7.0), (None, 5.0)]
+    layout = halo.lay_out(spark.createDataFrame(cells, "row long, col long, coef double"), parts=4, long_row=long_row)
+    with settled(spark):
+        v = materialize(layout.spread(spark.createDataFrame(x, "i long, v double")))
+        got = {r["i"]: r["v"] for r in layout.product(v).collect()}
+    assert got == {0: 1.0 + 6.0 + 6.0 + 16.0, 1: 0.0, 2: -6.0, 3: 0.0, 4: 0.0, 9: 0.0}
+    b = spark.createDataFrame([(0, 2.0), (7, 4.0), (None, 1.0)], "row long, v double")
+    diagonal = spark.createDataFrame([(0, 0, 2.0), (7, 7, 2.0)], "row long, col long, coef double")
+    lengths = diagonal.select("row", F.lit(50).alias("n"))  # more than there are: only where cells lie depends on it
+    found = fem.conjugate_gradients(halo.lay_out(diagonal, parts=3, long_row=long_row, lengths=lengths), b)
+    assert found.converged and {r["i"]: r["v"] for r in found.x.collect()} == {0: 1.0, 7: 2.0}
+
+
 def test_breakdown_is_told(spark):
     """A right-hand side outside of the range of a singular matrix: the first direction has no product."""
     cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, -1.0), (1, 0, -1.0), (1, 1, 1.0)], "row long, col long, coef double")
