@@ -87,3 +87,11 @@ def test_box_join_makes_no_pairs(spark, orders, monkeypatch):
     folder, lines = orders
     monkeypatch.setattr(spatial, "overlap_join", lambda *more, **named: pytest.fail("pairs"))
     assert {(r["id"], r["others"], r["least_other"]) for r in catalog.box_join(spark, folder).collect()} == as_sql("box_join", folder)
+
+
+def test_box_join_has_orders_of_any_length(spark, orders):
+    folder, lines = orders
+    box = lambda own: [f(v) for v in ([round(x[3] * 100) for x in own], [x[4] for x in own], [x[2] for x in own]) for f in (min, max)]
+    meets = lambda p, q: all(p[i] <= q[i + 1] and q[i] <= p[i + 1] for i in (0, 2, 4))
+    got = {(r["id"], r["others"], r["least_other"]) for r in catalog.box_join(spark, folder).collect()}
+    assert got == met(lines, box, meets) == as_sql("box_join", folder)
