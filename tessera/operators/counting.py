@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.materialize import materialize
+from tessera.operators.scans import exclusive_scans
 from tessera.operators.spatial import Axis, overlap_join
 
 #: Cells of a table of bins, points whose sets of bits are made at a time, and places that are looked up in them at a time.
@@ -266,3 +267,30 @@ def meeting_totals(a: DataFrame, b: DataFrame, axes: list[Axis], key: str) -> Da
     met = materialize(ones.join(counts, "id"))
     found = met.join(least_met(met, others, axes), "id").drop("id")
     return a.drop("n", "least").join(found, names)
+
+
+def interval_totals(a: DataFrame, b: DataFrame, axis: Axis, key: str) -> DataFrame:
+    """As meeting_totals of closed intervals whose ends are whole numbers, with ``shared``: the sum of the lengths that they have in common.
+
+    Up to a place t the intervals of b have t (starts - ends) - (sum of starts) + (sum of ends) in common with all that
+    lies before it, each over what is below t; so two running sums' values at either end of an interval of a tell what it shares."""
+    lo, hi = axis
+    a = materialize(a.where(_fine([axis])))
+    ones = materialize(a.select(lo, hi).distinct().withColumn("id", F.monotonically_increasing_id()))
+    others = materialize(b.where(_fine([axis])).groupBy(lo, hi).agg(F.count("*").alias("_n"), F.min(key).alias("_least")))
+    exact = lambda c: F.col(c).cast("decimal(20,0)")
+    none, nothing = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)")
+    ends = others.select(F.col(lo).alias("t"), F.col("_n").alias("starts"), none.alias("ends"), (-exact(lo) * exact("_n")).cast("decimal(38,0)").alias("sum"))
+    ends = ends.unionByName(others.select(F.col(hi).alias("t"), none.alias("starts"), F.col("_n").alias("ends"), (exact(hi) * exact("_n")).cast("decimal(38,0)").alias("sum")))
+    for c in axis:
+        ends = ends.unionByName(ones.select(F.col(c).alias("t"), none.alias("starts"), none.alias("ends"), nothing.alias("sum")))
+    by_place = ends.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("starts", "ends", "sum")])
+    scanned = exclusive_scans(by_place, "t", {"started": "starts", "ended": "ends", "summed": "sum"})
+    covered = (exact("t") * (F.col("started") - F.col("ended")).cast("decimal(20,0)") + F.col("summed")).cast("decimal(38,0)")
+    at = materialize(scanned.select("t", covered.alias("covered"), (F.col("started") + F.col("starts")).alias("started"), "ended"))
+    below = at.select(F.col("t").alias(lo), F.col("covered").alias("_c0"), F.col("ended").alias("_ended"))
+    above = at.select(F.col("t").alias(hi), F.col("covered").alias("_c1"), F.col("started").alias("_started"))
+    both = ones.join(below, lo).join(above, hi).select("id", lo, hi, (F.col("_started") - F.col("_ended")).alias("n"), (F.col("_c1") - F.col("_c0")).cast("long").alias("shared"))
+    met = materialize(both.where("n > 0"))
+    found = met.join(least_met(met, others, [axis]), "id").drop("id")
+    return a.drop("n", "least", "shared").join(found, [lo, hi])

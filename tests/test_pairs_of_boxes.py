@@ -95,3 +95,31 @@ def test_box_join_has_orders_of_any_length(spark, orders):
     meets = lambda p, q: all(p[i] <= q[i + 1] and q[i] <= p[i + 1] for i in (0, 2, 4))
     got = {(r["id"], r["others"], r["least_other"]) for r in catalog.box_join(spark, folder).collect()}
     assert got == met(lines, box, meets) == as_sql("box_join", folder)
+
+
+@pytest.mark.parametrize("head, left", [(2, 1000), (2, 3)])
+def test_totals_of_intervals_without_pairs(spark, monkeypatch, head, left):
+    a, x = boxes_of(spark, 5, 150, 12, 1)
+    b, y = boxes_of(spark, 6, 130, 12, 1)
+    monkeypatch.setattr(counting, "HEAD", head)
+    monkeypatch.setattr(counting, "LEFT", left)
+    far = 1_700_000_000_000_000  # as microseconds
+    want = set()
+    for p in a:
+        others = [q for q in b if None not in p + q and p[1] <= p[2] and q[1] <= q[2] and p[1] <= q[2] and q[1] <= p[2]]
+        if others:
+            want.add((p[0], len(others), min(q[0] for q in others), sum(min(p[2], q[2]) - max(p[1], q[1]) for q in others)))
+    moved = [t.withColumns({c: t[c] + far for c in ("lo0", "hi0")}) for t in (x, y)]
+    got = counting.interval_totals(*moved, ("lo0", "hi0"), "id")
+    assert {tuple(r) for r in got.select("id", "n", "least", "shared").collect()} == want
+    assert counting.interval_totals(x, y.limit(0), ("lo0", "hi0"), "id").count() == 0
+
+
+def test_interval_join_makes_no_pairs(spark, monkeypatch):
+    """Sessions of a day meet nearly all windows of it."""
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(spatial, "overlap_join", lambda *more, **named: pytest.fail("pairs"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{data}/events.parquet')")
+    want = c.execute(f"SELECT event_id, sessions, least_user, shared FROM ({catalog.ORACLES['interval_join']})").fetchall()
+    assert {tuple(r) for r in catalog.interval_join(spark, data).select("event_id", "sessions", "least_user", "shared").collect()} == set(want)
