@@ -7,11 +7,15 @@ brings two sums an iteration to the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import inverse3, running_coords
@@ -29,6 +33,8 @@ GAUSS = {
     3: ((-0.77459667, 0.55555556), (0.0, 0.88888889), (0.77459667, 0.55555556)),
 }
 EPSILON = 2.220446049250313e-16
+#: Cells to a range of node ids, cells that a task deals at a time, and rows that are kept as one value.
+RANGE_CELLS, HELD, PACKED = 250_000, 1_000_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -53,34 +59,57 @@ def structure(spark: SparkSession, mesh: Mesh) -> DataFrame:
     return near.select(F.col("id").alias("row"), mesh.node_id(*[F.col(f"i{a}") + F.col(f"d{a}") for a in "xyz"]).alias("col"))
 
 
-def _node_columns(cells: DataFrame, mesh: Mesh) -> tuple[DataFrame, int]:
-    """(x, y, block, m0, m1, m2, m3) and the height of a block: nodes above one another, with the cells around them as bits.
-
-    Bit k of a mask is the cell below node k of the block, bit k + 1 the one above it; masks are of the columns of cells
-    at the node's lower or upper side along x (0, 2 or 1, 3 of m) and y (0, 1 or 2, 3). Bits alone are shuffled."""
-    high = max(1, min(32, mesh.nz))
-    place = [F.col("ex").cast("long").alias("ex"), F.col("ey").cast("long").alias("ey"), F.floor(F.col("ez") / high).alias("block")]
-    there = cells.where("ex is not null and ey is not null and ez is not null")
-    columns = there.groupBy(*place).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(ez, {high}) as int))")).alias("bits"))
-    sides = [F.struct((F.col("ex") + 1 - side % 2).alias("x"), (F.col("ey") + 1 - side // 2).alias("y"), (F.col("block") + up).alias("block"), F.lit(side).alias("side"), bits.alias("bits"))
-             for side in range(4) for up, bits in ((0, F.shiftleft("bits", 1)), (1, F.shiftright("bits", high - 1)))]
-    each = columns.select(F.explode(F.array(*sides)).alias("s")).select("s.*").where("bits <> 0")
-    masks = [F.coalesce(F.bit_or(F.when(F.col("side") == side, F.col("bits"))), F.lit(0).cast("long")).alias(f"m{side}") for side in range(4)]
-    return each.groupBy("x", "y", "block").agg(*masks), high
-
-
-def _nodes(cells: DataFrame, mesh: Mesh) -> tuple[DataFrame, dict[int, Column]]:
-    """(row and more) of the nodes that a cell has, and how far each possible neighbour's id is from theirs, with whether it is one."""
-    columns, high = _node_columns(cells, mesh)
-    within = {-1: (0,), 0: (0, 1), 1: (1,)}
-    masks = {(dx, dy): [f"m{i + 2 * j}" for i in within[dx] for j in within[dy]] for dx in within for dy in within}
-    name = lambda dx, dy: f"n{dx + 1}{dy + 1}"
-    own = columns.select("x", "y", "block", *[F.expr(" | ".join(of)).alias(name(*d)) for d, of in masks.items()])
-    each = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("k"))
-    around = each.select(mesh.node_id(F.col("x"), F.col("y"), F.col("block") * high + F.col("k")).alias("row"), *[F.expr(f"shiftright({name(*d)}, k) & 3").alias(name(*d)) for d in masks])
-    along = {-1: 1, 0: 3, 1: 2}
-    there = {int(dx + (mesh.nx + 1) * (dy + (mesh.ny + 1) * dz)): F.expr(f"{name(dx, dy)} & {bits}") != 0 for dz, bits in along.items() for dy in within for dx in within}
-    return around.where(f"{name(0, 0)} <> 0"), there
+def _around(cells: DataFrame, mesh: Mesh, make: Callable[[tuple, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``make`` gives of the nodes that a cell has, a range of ids at a time: the range, their ids in order, and the cells around each as bits.
+
+    Bit x + 2 y + 4 z is the cell of which the node is the corner that lies x, y and z from its lower one. Ids are dealt into ranges by the
+    quantiles of lower corners; a cell goes, as bytes among many, to the ranges of its four edges along x, and nothing else is shuffled."""
+    row, plane = mesh.nx + 1, (mesh.nx + 1) * (mesh.ny + 1)
+    there = cells.where("ex is not null and ey is not null and ez is not null").select((F.col("ex") + row * F.col("ey") + plane * F.col("ez")).cast("long").alias("at"))
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(there.count() / RANGE_CELLS))
+    cuts = np.unique(np.array(there.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] or [] if parts > 1 else [], dtype=np.int64))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(range, edges): lower ends of edges times four, plus the edge of the cell that they are."""
+
+        def dealt(at: np.ndarray) -> pd.DataFrame:
+            edges = np.sort(np.concatenate([(at + y * row + z * plane) * 4 + y + 2 * z for z in (0, 1) for y in (0, 1)]))
+            own, next_ = np.searchsorted(cuts, edges >> 2, "left"), np.searchsorted(cuts, (edges >> 2) + 1, "left")
+            out = []
+            for ranges, each in ((own, edges), (next_[own != next_], edges[own != next_])):
+                starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+                out += [(int(ranges[lo]), part.tobytes()) for lo, part in zip(starts, np.split(each, starts[1:]), strict=True)] if len(each) else []
+            return pd.DataFrame(out, columns=["range", "edges"])
+
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf["at"].unique())
+            n += len(held[-1])
+            if n >= HELD:
+                held = [np.unique(np.concatenate(held))]
+                if len(held[0]) >= HELD // 2:
+                    yield dealt(held.pop())
+                n = sum(map(len, held))
+        if n:
+            yield dealt(np.unique(np.concatenate(held)))
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = np.unique(np.concatenate([np.frombuffer(e, dtype=np.int64) for e in pdf["edges"]]))
+        ends = np.sort(np.concatenate([(edges >> 2) + x << 3 | (edges & 3) << 1 | x for x in (0, 1)]))
+        ends = ends[np.searchsorted(cuts, ends >> 3, "left") == key[0]]
+        first = np.flatnonzero(np.diff(ends >> 3, prepend=-1))
+        return make(key, ends[first] >> 3, np.bitwise_or.reduceat(1 << (ends & 7), first) if len(first) else first)
+
+    return there.mapInPandas(deal, "range long, edges binary").groupBy("range").applyInPandas(gather, schema)
+
+
+def _beside(mesh: Mesh) -> dict[int, int]:
+    """How far each possible neighbour's id is from a node's, and the cells that have both, as bits around the node."""
+    out = {}
+    for d in itertools.product((-1, 0, 1), repeat=3):
+        corners = [c for c in itertools.product((0, 1), repeat=3) if all(by == 0 or c[k] == (by < 0) for k, by in enumerate(d))]
+        out[int(d[0] + (mesh.nx + 1) * (d[1] + (mesh.ny + 1) * d[2]))] = sum(1 << (x + 2 * y + 4 * z) for x, y, z in corners)
+    return out
 
 
 def structure_of(cells: DataFrame, mesh: Mesh) -> DataFrame:
@@ -88,15 +117,49 @@ def structure_of(cells: DataFrame, mesh: Mesh) -> DataFrame:
 
     Cells without a place are left out; repeated ones count once. Pairs are made of what nodes know of the cells around
     them, and aren't shuffled."""
-    nodes, there = _nodes(cells, mesh)
-    cols = F.array(*[F.when(known, F.col("row") + by) for by, known in there.items()])
+    nodes = _around(cells, mesh, lambda key, ids, masks: pd.DataFrame({"row": ids, "m": masks}), "row long, m int")
+    cols = F.array(*[F.when(F.col("m").bitwiseAND(F.lit(bits)) != 0, F.col("row") + by) for by, bits in sorted(_beside(mesh).items())])
     return nodes.select("row", F.explode(cols).alias("col")).where("col is not null")
 
 
+def _lengths(mesh: Mesh) -> np.ndarray:
+    """How many neighbours a node has, itself included, by the cells around it."""
+    return sum((np.arange(256) & bits != 0).astype(np.int64) for bits in _beside(mesh).values())
+
+
 def row_lengths(cells: DataFrame, mesh: Mesh) -> DataFrame:
     """(row, n): how many columns each row of ``structure_of`` has, without making them."""
-    nodes, there = _nodes(cells, mesh)
-    return nodes.select("row", sum((known.cast("long") for known in list(there.values())[1:]), list(there.values())[0].cast("long")).alias("n"))
+    lengths = _lengths(mesh)
+    return _around(cells, mesh, lambda key, ids, masks: pd.DataFrame({"row": ids, "n": lengths[masks]}), "row long, n long")
+
+
+def offsets_of(cells: DataFrame, mesh: Mesh) -> DataFrame:
+    """(row, start) as ``row_offsets`` of ``row_lengths``. Ranges of rows are in order as they are made, so a range's rows are kept as bytes and its
+    sum is added up; what each takes over from those before it comes from a table of a row a range."""
+    lengths = _lengths(mesh)
+
+    def pack(key: tuple, ids: np.ndarray, masks: np.ndarray) -> pd.DataFrame:
+        out = []
+        for k in range(0, len(ids), PACKED):
+            own, n = ids[k : k + PACKED], lengths[masks[k : k + PACKED]]
+            steps = np.diff(own)
+            small = not len(steps) or int(steps.max()) < 1 << 32
+            out.append((key[0], k, int(own[0]), int(n.sum()), steps.astype(np.uint32 if small else np.int64).tobytes(), n.astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["range", "k", "first", "total", "steps", "n"])
+
+    packed_rows = materialize(_around(cells, mesh, pack, "range long, k long, first long, total long, steps binary, n binary"))
+    before = Window.orderBy("range", "k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = packed_rows.select("range", "k", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("long").alias("start"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, start, steps, n in zip(*(batch.column(c).to_pylist() for c in ("first", "start", "steps", "n")), strict=True):
+                n = np.frombuffer(n, dtype=np.uint8).astype(np.int64)
+                steps = np.frombuffer(steps, dtype=np.uint32 if len(steps) == 4 * (len(n) - 1) else np.int64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.cumsum(np.append(0, steps))), pa.array(start + np.cumsum(n) - n)], names=["row", "start"])
+
+    # A row a range, or a piece of one.
+    return packed_rows.join(F.broadcast(carried), ["range", "k"]).select("first", "start", "steps", "n").mapInArrow(unpack, "row long, start long")
 
 
 def row_offsets(pattern: DataFrame) -> DataFrame:

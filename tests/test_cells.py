@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry
@@ -105,3 +106,24 @@ def test_bricks_of_a_single_partition_are_dealt_out(spark):
     for made, times in ((fem.brick_matrices, 64), (fem.brick_sources, 8), (fem.shapes_at, 8)):
         sizes = made(cells).groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) == 4 and all(abs(n - 25 * times) <= 2 * times for _, n in sizes)
+
+
+@pytest.fixture
+def scattered(spark, monkeypatch):
+    """Cells far from one another, and along a line, dealt into many ranges and kept in small pieces."""
+    monkeypatch.setattr(fem, "RANGE_CELLS", 10)
+    monkeypatch.setattr(fem, "HELD", 40)
+    monkeypatch.setattr(fem, "PACKED", 7)
+    rng, mesh = random.Random(6), fem.Mesh(2_000_000, 3000, 4)
+    cells = sorted({(rng.randrange(2_000_000), rng.randrange(3000), rng.randrange(4)) for _ in range(80)} | {(x, 5, 1) for x in range(70)} | {(1_999_999, 2999, 3)})
+    ids = [[mesh.node_id(x + a, y + b, z + c) for a, b, c in fem.CORNERS] for x, y, z in cells]
+    return spark.createDataFrame(cells + cells[:5], "ex long, ey long, ez long").repartition(3), mesh, sorted({(a, b) for n in ids for a in n for b in n})
+
+
+def test_structure_of_scattered_cells_shuffles_bytes(scattered):
+    cells, mesh, want = scattered
+    out = fem.structure_of(cells, mesh)
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("Exchange hashpartitioning") == 1 and "edges" in final
